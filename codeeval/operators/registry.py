@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from .ordinals import keep_first
+from .ordinals import global_ordinal, keep_first
 
 REGISTRY_DDL = (
     "model_hash string, timestamp string, model_type string, batch_size int, "
@@ -60,8 +60,9 @@ def registry_append(registry: DataFrame, new_records: DataFrame, seq: str = "seq
     first = keep_first(new_records, ["model_hash"], [seq])
     fresh = first.join(registry.select("model_hash"), "model_hash", "left_anti")
     top = registry.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("_top"))        # one row
-    fresh = (fresh.crossJoin(F.broadcast(top))
-                  .withColumn(seq, F.col("_top") + 1 + F.col(seq)).drop("_top"))
+    pos = global_ordinal(fresh, seq, out="_pos")
+    fresh = (fresh.join(pos, seq).crossJoin(F.broadcast(top))
+                  .withColumn(seq, F.col("_top") + 1 + F.col("_pos")).drop("_top", "_pos"))
     return registry.unionByName(fresh.select(*registry.columns))
 
 
