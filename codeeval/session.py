@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins whose keys start with an already-partitioned id (the n-gram
+    # matching in operators.metrics) reuse that partitioning instead of
+    # re-shuffling every n-gram.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -27,6 +31,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    # local mode: the driver JVM is the executor, so this is the memory knob
+    conf.setdefault("spark.driver.memory", os.environ.get("CODEEVAL_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -38,6 +44,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+PLANNER_CONF = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def configure(spark: SparkSession) -> None:
+    """Apply the planner settings the operators are written for to an
+    existing session (e.g. one created by a scheduler)."""
+    for k, v in PLANNER_CONF.items():
+        spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written intermediate tables.
 
