@@ -95,3 +95,18 @@ def test_dedup_stream_second_run_emits_nothing_new(spark):
     assert first >= 1
     dedup_stream_once(spark, incoming, sink, ckpt)   # nothing new arrived
     assert spark.read.schema(SNIPPET_DDL).parquet(sink).count() == total.count()
+
+
+def test_dedup_stream_to_ledger(spark):
+    from codeeval.sources.readers import read_ledger
+    from codeeval.streaming.dedup import dedup_stream_to_ledger
+    hp = _pairs(spark).select("snippet_hash", "conv_id", "k")
+    incoming, ledger, ckpt = (scratch_path(spark, x) for x in ("in2", "ledger2", "ckpt2"))
+    seen = []
+    hp.limit(2).write.mode("append").parquet(incoming)
+    dedup_stream_to_ledger(spark, incoming, ledger, ckpt, on_new=lambda df, e: seen.append(df.count()))
+    hp.write.mode("append").parquet(incoming)
+    dedup_stream_to_ledger(spark, incoming, ledger, ckpt, on_new=lambda df, e: seen.append(df.count()))
+    n_distinct = hp.select("snippet_hash").distinct().count()
+    assert sum(seen) == n_distinct
+    assert read_ledger(spark, ledger).distinct().count() == n_distinct

@@ -126,3 +126,10 @@ def test_keyword_search_rejects_blank(spark):
     assert E.keyword_search(m, "wor%").count() == 0
     with pytest.raises(ValueError):
         E.keyword_search(m, "   ")
+
+
+def test_history_from_arrays_skips_runs_without_history(spark):
+    rows = [("a", {"loss": [1.0, 0.5, 0.25], "learning_rate": [1e-4, 9e-5]}), ("b", None)]
+    df = spark.createDataFrame(rows, "run_id string, metrics_history struct<loss:array<double>,learning_rate:array<double>>")
+    got = sorted(tuple(r) for r in H.history_from_arrays(df).collect())
+    assert got == [("a", 1, 1.0, 1e-4), ("a", 2, 0.5, 9e-5), ("a", 3, 0.25, None)]
