@@ -39,8 +39,30 @@ from ..functions import fixed
 _SEP = "\u0001"   # joins tokens of a word n-gram; cannot occur inside a token
 
 
+# Memory budget for one task's hash table of reference n-grams, and a
+# generous per-entry cost (key string + count + hash-map overhead).
+TASK_BUILD_BUDGET = 256 << 20
+BYTES_PER_GRAM = 64
+
+
+def scoring_partitions(pairs: DataFrame, ref_text: str, max_n: int) -> int:
+    """Number of partitions for the scoring repartition.
+
+    Proven bound: a reference has at most ``length(text)`` units (a token is
+    at least one character), hence at most ``max_n * length`` n-grams.  One
+    aggregate computes the total; partitions are added until each task's
+    reference hash table fits ``TASK_BUILD_BUDGET``.  Never fewer than
+    ``spark.sql.shuffle.partitions``.
+    """
+    spark = pairs.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = pairs.agg(F.sum(F.length(F.col(ref_text))).alias("c")).first()["c"] or 0
+    need = -(-total * max_n * BYTES_PER_GRAM // TASK_BUILD_BUDGET)
+    return max(base, int(need))
+
+
 def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max_n: int,
-                 length, gram) -> DataFrame:
+                 length, gram, parts: int) -> DataFrame:
     """Per pair: hyp_len, ref_len and clipped matches m1..m{max_n}.
 
     ``ref``/``hyp`` are the units to n-gram (a token array or a string);
@@ -55,8 +77,6 @@ def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max
     that partitioning (with ``requireAllClusterKeysForCoPartition`` off, see
     ``codeeval.session``), so no n-gram row is ever shuffled.
     """
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange per side; the length projections read the same exchanges
     # (Spark reuses identical exchange subtrees)
     hyp_side = pairs.select(*ids, hyp.alias("u")).repartition(parts, *ids)
@@ -147,7 +167,8 @@ def bleu_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "bleu") -> DataFrame:
     """M1: per-pair sentence BLEU of ``candidate`` against ``reference``."""
     n = fixed.BLEU_MAX_ORDER
-    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, F.size, _token_gram)
+    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, F.size, _token_gram,
+                      scoring_partitions(pairs, reference, n))
     return st.select(*ids, bleu_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 
@@ -156,7 +177,8 @@ def chrf_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "chrf") -> DataFrame:
     """M2: per-pair sentence chrF (character 1..6-grams, beta 2, 0..1)."""
     n = fixed.CHRF_CHAR_ORDER
-    st = _ngram_stats(pairs, ids, no_space(reference), no_space(candidate), n, F.char_length, _char_gram)
+    st = _ngram_stats(pairs, ids, no_space(reference), no_space(candidate), n, F.char_length, _char_gram,
+                      scoring_partitions(pairs, reference, n))
     return st.select(*ids, chrf_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 
