@@ -102,3 +102,11 @@ def report_lines(results: DataFrame, seq: str = "seq") -> DataFrame:
         F.lit(""), F.lit("## Results by Variation Type"), F.lit(""))).alias("line_no", "line")) \
         .select(F.col("line_no").cast("long"), "line")
     return head.unionByName(body)
+
+
+def base_prompts(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """J4, base mode: every prompt is sent unchanged with the common system
+    prompt and no variation name (a narrow projection, no join)."""
+    return prompts.select("*", F.lit(None).cast("string").alias("variation_name"),
+                          F.col(prompt).alias("variant_prompt"),
+                          F.lit(fixed.BASE_SYSTEM_PROMPT).alias("system_prompt"))

@@ -334,6 +334,13 @@ def prompt_variations(spark, sf):
         "prompt_index", "variation_no", "variation_name", "variant_prompt", "system_prompt")
 
 
+@query
+def base_prompts(spark, sf):
+    """J4 base mode: test prompts sent as is with the common system prompt."""
+    return PR.base_prompts(X.test_prompts(spark, sf)).select(
+        "prompt_index", "variation_name", "variant_prompt", "system_prompt")
+
+
 @query
 def apply_verdicts(spark, sf):
     return _verdicted_snippets(spark, sf).select("doc_id", "executed", "success", "message")

@@ -429,6 +429,8 @@ UNION ALL SELECT conv_id, 1::BIGINT, 'assistant', code FROM appended"""
     q["prompt_variations"] = f"""SELECT item_id AS prompt_index, variation_no, variation_name,
        replace(template, '{fixed.BASE_PLACEHOLDER}', text) AS variant_prompt, {lit(fixed.BASE_SYSTEM_PROMPT)} AS system_prompt
 FROM benchmark, {_templates_values()}"""
+    q["base_prompts"] = f"""SELECT item_id AS prompt_index, CAST(NULL AS VARCHAR) AS variation_name, text AS variant_prompt,
+       {lit(fixed.BASE_SYSTEM_PROMPT)} AS system_prompt FROM benchmark"""
     q["apply_verdicts"] = f"WITH {VERDICTED}\nSELECT doc_id, executed, success, message FROM verdicted"
 
     # scoring

@@ -42,3 +42,16 @@ def write_report(lines: DataFrame, path: str) -> None:
 def append_registry(new_rows: DataFrame, path: str) -> None:
     """Append the rows that G2 found absent."""
     new_rows.write.mode("append").json(path)
+
+
+def write_eval_document(scored: DataFrame, path: str, training_dataset_size: int,
+                        timestamp: str, metric: str = "bleu") -> None:
+    """S3 (D4): per-pair ``(reference, generated, bleu)`` rows as JSON Lines
+    under ``detailed_results/`` and the average as a one-row sidecar under
+    ``summary/`` -- the document's parts written in parallel instead of one
+    object through one writer."""
+    scored.select("reference", "generated", metric).write.mode("overwrite").json(f"{path}/detailed_results")
+    (scored.agg(F.coalesce(F.avg(metric), F.lit(0.0)).alias(metric))
+           .select(F.lit(timestamp).alias("timestamp"), F.struct(metric).alias("average_metrics"),
+                   F.lit(training_dataset_size).alias("training_dataset_size"))
+           .write.mode("overwrite").json(f"{path}/summary"))

@@ -81,3 +81,12 @@ def test_report_written_in_order(spark):
 def test_failing_snippets_reader_drops_corrupt(spark, tmp_path):
     (tmp_path / "f.json").write_text("{not json")
     assert R.read_failing_snippets(spark, str(tmp_path / "f.json")).count() == 0
+
+
+def test_eval_document_round_trip(spark):
+    scored = spark.createDataFrame([("r1", "g1", 0.5), ("r2", "g2", 0.25)], "reference string, generated string, bleu double")
+    path = scratch_path(spark, "t-evaldoc")
+    W.write_eval_document(scored, path, 265, "2025-01-01T00:00:00")
+    summary = spark.read.json(f"{path}/summary").first()
+    assert summary.average_metrics.bleu == 0.375 and summary.training_dataset_size == 265
+    assert spark.read.json(f"{path}/detailed_results").count() == 2
