@@ -8,12 +8,11 @@ task -- it is read with ``wholetext`` and exploded, which keeps file order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
-from ..operators.ordinals import global_ordinal
 from ..operators.registry import REGISTRY_DDL
 
 MESSAGE_DDL = "array<struct<`from`:string,value:string>>"
@@ -37,12 +36,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _with_file_order(df: DataFrame) -> DataFrame:
     """Attach ``conv_id`` = position of the record over all input files
-    (file name, then split start, then position inside the split)."""
+    (file path, then split start, then line order inside the split).
+
+    No record moves: one aggregate gives each input split its first row id
+    and row count (one row per split -- bounded by input bytes / split
+    size), the splits are prefix-summed in file order, and that small table
+    is broadcast back.  Row ids come from ``monotonically_increasing_id``,
+    which is deterministic for a given scan and increases in read order
+    within a split.
+    """
     d = (df.withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_start", F.col("_metadata.file_block_start"))
            .withColumn("_mid", F.monotonically_increasing_id()))
-    ords = global_ordinal(d, ["_file", "_start", "_mid"], out="conv_id")
-    return d.join(ords, ["_file", "_start", "_mid"]).drop("_file", "_start", "_mid")
+    splits = d.groupBy("_file", "_start").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_start", "_m0",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(splits), ["_file", "_start"])
+             .withColumn("conv_id", (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
+             .drop("_file", "_start", "_mid", "_m0", "_off"))
 
 
 def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
