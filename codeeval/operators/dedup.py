@@ -39,16 +39,47 @@ def ledger_update(ledger: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return seen.distinct() if ledger is None else ledger.select("snippet_hash").union(seen).distinct()
 
 
+# Most distinct colliding hashes broadcast by ``dedup_against_main`` (8 bytes each).
+MAX_BROADCAST_HASHES = 2_000_000
+
+
+def _exact_anti(pairs: DataFrame, values: DataFrame, prompt: str, code: str) -> DataFrame:
+    kept = pairs.join(values, pairs[prompt] == values["_v"], "left_anti")
+    return kept.join(values, kept[code] == values["_v"], "left_anti")
+
+
 def dedup_against_main(pairs: DataFrame, main_messages: DataFrame,
-                       prompt: str = "prompt", code: str = "code") -> DataFrame:
+                       prompt: str = "prompt", code: str = "code",
+                       max_broadcast_hashes: int = MAX_BROADCAST_HASHES) -> DataFrame:
     """Drop pairs whose prompt or code equals any message value (any
     role) of the main dataset.  Exact equality; a null never matches.
 
-    The main values are made distinct first (partial aggregation), then two
-    anti-joins; AQE splits a skewed probe side of either join."""
-    values = main_messages.select(F.col("text").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    kept = pairs.join(values, pairs[prompt] == values["_v"], "left_anti")
-    return kept.join(values, kept[code] == values["_v"], "left_anti")
+    Hash first, texts only where needed: the set H of 64-bit hashes that
+    occur both among the main values and among the pairs' prompts/codes is
+    found by shuffling hashes only.  A pair with neither hash in H cannot be
+    a duplicate and is kept without further work.  When H is within
+    ``max_broadcast_hashes`` (counted, not assumed) it is broadcast, both
+    sides are filtered map-side, and the exact text anti-joins run on the
+    candidates alone; otherwise the exact anti-joins run on everything.
+    """
+    values = main_messages.select(F.col("text").alias("_v")).filter(F.col("_v").isNotNull())
+    main_h = values.select(F.xxhash64("_v").alias("_h")).distinct()
+    pair_h = pairs.select(F.explode(F.array(F.xxhash64(prompt), F.xxhash64(code))).alias("_h")).distinct()
+    hot = pair_h.join(main_h, "_h", "left_semi")
+    n_hot = hot.count()
+    if n_hot > max_broadcast_hashes:
+        return _exact_anti(pairs, values.distinct(), prompt, code)
+    hot_b = F.broadcast(hot.checkpoint(eager=True))          # n_hot rows, checked above
+    p = pairs.withColumn("_hp", F.xxhash64(prompt)).withColumn("_hc", F.xxhash64(code))
+    in_hot_p = p.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_semi")
+    in_hot_c = p.join(hot_b.withColumnRenamed("_h", "_hc"), "_hc", "left_semi")
+    candidates = in_hot_p.unionByName(in_hot_c.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_anti"))
+    clean = (p.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_anti")
+              .join(hot_b.withColumnRenamed("_h", "_hc"), "_hc", "left_anti"))
+    cand_values = (values.withColumn("_h", F.xxhash64("_v"))
+                         .join(hot_b, "_h", "left_semi").select("_v").distinct())
+    survivors = _exact_anti(candidates, cand_values, prompt, code)
+    return clean.unionByName(survivors).drop("_hp", "_hc")
 
 
 def append_working(main_messages: DataFrame, passing_pairs: DataFrame,

@@ -44,6 +44,9 @@ def test_dedup_against_main(spark):
                                   "conv_id long, k long, prompt string, code string")
     kept = sorted(r.conv_id for r in D.dedup_against_main(pairs, main).collect())
     assert kept == [3, 4]           # a null never matches
+    # the exact fallback (hash set over its bound) gives the same rows
+    fallback = sorted(r.conv_id for r in D.dedup_against_main(pairs, main, max_broadcast_hashes=0).collect())
+    assert fallback == kept
 
 
 def test_append_working_numbers_after_main(spark):
