@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .ordinals import running_sum_within
 
 
 def _template_role(role):
@@ -45,13 +46,13 @@ def response_spans(messages: DataFrame, begin: str = fixed.CHAT_BEGIN) -> DataFr
     """Character span ``[span_start, span_end)`` of every assistant turn's
     text plus terminator inside the chat-template text -- the part that is
     trained on.  Offsets are a running sum of segment lengths per
-    conversation."""
+    conversation, blocked so one long conversation is not one task."""
     seg_len = F.length(_segment(F.col("role"), F.col("text")))
     head_len = F.length(F.concat(F.lit(fixed.CHAT_HEADER_START), _template_role(F.col("role")),
                                  F.lit(fixed.CHAT_HEADER_END)))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     d = messages.select("conv_id", "turn", "role", seg_len.alias("_len"), head_len.alias("_head"))
-    d = d.withColumn("_before", F.coalesce(F.sum("_len").over(w), F.lit(0)) + F.lit(len(begin)))
+    d = running_sum_within(d, ["conv_id"], "turn", "_len", "_before", inclusive=False) \
+        .withColumn("_before", F.col("_before") + F.lit(len(begin)))
     return (d.filter(F.col("role") == fixed.ASSISTANT)
              .select("conv_id", "turn",
                      (F.col("_before") + F.col("_head")).cast("long").alias("span_start"),

@@ -49,6 +49,25 @@ def rank_within(df: DataFrame, part: list[str], order: str | list[str], out: str
              .drop("_blk", "_local", "_off"))
 
 
+def running_sum_within(df: DataFrame, part: list[str], order: str, value: str, out: str,
+                       inclusive: bool = True, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` within ``part`` in ``order``
+    (``inclusive`` of the current row or not).  Same blocking as
+    ``rank_within``: a window sees at most ``block`` rows, block totals are
+    prefix-summed over a ``block``-times smaller table and joined back.
+    ``order`` is integral and unique within ``part``."""
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("long"))
+    frame = Window.partitionBy(*part, "_blk").orderBy(order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    d = d.withColumn("_local", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    totals = d.groupBy(*part, "_blk").agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return (d.join(offsets, part + ["_blk"])
+             .withColumn(out, F.col("_off") + F.col("_local"))
+             .drop("_blk", "_local", "_off"))
+
+
 def global_ordinal(df: DataFrame, key: str | list[str], out: str = "ordinal",
                    partitions: int | None = None) -> DataFrame:
     """Distinct ``key`` tuples with their 0-based position in ascending order.

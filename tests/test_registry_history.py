@@ -133,3 +133,15 @@ def test_history_from_arrays_skips_runs_without_history(spark):
     df = spark.createDataFrame(rows, "run_id string, metrics_history struct<loss:array<double>,learning_rate:array<double>>")
     got = sorted(tuple(r) for r in H.history_from_arrays(df).collect())
     assert got == [("a", 1, 1.0, 1e-4), ("a", 2, 0.5, 9e-5), ("a", 3, 0.25, None)]
+
+
+def test_running_sum_within_blocks(spark):
+    from codeeval.operators.ordinals import running_sum_within
+    rows = [(1, t, t * 2) for t in range(40)] + [(2, 0, 5)]
+    df = spark.createDataFrame(rows, "g long, t long, v long")
+    inc = {(r.g, r.t): r.s for r in running_sum_within(df, ["g"], "t", "v", "s", block=7).collect()}
+    exc = {(r.g, r.t): r.s for r in running_sum_within(df, ["g"], "t", "v", "s", inclusive=False, block=7).collect()}
+    for t in range(40):
+        assert inc[(1, t)] == sum(2 * x for x in range(t + 1))
+        assert exc[(1, t)] == sum(2 * x for x in range(t))
+    assert inc[(2, 0)] == 5 and exc[(2, 0)] == 0
