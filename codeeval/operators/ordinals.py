@@ -6,6 +6,7 @@ when one key holds a large share of the rows.
   ``block`` consecutive order values, so a window never sees more than
   ``block`` rows; the per-block counts (``rows / block`` of them) are
   prefix-summed and joined back.
+* ``running_sum_within`` -- the same blocking for a running sum.
 * ``global_ordinal`` -- 0-based position of every distinct value of a column
   over the whole table (what ``zipWithIndex`` gives), computed from a
   range-partitioned, checkpointed copy of the key column plus a table of

@@ -128,9 +128,19 @@ def read_pairs_long(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Run registry (D9) with its file position as ``seq``."""
-    df = spark.read.schema(REGISTRY_DDL + ", seq long").option("multiLine", multiline).json(path)
-    return df
+    """Run registry.
+
+    ``multiline=True`` reads the legacy layout -- one JSON array per file --
+    and sets ``seq`` to the record's position in the array (file order is
+    the registry's order).  ``multiline=False`` reads JSON Lines written by
+    ``append_registry``, whose rows carry their own ``seq``.
+    """
+    if multiline:
+        raw = spark.read.text(path, wholetext=True)
+        arr = F.from_json("value", f"array<struct<{REGISTRY_DDL}>>")
+        return (raw.select(F.posexplode(arr).alias("seq", "r"))
+                   .select("r.*", F.col("seq").cast("long").alias("seq")))
+    return spark.read.schema(REGISTRY_DDL + ", seq long").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -90,3 +90,14 @@ def test_eval_document_round_trip(spark):
     summary = spark.read.json(f"{path}/summary").first()
     assert summary.average_metrics.bleu == 0.375 and summary.training_dataset_size == 265
     assert spark.read.json(f"{path}/detailed_results").count() == 2
+
+
+def test_legacy_registry_array_gets_file_order(spark, tmp_path):
+    from codeeval.operators.registry import best_run_per_size
+    recs = [{"model_hash": h, "train_dataset_size": 48, "avg_bleu": 0.3,
+             "execution_check": {"successful_runs": ok, "total_snippets": 17}, "lora_rank": 64,
+             "target_modules": ["q_proj", "v_proj"]} for h, ok in (("a", 5), ("b", 7), ("c", 7))]
+    (tmp_path / "trained_models.json").write_text(json.dumps(recs, indent=2))
+    reg = R.read_registry(spark, str(tmp_path / "trained_models.json"))
+    assert sorted((r.seq, r.model_hash) for r in reg.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    assert best_run_per_size(reg).first().model_hash == "b"     # tie with "c": file order wins
