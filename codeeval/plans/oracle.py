@@ -154,8 +154,14 @@ def transcripts(src: str, name: str) -> str:
 TOKEN_PAT = fixed.WORD_TOKEN_PATTERN
 
 
+def gram_expr(k: int) -> str:
+    """The k-token n-gram starting at the current token (NULL past the end)."""
+    return " || chr(1) || ".join(["w"] + [f"lead(w, {j}) OVER x" for j in range(1, k)])
+
+
 def bleu_ctes(src: str, ids: list[str], ref: str, hyp: str, name: str) -> str:
-    """CTEs ending in ``name(ids..., bleu)`` (unrounded)."""
+    """CTEs ending in ``name(ids..., bleu)`` (unrounded).  Word n-grams are
+    built with ``lead`` over the unnested tokens."""
     idl = ", ".join(ids)
     n = fixed.BLEU_MAX_ORDER
     ms = ", ".join(f"sum(CASE WHEN n = {k} THEN least(ch, cr) ELSE 0 END) AS m{k}" for k in range(1, n + 1))
@@ -172,15 +178,15 @@ def bleu_ctes(src: str, ids: list[str], ref: str, hyp: str, name: str) -> str:
     return f"""{name}_t AS (
   SELECT {idl}, regexp_extract_all(coalesce({ref}, ''), '{TOKEN_PAT}') AS rt,
          regexp_extract_all(coalesce({hyp}, ''), '{TOKEN_PAT}') AS ht FROM {src}),
-{name}_hp AS (SELECT {idl}, ht, unnest(range(1, len(ht) + 1)) AS i FROM {name}_t),
-{name}_rp AS (SELECT {idl}, rt, unnest(range(1, len(rt) + 1)) AS i FROM {name}_t),
-{name}_on AS (SELECT unnest(range(1, {n + 1})) AS n),
-{name}_g AS (
-  SELECT {idl}, o.n, array_to_string(ht[i:i + o.n - 1], chr(1)) AS g, 1 AS h, 0 AS r
-  FROM {name}_hp, {name}_on o WHERE i + o.n - 1 <= len(ht)
+{name}_tok AS (
+  SELECT {idl}, 1 AS h, unnest(ht) AS w, generate_subscripts(ht, 1) AS i FROM {name}_t
   UNION ALL
-  SELECT {idl}, o.n, array_to_string(rt[i:i + o.n - 1], chr(1)) AS g, 0 AS h, 1 AS r
-  FROM {name}_rp, {name}_on o WHERE i + o.n - 1 <= len(rt)),
+  SELECT {idl}, 0 AS h, unnest(rt) AS w, generate_subscripts(rt, 1) AS i FROM {name}_t),
+{name}_w AS (
+  SELECT {idl}, h, {", ".join(f"{gram_expr(k)} AS g{k}" for k in range(1, n + 1))}
+  FROM {name}_tok WINDOW x AS (PARTITION BY {idl}, h ORDER BY i)),
+{name}_g AS (
+  {" UNION ALL ".join(f"SELECT {idl}, {k} AS n, g{k} AS g, h, 1 - h AS r FROM {name}_w WHERE g{k} IS NOT NULL" for k in range(1, n + 1))}),
 {name}_c AS (SELECT {idl}, n, g, sum(h) AS ch, sum(r) AS cr FROM {name}_g GROUP BY {idl}, n, g),
 {name}_m AS (SELECT {idl}, {ms} FROM {name}_c GROUP BY {idl}),
 {name}_s AS (SELECT {", ".join("t." + i for i in ids)}, len(t.ht) AS hl, len(t.rt) AS rl, {mc}
