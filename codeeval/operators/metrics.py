@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import task_memory_bytes
 
 _SEP = "\u0001"   # joins tokens of a word n-gram; cannot occur inside a token
 
@@ -51,13 +52,15 @@ def scoring_partitions(pairs: DataFrame, ref_text: str, max_n: int) -> int:
     Proven bound: a reference has at most ``length(text)`` units (a token is
     at least one character), hence at most ``max_n * length`` n-grams.  One
     aggregate computes the total; partitions are added until each task's
-    reference hash table fits ``TASK_BUILD_BUDGET``.  Never fewer than
-    ``spark.sql.shuffle.partitions``.
+    reference hash table fits the budget -- ``TASK_BUILD_BUDGET`` or half of
+    what one concurrent task may use on this session's executors, whichever
+    is smaller.  Never fewer than ``spark.sql.shuffle.partitions``.
     """
     spark = pairs.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    budget = min(TASK_BUILD_BUDGET, task_memory_bytes(spark) // 2)
     total = pairs.agg(F.sum(F.length(F.col(ref_text))).alias("c")).first()["c"] or 0
-    need = -(-total * max_n * BYTES_PER_GRAM // TASK_BUILD_BUDGET)
+    need = -(-total * max_n * BYTES_PER_GRAM // budget)
     return max(base, int(need))
 
 

@@ -82,3 +82,27 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder, unique per call."""
     return os.path.join(shared_dir(spark), "codeeval", f"{name}-{uuid.uuid4().hex}")
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().rstrip("b")
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)
+
+
+def task_memory_bytes(spark: SparkSession) -> int:
+    """Execution memory one concurrent task can count on: the executor's
+    unified memory share (``spark.memory.fraction`` of heap minus the 300 MB
+    reserve) divided by its cores.  In local mode the driver is the
+    executor."""
+    conf = spark.conf
+    master = conf.get("spark.master", "") or ""
+    local = master.startswith("local")
+    heap = _bytes(conf.get("spark.driver.memory" if local else "spark.executor.memory", None) or "1g")
+    frac = float(conf.get("spark.memory.fraction", None) or 0.6)
+    if local:
+        n = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+        cores = (os.cpu_count() or 1) if n.strip("*") == "" else int(n.split(",")[0])
+    else:
+        cores = int(conf.get("spark.executor.cores", None) or 1)
+    return max(1 << 20, int((heap - (300 << 20)) * frac) // max(cores, 1))
