@@ -6,6 +6,8 @@ Plan shape (both metrics)
    id -- the only shuffles, and they move each text once.
 2. Each side expands into its n-grams with two ``explode`` generators
    (positions, then orders) -- codegen'd, streamed, no per-row arrays.
+   Word n-grams are string keys; character n-grams are packed exactly into
+   two longs (three 21-bit code points each), a fixed-width key.
 3. Reference n-grams are counted (``groupBy(id, n, gram)``); hypothesis
    n-grams are hash-joined against those counts, so only n-grams that can
    match are aggregated; per-order hypothesis totals come from the length.
@@ -68,9 +70,9 @@ def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max
                  length, gram, parts: int) -> DataFrame:
     """Per pair: hyp_len, ref_len and clipped matches m1..m{max_n}.
 
-    ``ref``/``hyp`` are the units to n-gram (a token array or a string);
-    ``length(u)`` gives the number of units and ``gram(u, i, n)`` the n-gram
-    starting at 1-based position ``i``.
+    ``ref``/``hyp`` are the units to n-gram (a token or code-point array);
+    ``length(u)`` gives the number of units and ``gram(u, i, n)`` the key
+    columns of the n-gram starting at 1-based position ``i``.
 
     Only n-grams present in the reference can match, and the number of
     hypothesis n-grams per order follows from its length, so hypothesis
@@ -90,11 +92,12 @@ def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max
     def expand(side: DataFrame) -> DataFrame:
         u = F.col("u")
         pos = side.select(*ids, "u", F.explode(F.sequence(F.lit(1), F.greatest(length(u), F.lit(1)))).alias("i"))
+        g = gram(u, F.col("i"), F.col("n"))
         return (pos.select(*ids, "u", "i", F.explode(F.array(*[F.lit(k) for k in range(1, max_n + 1)])).alias("n"))
                    .filter(F.col("i") + F.col("n") - 1 <= length(u))
-                   .select(*ids, "n", gram(u, F.col("i"), F.col("n")).alias("g")))
+                   .select(*ids, "n", *[c.alias(f"g{j}") for j, c in enumerate(g)]))
 
-    keys = [*ids, "n", "g"]
+    keys = [*ids, "n", *[f"g{j}" for j in range(len(gram(F.col("u"), F.lit(1), F.lit(1))))]]
     ref_counts = expand(ref_side).groupBy(*keys).agg(F.count(F.lit(1)).alias("cr"))
     matched = (expand(hyp_side).join(ref_counts.hint("shuffle_hash"), keys, "inner")
                                .groupBy(*keys).agg(F.count(F.lit(1)).alias("ch"), F.max("cr").alias("cr")))
@@ -106,12 +109,22 @@ def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max
                       *[F.coalesce(F.col(f"m{k}"), F.lit(0)).alias(f"m{k}") for k in range(1, max_n + 1)])
 
 
-def _token_gram(u: Column, i: Column, n: Column) -> Column:
-    return F.array_join(F.slice(u, i, n), _SEP)
+def _token_gram(u: Column, i: Column, n: Column) -> list[Column]:
+    """A word n-gram as one string key (tokens joined by a separator that no
+    token contains)."""
+    return [F.array_join(F.slice(u, i, n), _SEP)]
 
 
-def _char_gram(u: Column, i: Column, n: Column) -> Column:
-    return F.substring(u, i, n)
+def _char_gram(u: Column, i: Column, n: Column) -> list[Column]:
+    """A character n-gram (n <= 6) of a code-point array as two longs of three
+    21-bit code points each -- an exact, fixed-width key.  Slots past ``n``
+    are 0; ``n`` is part of the key, so padding is unambiguous."""
+    def cp(j: int) -> Column:
+        return F.when(n > j, F.coalesce(F.get(u, i - 1 + j), F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+    def pack(a: int) -> Column:
+        return F.shiftleft(cp(a), 42).bitwiseOR(F.shiftleft(cp(a + 1), 21)).bitwiseOR(cp(a + 2))
+    return [pack(0), pack(3)]
 
 
 def tokens(col: str) -> Column:
@@ -125,6 +138,12 @@ def no_space(col: str) -> Column:
     return F.translate(F.coalesce(F.col(col), F.lit("")), fixed.PY_WHITESPACE, "")
 
 
+def code_points(text: Column) -> Column:
+    """The text's code points as ``array<int>`` (empty for an empty text)."""
+    return F.when(F.length(text) == 0, F.array().cast("array<int>")) \
+            .otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
+
+
 def bleu_formula(hyp_len: Column, ref_len: Column, matches: list[Column],
                  k: float = fixed.BLEU_SMOOTHING_K) -> Column:
     """Closing BLEU formula over per-order clipped matches."""
@@ -180,7 +199,8 @@ def chrf_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "chrf") -> DataFrame:
     """M2: per-pair sentence chrF (character 1..6-grams, beta 2, 0..1)."""
     n = fixed.CHRF_CHAR_ORDER
-    st = _ngram_stats(pairs, ids, no_space(reference), no_space(candidate), n, F.char_length, _char_gram,
+    st = _ngram_stats(pairs, ids, code_points(no_space(reference)), code_points(no_space(candidate)), n, F.size,
+                      _char_gram,
                       scoring_partitions(pairs, reference, n))
     return st.select(*ids, chrf_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
