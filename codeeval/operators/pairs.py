@@ -45,17 +45,25 @@ def pair_positional(messages: DataFrame) -> DataFrame:
                     .dropna(subset=["prompt", "reference"]))
 
 
-def _role_ranked(messages: DataFrame, role: str) -> DataFrame:
-    m = messages.filter(F.col("role") == role).select("conv_id", "turn", "text")
-    return rank_within(m, ["conv_id"], "turn", out="k")
+def _role_ranks(messages: DataFrame) -> DataFrame:
+    """Human and assistant messages with ``k`` = their 0-based position among
+    the conversation's messages of the same role -- one ranking pass for
+    both roles (the two role branches below share its exchanges)."""
+    m = (messages.filter(F.col("role").isin(fixed.HUMAN, fixed.ASSISTANT))
+                 .select("conv_id", "turn", "role", "text"))
+    return rank_within(m, ["conv_id", "role"], "turn", out="k")
+
+
+def _role_side(ranked: DataFrame, role: str, out: str) -> DataFrame:
+    return ranked.filter(F.col("role") == role).select("conv_id", "k", F.col("text").alias(out))
 
 
 def pair_role_zip(messages: DataFrame) -> DataFrame:
     """K-th human message with k-th assistant message; surplus on either
     side dropped; other roles ignored.  Roles must be normalised."""
-    humans = _role_ranked(messages, fixed.HUMAN).select("conv_id", "k", F.col("text").alias("prompt"))
-    codes = _role_ranked(messages, fixed.ASSISTANT).select("conv_id", "k", F.col("text").alias("code"))
-    return humans.join(codes, ["conv_id", "k"], "inner")
+    ranked = _role_ranks(messages)
+    return _role_side(ranked, fixed.HUMAN, "prompt").join(_role_side(ranked, fixed.ASSISTANT, "code"),
+                                                          ["conv_id", "k"], "inner")
 
 
 def pair_role_zip_context(messages: DataFrame) -> DataFrame:
@@ -73,7 +81,8 @@ def pair_role_zip_context(messages: DataFrame) -> DataFrame:
         (F.row_number().over(w) - 1).cast("long").alias("k"),
         F.array_join(F.collect_list(F.concat(F.lit(fixed.HUMAN_PREFIX), F.col("text"))).over(running),
                      "\n").alias("prompt"))
-    codes = _role_ranked(messages, fixed.ASSISTANT).select("conv_id", "k", F.col("text").alias("code"))
+    codes = rank_within(messages.filter(F.col("role") == fixed.ASSISTANT).select("conv_id", "turn", "text"),
+                        ["conv_id"], "turn", out="k").select("conv_id", "k", F.col("text").alias("code"))
     return humans.join(codes, ["conv_id", "k"], "inner")
 
 
