@@ -21,13 +21,16 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"   # hash floats exactly as returned
+
+
 def _norm(v):
     if v is None:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return repr(round(v, 6))
+        return repr(v) if STRICT else repr(round(v, 6))
     if hasattr(v, "item"):
         return _norm(v.item())
     return repr(v)
