@@ -1,7 +1,6 @@
 """J1-J5, R1, R3 and the streaming dedup."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from codeeval.operators import dedup as D
 from codeeval.operators import verdicts as V

@@ -1,7 +1,6 @@
 """M1-M4: sentence BLEU and chrF against an independent Python oracle."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from codeeval.operators import metrics as M
 from tests import pyoracle as O
