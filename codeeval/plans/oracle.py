@@ -333,7 +333,7 @@ WHERE coalesce(prompt, '') <> '' OR coalesce(code, '') <> ''"""
 SELECT model_hash, seq, model_type, train_dataset_size, round(avg_bleu, 6) AS avg_bleu, successful_runs, total_snippets
 FROM reg"""
     q["rebuild_conversations"] = """SELECT conv_id, count(*) AS n_messages,
-       to_json(list({'from': role, 'value': text} ORDER BY turn)) AS conversations_json
+       CAST(to_json(list({'from': role, 'value': text} ORDER BY turn)) AS VARCHAR) AS conversations_json
 FROM conversations GROUP BY conv_id"""
     q["report_lines"] = f"""WITH {EVAL_RESULTS},
 per AS (SELECT variation_name, min(seq) AS f, avg(bleu) AS b, sum(successful_runs) AS ok, sum(total_runs) AS tot

@@ -42,6 +42,11 @@ def digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -59,6 +64,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             df = qs[name](spark, sf_dir)
             s_cols = df.columns
+            s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                       for f in df.schema.fields}
             s_rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = f"spark error: {type(e).__name__}: {str(e)[:300]}"
@@ -71,6 +78,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             rel = con.execute(sql[name])
             d_cols = [c[0] for c in rel.description]
+            d_types = {c[0]: str(c[1]) for c in rel.description}
             d_rows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = f"duckdb error: {str(e)[:400]}"
@@ -79,6 +87,9 @@ def compare(spark, sf_dir, names=None, verbose=True):
         problems = []
         if sorted(s_cols) != sorted(d_cols):
             problems.append(f"columns spark={s_cols} duck={d_cols}")
+        type_diff = {c: (s_types.get(c), d_types.get(c)) for c in d_cols if s_types.get(c) != d_types.get(c)}
+        if type_diff:
+            problems.append(f"types {type_diff}")
         if len(s_rows) != len(d_rows):
             problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
         if not problems:
