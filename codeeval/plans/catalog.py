@@ -50,17 +50,22 @@ def _context_pairs(spark, sf):
     return P.pair_role_zip_context(X.messages(spark, sf))
 
 
+def _cleaned_snippets(spark, sf):
+    return X.doc_snippets(spark, sf).withColumn("code", T.strip_backticks("response"))
+
+
 def _verdicted_snippets(spark, sf):
-    snip = X.doc_snippets(spark, sf).withColumn("code", T.strip_backticks("response"))
-    return V.apply_verdicts(snip, X.verdicts(spark, sf), ["doc_id"], build=True, run=True)
+    return V.apply_verdicts(_cleaned_snippets(spark, sf), X.verdicts(spark, sf), ["doc_id"], build=True, run=True)
 
 
 def evaluation_results(spark, sf):
     """Prompt-evaluation results: X4-cleaned response, BLEU against the prompt
     (M4 wiring), verdict (J5) -> (seq, prompt, variation_name, bleu,
-    successful_runs, total_runs)."""
+    successful_runs, total_runs).  Scoring reads the cleaned snippets
+    directly -- it does not depend on the verdict join."""
     v = _verdicted_snippets(spark, sf)
-    bleu = M.bleu_pairs(v, ["doc_id"], reference="prompt", candidate="code")
+    bleu = M.bleu_pairs(_cleaned_snippets(spark, sf).select("doc_id", "prompt", "code"), ["doc_id"],
+                        reference="prompt", candidate="code")
     return (v.join(bleu, "doc_id")
              .select("doc_id", "seq", "prompt", "variation_name", "bleu",
                      F.coalesce(F.col("success"), F.lit(False)).cast("long").alias("successful_runs"),
