@@ -160,8 +160,13 @@ def read_failing_snippets(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], FAILING_DDL)
 
 
-def read_metric_history(spark: SparkSession, path: str) -> DataFrame:
-    """Per-run training metrics; runs without ``metrics_history`` are
-    skipped."""
-    return (spark.read.schema(HISTORY_DDL).json(path)
-                 .filter(F.col("metrics_history").isNotNull()))
+def read_metric_history(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Per-run training metrics.  In the original layout every run
+    folder holds one ``training_metrics.json`` object and the folder names
+    the run: ``run_id`` is taken from the record when present, else from the
+    parent folder of the file.  Runs without ``metrics_history`` are skipped.
+    ``path`` may be a glob such as ``out/*/training_metrics.json``."""
+    df = spark.read.schema(HISTORY_DDL).option("multiLine", multiline).json(path)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return (df.withColumn("run_id", F.coalesce(F.col("run_id"), folder))
+              .filter(F.col("metrics_history").isNotNull()))

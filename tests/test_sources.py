@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from codeeval.session import scratch_path
 from codeeval.sources import readers as R
 from codeeval.sources import writers as W
@@ -101,3 +103,18 @@ def test_legacy_registry_array_gets_file_order(spark, tmp_path):
     reg = R.read_registry(spark, str(tmp_path / "trained_models.json"))
     assert sorted((r.seq, r.model_hash) for r in reg.collect()) == [(0, "a"), (1, "b"), (2, "c")]
     assert best_run_per_size(reg).first().model_hash == "b"     # tie with "c": file order wins
+
+
+def test_metric_history_run_folders(spark, tmp_path):
+    from codeeval.operators.history import history_from_arrays, loss_smoothing
+    for run, hist in (("trial_a", {"loss": [3.0, 2.0, 1.0, 0.5, 0.4, 0.3], "learning_rate": [1e-4] * 6}),
+                      ("trial_b", None)):
+        (tmp_path / run).mkdir()
+        body = {"training_time_seconds": 1.5, "training_stats": {"x": 1}}
+        if hist is not None:
+            body["metrics_history"] = hist
+        (tmp_path / run / "training_metrics.json").write_text(json.dumps(body, indent=2))
+    runs = R.read_metric_history(spark, str(tmp_path / "*" / "training_metrics.json"))
+    assert [r.run_id for r in runs.collect()] == ["trial_a"]
+    sm = {r.step: r.smoothed for r in loss_smoothing(history_from_arrays(runs)).collect()}
+    assert sm[6] == pytest.approx((2.0 + 1.0 + 0.5 + 0.4 + 0.3) / 5)
