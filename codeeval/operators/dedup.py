@@ -85,8 +85,9 @@ def dedup_against_main(pairs: DataFrame, main_messages: DataFrame,
 def append_working(main_messages: DataFrame, passing_pairs: DataFrame,
                    order: str = "conv_id") -> DataFrame:
     """Passing, non-duplicate pairs become 2-message conversations
-    appended after the main dataset, in ``order``.  Duplicates inside the
-    batch are kept.  An empty main dataset gets nothing appended.
+    appended after the main dataset, in ``order`` (a key that is unique
+    among the passing pairs).  Duplicates inside the batch are kept.  An
+    empty main dataset gets nothing appended.
 
     Returns the whole new main dataset as messages."""
     new = dedup_against_main(passing_pairs, main_messages)
