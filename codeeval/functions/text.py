@@ -132,3 +132,33 @@ def normalize_role(c: ColumnLike) -> Column:
     mapping = F.create_map(*[F.lit(x) for kv in fixed.ROLE_ALIASES.items() for x in kv])
     r = F.lower(_c(c))
     return F.coalesce(mapping[r], r)
+
+
+def format_fixed(c: ColumnLike, digits: int) -> Column:
+    """Python's ``f"{x:.{digits}f}"`` for finite, non-negative doubles.
+
+    Python rounds the exact binary value (ties to even); Spark's
+    ``format_string``/``bround`` round its shortest decimal form, which
+    differs for values like 0.00015 or 2.675.  Here ``x * 10^digits`` is
+    split into its rounded product ``p`` plus the exact error ``err``
+    (Dekker's product with a Veltkamp split; ``10^digits`` has few enough
+    bits that its own split is exact), and the sign of
+    ``(p - floor(p) - 0.5) + err`` -- exact, because the first term is exact
+    and rounding never changes a sign -- decides the rounding.
+    """
+    assert 0 <= digits <= 8
+    x = _c(c).cast("double")
+    scale = float(10 ** digits)
+    p = x * F.lit(scale)
+    cx = x * F.lit(134217729.0)                       # 2^27 + 1
+    hi = cx - (cx - x)
+    lo = x - hi
+    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    f = F.floor(p)
+    t = (p - f - F.lit(0.5)) + err
+    k = f + F.when(t > 0, 1).when(t < 0, 0).otherwise(f % 2)
+    k = k.cast("long")
+    if digits == 0:
+        return F.format_string("%d", k)
+    return F.format_string(f"%d.%0{digits}d", F.floor(k / F.lit(10 ** digits)).cast("long"),
+                           (k % F.lit(10 ** digits)).cast("long"))

@@ -77,7 +77,8 @@ def report_lines(results: DataFrame, seq: str = "seq") -> DataFrame:
 
     Aggregation happens first (one row per variation); variations appear in
     order of their first result, as in an insertion-ordered dict.  Numbers
-    are rounded half-even before formatting, like Python's ``format``.
+    are formatted exactly as Python's ``f"{x:.4f}"`` / ``f"{x:.2f}"``
+    (``functions.text.format_fixed``).
     """
     per = (results.groupBy("variation_name")
                   .agg(F.min(seq).alias("_first"), F.avg("bleu").alias("_bleu"),
@@ -87,9 +88,9 @@ def report_lines(results: DataFrame, seq: str = "seq") -> DataFrame:
     body = ranked.select(
         F.posexplode(F.array(
             F.concat(F.lit("### "), F.col("variation_name")),
-            F.concat(F.lit("- Average BLEU Score: "), F.format_string("%.4f", F.bround("_bleu", 4))),
+            F.concat(F.lit("- Average BLEU Score: "), T.format_fixed("_bleu", 4)),
             F.concat(F.lit("- Success Rate: "),
-                     F.format_string("%.2f", F.bround(T.safe_rate("_ok", "_total") * 100, 2)),
+                     T.format_fixed(T.safe_rate("_ok", "_total") * 100, 2),
                      F.lit("% ("), F.col("_ok").cast("string"), F.lit("/"),
                      F.col("_total").cast("string"), F.lit(" snippets)")),
             F.lit(""))).alias("_pos", "line"), "_rank") \

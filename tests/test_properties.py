@@ -49,3 +49,19 @@ def test_scores_match_python(spark, pairs):
     for i, (ref, cand) in enumerate(pairs):
         assert b[i] == pytest.approx(O.bleu(ref, cand), abs=1e-12)
         assert c[i] == pytest.approx(O.chrf(ref, cand), abs=1e-12)
+
+
+doubles = st.lists(st.one_of(st.floats(min_value=0, max_value=1e6, allow_nan=False, allow_infinity=False),
+                             st.sampled_from([0.00015, 0.125, 0.03125, 2.675, 0.12345, 0.5, 1.5, 2.5, 1e-9, 99.995])),
+                   min_size=1, max_size=200)
+
+
+@SETTINGS
+@given(doubles)
+def test_format_fixed_is_python_format(spark, xs):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    got = {r.i: (r.f4, r.f2, r.f0) for r in df.select("i", T.format_fixed("x", 4).alias("f4"),
+                                                        T.format_fixed("x", 2).alias("f2"),
+                                                        T.format_fixed("x", 0).alias("f0")).collect()}
+    for i, x in enumerate(xs):
+        assert got[i] == (f"{x:.4f}", f"{x:.2f}", f"{x:.0f}"), x
