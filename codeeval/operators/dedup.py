@@ -65,11 +65,12 @@ def dedup_against_main(pairs: DataFrame, main_messages: DataFrame,
     values = main_messages.select(F.col("text").alias("_v")).filter(F.col("_v").isNotNull())
     main_h = values.select(F.xxhash64("_v").alias("_h")).distinct()
     pair_h = pairs.select(F.explode(F.array(F.xxhash64(prompt), F.xxhash64(code))).alias("_h")).distinct()
-    hot = pair_h.join(main_h, "_h", "left_semi")
+    # materialised once (8 bytes per colliding hash), then counted
+    hot = pair_h.join(main_h, "_h", "left_semi").checkpoint(eager=True)
     n_hot = hot.count()
     if n_hot > max_broadcast_hashes:
         return _exact_anti(pairs, values.distinct(), prompt, code)
-    hot_b = F.broadcast(hot.checkpoint(eager=True))          # n_hot rows, checked above
+    hot_b = F.broadcast(hot)                                  # n_hot rows, checked above
     p = pairs.withColumn("_hp", F.xxhash64(prompt)).withColumn("_hc", F.xxhash64(code))
     in_hot_p = p.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_semi")
     in_hot_c = p.join(hot_b.withColumnRenamed("_h", "_hc"), "_hc", "left_semi")
