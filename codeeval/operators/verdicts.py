@@ -47,10 +47,14 @@ def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, keys: list[str],
 
 
 def execution_rate(verdicted: DataFrame, skipped: DataFrame | None = None,
-                   group: list[str] | None = None) -> DataFrame:
+                   group: list[str] | None = None, dataset: DataFrame | None = None) -> DataFrame:
     """Successful runs, total snippets (skipped pairs still count),
     executed snippets, conversations and the guarded rate.  One aggregate
-    pass with partial aggregation."""
+    pass with partial aggregation.
+
+    ``conversations`` counts the conversations seen among the pairs; pass
+    the ``dataset`` (messages or conversations with ``conv_id``) to count
+    every conversation processed, including those that yield no pair."""
     group = group or []
     d = verdicted.select(*group, "conv_id",
                          F.coalesce(F.col("success"), F.lit(False)).cast("long").alias("_ok"),
@@ -62,6 +66,11 @@ def execution_rate(verdicted: DataFrame, skipped: DataFrame | None = None,
                                 F.count(F.lit(1)).alias("total_snippets"),
                                 F.sum("_ex").alias("executed_snippets"),
                                 F.countDistinct("conv_id").alias("conversations"))
+    if dataset is not None:
+        conv = dataset.groupBy(*group).agg(F.countDistinct("conv_id").alias("conversations"))
+        agg = agg.drop("conversations")
+        # ungrouped: both sides are one row
+        agg = agg.join(conv, group, "left") if group else agg.crossJoin(F.broadcast(conv))
     return agg.withColumn("success_rate", F.round(T.safe_rate("successful_runs", "total_snippets"), 6))
 
 

@@ -396,7 +396,7 @@ def execution_rate(spark, sf):
     kept = D.dedup_ledger(hashed, None, order=("conv_id", "k"))
     skipped = hashed.join(kept.select("conv_id", "k"), ["conv_id", "k"], "left_anti")
     v = V.apply_verdicts(kept, X.verdicts(spark, sf), ["doc_id"])
-    return V.execution_rate(v, skipped=skipped)
+    return V.execution_rate(v, skipped=skipped, dataset=snip)
 
 
 @query

@@ -112,3 +112,10 @@ def test_dedup_stream_to_ledger(spark):
     n_distinct = hp.select("snippet_hash").distinct().count()
     assert sum(seen) == n_distinct
     assert read_ledger(spark, ledger).distinct().count() == n_distinct
+
+
+def test_execution_rate_counts_dataset_conversations(spark):
+    verdicted = spark.createDataFrame([(1, True, True)], "conv_id long, executed boolean, success boolean")
+    dataset = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "conv_id long, turn long")   # 2 and 3 yield no pair
+    r = V.execution_rate(verdicted, dataset=dataset).first()
+    assert (r.successful_runs, r.total_snippets, r.conversations) == (1, 1, 3)
