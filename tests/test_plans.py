@@ -34,3 +34,12 @@ def test_queries_match_oracle(spark):
     res = compare(spark, SF_SMALL, verbose=False)
     bad = {k: v for k, v in res.items() if v != "OK"}
     assert not bad, bad
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    """Pushdown / pruning regressions: the first-message filter reaches the
+    parquet scan, and a two-column count reads only the id column."""
+    plan = QUERIES["test_prompts"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(turn,0)" in plan
+    plan = QUERIES["dataset_size"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<conv_id:bigint>" in plan
