@@ -20,6 +20,26 @@ SELECT n.doc_id, len(n.s)::BIGINT AS n_shingles, least(n.doc_id, coalesce(m, n.d
 FROM n LEFT JOIN c USING (doc_id)
 """
 
+OP2 = rf"""
+WITH
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n,
+       unnest([array_to_string(w[i:i + least(len(w), 13) - 1], ' ') FOR i IN range(1, greatest(len(w) - 12, 1) + 1)]) AS g
+       FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT p.doc_id, p.n, p.i, bw.item_id FROM p JOIN bw ON bw.n = p.n AND bw.g = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+marked AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS its FROM hit GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(its), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(its, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1}
+    return {"op1_minhash": OP1, "op2_decontaminate": OP2}
