@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash
+from . import debruijn, decontaminate, minhash
 from .tables import table
 
 
@@ -19,5 +19,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents removed (operator 5)."""
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op5_debruijn)}
