@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontaminate, minhash
+from . import debruijn, decontaminate, minhash, quality
 from .tables import table
 
 
@@ -24,5 +24,10 @@ def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents (operator 9)."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op5_debruijn)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op5_debruijn, op9_quality)}
