@@ -40,6 +40,27 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP3 = rf"""
+WITH
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE}'))::BIGINT AS size FROM documents),
+q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 ELSE 0.25 END)::DOUBLE AS w FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+k AS (SELECT doc_id, source, size, 1 - pow((('0x' || md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || size)[1:13])::BIGINT
+      ::DOUBLE + 0.5) / 4503599627370496, 1 / coalesce(w, 1)) AS key FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+      [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY 1),
+f AS (SELECT *, 3 * source_size / w AS ratio, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+      ORDER BY 3 * source_size / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+      sum(w) OVER (ORDER BY 3 * source_size / w, w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, w * (SELECT level FROM f WHERE ratio >= level ORDER BY ratio, level LIMIT 1))
+      AS target FROM f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, source_size, target, epochs, round(target)::BIGINT - epochs * source_size AS rest,
+      sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, target,
+       (epochs * size + greatest(0, least(size, rest - (upto - size))))::BIGINT AS taken FROM r
+"""
+
 OP5 = rf"""
 WITH
 d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
@@ -56,4 +77,4 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op5_debruijn": OP5}
+    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op5_debruijn": OP5}

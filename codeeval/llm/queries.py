@@ -4,8 +4,9 @@ table with production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, minhash, quality
+from . import debruijn, decontaminate, minhash, mixing, quality, sharding
 from .tables import table
 
 
@@ -19,6 +20,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """``doc_id, weight``: documents labelled good count twice, bad a quarter of those without a label."""
+    return labels.where("quality IN (0, 1)").select(
+        "doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.25).alias("weight"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' targets (operator 3)."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+
+
 def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents removed (operator 5)."""
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
@@ -29,5 +41,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards (operator 10)."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op5_debruijn, op9_quality)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op9_quality,
+                                      op10_sharding)}
