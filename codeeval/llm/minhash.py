@@ -13,9 +13,9 @@ The whole job, without forming all pairs of a group:
 1. documents with the same set are one class, by its smallest doc_id;
 2. in each band bucket every class is compared with the bucket's hub, the
    class that shares most buckets with others -- as many pairs as members;
-3. classes that share a bucket but not yet a component are compared as well,
-   unless sizes and the shingles that no other such class holds already rule
-   the link out (an exact bound: those shingles cannot be in both sets);
+3. classes that share a bucket but not yet a component are compared as well
+   where sizes and the places of their rarest shingles leave a link possible
+   (an exact prefix filter);
 4. every link is confirmed on the full sets; components follow from links.
 
 Empty input gives no rows.  A null or empty text, or one without words, has an
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 THRESHOLD = 85
+COMMON = 1 << 19
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 2**63, PERMUTATIONS).astype(W.U64)
 _MUL = _rng.integers(0, 2**63, PERMUTATIONS).astype(W.U64) * W.U64(2) + W.U64(1)
@@ -145,6 +147,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(full, _agree, "a long, b long")
 
 
+def _prefixes(common: Broadcast):
+    """Of each set, the shingles that a link with some size could need, rarest first."""
+    def run(batch: pa.RecordBatch):
+        hashes, holders, rare = common.value
+        get = lambda name: batch.column(batch.schema.get_field_index(name))
+        column = get("shingles")
+        offs, values = column.offsets.to_numpy(), column.values.to_numpy()
+        rows, found, place = [], [], []
+        for i in range(batch.num_rows):
+            s = values[offs[i]:offs[i + 1]]
+            n = len(s)
+            at = np.minimum(np.searchsorted(hashes, s), max(len(hashes) - 1, 0))
+            known = hashes[at] == s if len(hashes) else np.zeros(n, bool)
+            order = np.lexsort((s, np.where(known, holders[at] if len(hashes) else 0, 0)))
+            order = order[:n - (THRESHOLD * n + 99) // 100 + 1]
+            pos = np.flatnonzero(known[order]) if rare else np.arange(len(order))
+            rows.append(np.full(len(pos), i))
+            found.append(s[order[pos]])
+            place.append(pos)
+        rows = pa.array(np.concatenate(rows))
+        yield {"node": get("node").take(rows), "n": get("n").take(rows), "component": get("component").take(rows),
+               "shingle": pa.array(np.concatenate(found)), "pos": pa.array(np.concatenate(place), pa.int64())}
+    return run
+
+
+def _undecided(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that may still be links: an
+    exact prefix filter with positions.
+
+    In one order of all shingles, rarest first, the first shingle that two sets
+    share leaves at most the rest of either set for the intersection.  So with
+    it at place i, a set of n can only reach the threshold with sets of up to
+    185/85 (n - i) - n shingles.  Any order is exact; holders of the (at most
+    ``COMMON``) most common shingles are counted, and all others come first.
+    """
+    spark = sets.sparkSession
+    shared = saved(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle")
+                   .agg(F.count("*").alias("holders")).where("holders > 1"), "shared")
+    steps = {r[0]: r[1] for r in shared.groupBy(F.floor(F.log2("holders")).cast("int").alias("e")).count().collect()}
+    least, total = 1 << 31, 0
+    for e in sorted(steps, reverse=True):   # powers of two: at most 63 rows
+        total += steps[e]
+        if total > COMMON:
+            break
+        least = 1 << e
+    rare = total <= COMMON                  # then a shingle not listed has one holder
+    top = shared.where(F.col("holders") >= least).orderBy("shingle").toArrow()
+    common = spark.sparkContext.broadcast((top.column("shingle").to_numpy(), top.column("holders").to_numpy(), rare))
+    posts = saved(map_batches(sets, _prefixes(common), "node long, n long, component long, shingle long, pos long"), "posts")
+    mixed = posts.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    posts = posts.join(mixed.select("shingle"), "shingle", "left_semi").withColumn(
+        "reach", F.floor((100 + THRESHOLD) * (F.col("n") - F.col("pos")) / THRESHOLD) - F.col("n"))
+    size_bin = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(1.01))).cast("int")
+    # The smaller of a linked pair reaches the larger, and the larger reaches the smaller.
+    small = posts.where("reach >= n").select(
+        "shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"),
+        F.col("component").alias("ca"), size_bin(F.col("n")).alias("bin"))
+    low, high = F.ceil(F.col("n") * THRESHOLD / 100), F.least("n", "reach")
+    large = posts.where(high >= low).select(
+        "shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"),
+        F.col("component").alias("cb"), F.explode(F.sequence(size_bin(low), size_bin(high))).alias("bin"))
+    return (small.join(large, ["shingle", "bin"])
+            .where("ca <> cb AND na <= nb AND nb <= ra AND na <= rb AND (na < nb OR a < b)")
+            .select("a", "b").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
     texts = text_of(docs)
@@ -181,28 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                            F.coalesce("component", "node").alias("component")), "placed")
     open_bands = (placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                   .where("x < y").select("band"))
-    still = placed.join(open_bands, "band", "left_semi")
-    in_open = still.select("node").distinct()
-    own = (sets.join(in_open, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-           .groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
-           .where("holders = 1").groupBy("node").agg(F.count("*").alias("own")))
-    # |x & y| <= |x| - own(x), so x reaches the threshold only with sizes up to `reach`.
-    bounded = still.join(own, "node", "left").withColumn(
-        "reach", F.floor((F.lit(100 + THRESHOLD) * (F.col("n") - F.coalesce("own", F.lit(0)))) / THRESHOLD) - F.col("n"))
-    step = 1.02
-    size_bin = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(step))).cast("int")
-    # The smaller of a linked pair reaches the larger, and the larger reaches the smaller.
-    small = (bounded.where("reach >= n").select(
-        "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"),
-        F.col("component").alias("ca"), size_bin(F.col("n")).alias("bin")))
-    low = F.ceil(F.col("n") * THRESHOLD / 100)
-    large = (bounded.where(F.least("n", "reach") >= low).select(
-        "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"),
-        F.col("component").alias("cb"),
-        F.explode(F.sequence(size_bin(low), size_bin(F.least("n", "reach")))).alias("bin")))
-    rest = (small.join(large, ["band", "bin"])
-            .where("ca <> cb AND na <= nb AND nb <= ra AND na <= rb AND (na < nb OR a < b)").where(fits)
-            .select("a", "b").distinct())
+    still = placed.join(open_bands, "band", "left_semi").select("node", "n", "component").distinct()
+    rest = _undecided(saved(sets.join(still, "node").select("node", "n", "component", "shingles"), "undecided"))
     more = saved(_confirmed(rest, sets), "links")
     merged = components(first_round.select(F.col("node").alias("a"), F.col("component").alias("b"))
                         .union(more.select("a", "b")))

@@ -75,6 +75,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP6 = """
+WITH
+v AS (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, q.v AS qv, c.vec_id,
+      list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)])::BIGINT AS score
+      FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op5_debruijn": OP5}
+    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op5_debruijn": OP5,
+            "op6_topk": OP6}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, minhash, mixing, quality, sharding
+from . import debruijn, decontaminate, minhash, mixing, quality, sharding, topk
 from .tables import table
 
 
@@ -36,6 +36,11 @@ def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth (operator 6)."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents (operator 9)."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -47,5 +52,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op9_quality,
-                                      op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op6_topk,
+                                      op9_quality, op10_sharding)}
