@@ -88,7 +88,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+_ESCAPED = r"regexp_replace({}, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?<?SYS>>)', '\1\2\\\3', 'g')"
+OP7 = f"""
+WITH
+c AS (SELECT conv_id, turn, role, text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t, role, text FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESCAPED.format('r')}) + length({_ESCAPED.format('t')}) + 24)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op5_debruijn": OP5,
-            "op6_topk": OP6}
+            "op6_topk": OP6, "op7_chat": OP7}

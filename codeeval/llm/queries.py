@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, minhash, mixing, quality, sharding, topk
+from . import chat, debruijn, decontaminate, minhash, mixing, quality, sharding, topk
 from .tables import table
 
 
@@ -41,6 +41,15 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 10, 100)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, read back from the output; conversation -1
+    holds control strings (operator 7)."""
+    odd = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                "conv_id long, turn long, role string, text string")
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(odd)
+    return chat.digests(chat.format_chats(every))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents (operator 9)."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,4 +62,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict:
     return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op6_topk,
-                                      op9_quality, op10_sharding)}
+                                      op7_chat, op9_quality, op10_sharding)}
