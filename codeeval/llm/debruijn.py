@@ -98,7 +98,7 @@ def _edges(parts: int):
     is new in the chunk, and the paths of those that repeat within it."""
     def run(batch: pa.RecordBatch):
         ids = batch.column(0).fill_null(LAST).to_numpy()
-        for row, buf, offs in W.chunks(batch.column(1), 8 << 20):
+        for row, buf, offs in W.chunks(batch.column(1), 4 << 20):
             _, d, begin, h, least = _windows(buf, offs)
             doc, tag = ids[row + d], _tags(buf, offs)[d]
             g = (least >> W.U64(32)).astype(np.uint32)
