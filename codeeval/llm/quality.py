@@ -19,6 +19,7 @@ one training row for each.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,10 +188,28 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
     return map_batches(stats, run, "doc_id long, score double")
 
 
+def passing(docs: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``text`` scores ``cut`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, buf, offs in W.chunks(batch.column(at)):
+                x = _features(buf, offs).astype(np.float32).astype(np.float64)
+                yield batch.slice(row, len(x)).filter(pa.array(forest.scores(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from: those of rows that are not held out."""
+    return labels.where(~held_out())
+
+
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_rows: int = MAX_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id,
     text)``; labels of held-out rows are not used."""
     stats = saved(statistics(docs), "statistics")
-    forest = fit(stats, labels.where(~held_out()), max_rows)
+    forest = fit(stats, learnable(labels), max_rows)
     return score(stats, forest).select("doc_id", held_out().alias("held_out"), "score",
                                        (F.col("score") >= cut).cast("int").alias("predicted"))

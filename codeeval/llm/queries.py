@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, decontaminate, minhash, mixing, quality, sharding, topk
+from . import chat, debruijn, decontaminate, minhash, mixing, pii, quality, sharding, topk
 from .tables import table
 
 
@@ -50,6 +50,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(every))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents (operator 8)."""
+    return pii.summary(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents (operator 9)."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,4 +67,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict:
     return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op6_topk,
-                                      op7_chat, op9_quality, op10_sharding)}
+                                      op7_chat, op8_pii, op9_quality, op10_sharding)}
