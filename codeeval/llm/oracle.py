@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import lines
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -61,6 +63,26 @@ SELECT doc_id, source, size, source_size, target,
        (epochs * size + greatest(0, least(size, rest - (upto - size))))::BIGINT AS taken FROM r
 """
 
+
+def _op4() -> str:
+    html = "coalesce(html, '')"
+    for pattern, to in lines.STEPS:
+        quoted = to.replace("'", "''").replace("\n", "' || chr(10) || '")
+        html = "regexp_replace({}, '{}', '{}', 'g')".format(html, pattern.replace("'", "''"), quoted)
+    return f"""
+WITH
+p AS (SELECT row_number() OVER () AS r, page_id, lower(nullif(regexp_extract(url, '{lines.HOST}', 1), '')) AS host,
+      [x FOR x IN string_split(trim({html}, ' '), chr(10)) IF x <> ''] AS l FROM pages),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY 1),
+c AS (SELECT host, x FROM (SELECT DISTINCT r, host, unnest(l) AS x FROM p WHERE host IS NOT NULL) JOIN t USING (host)
+      GROUP BY host, x HAVING count(*) >= {lines.MIN_PAGES} AND count(*) > {lines.RATIO} * any_value(pages)),
+e AS (SELECT r, unnest(l) AS x, unnest(range(len(l))) AS i, host FROM p),
+k AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS text FROM e ANTI JOIN c USING (host, x) GROUP BY 1)
+SELECT page_id, host, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(text, '') AS text
+FROM p LEFT JOIN k USING (r)
+"""
+
+
 OP5 = rf"""
 WITH
 d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
@@ -104,5 +126,5 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op5_debruijn": OP5,
+    return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op4_lines": _op4(), "op5_debruijn": OP5,
             "op6_topk": OP6, "op7_chat": OP7}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, decontaminate, minhash, mixing, pii, quality, sharding, topk
+from . import chat, debruijn, decontaminate, lines, minhash, mixing, pii, quality, sharding, topk
 from .tables import table
 
 
@@ -31,6 +31,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without their site's boilerplate lines (operator 4)."""
+    return lines.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents removed (operator 5)."""
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
@@ -66,5 +71,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op5_debruijn, op6_topk,
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op4_lines, op5_debruijn, op6_topk,
                                       op7_chat, op8_pii, op9_quality, op10_sharding)}
