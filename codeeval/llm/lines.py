@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .tables import saved
 
-RATIO, MIN_PAGES = 0.2, 5
+RATIO, MIN_PAGES = 0.1, 3
 BLOCKS = ("p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|header|footer|nav|main|"
           "aside|title|head|body|html|blockquote|pre|form|figure|figcaption|option|select")
 #: In this order: what is replaced, and by what.
