@@ -37,7 +37,7 @@ from .tables import map_batches, saved, text_of
 
 FINE, WHOLE, BLOCKS = 256, 4, 1024
 #: Of bytes, words and rows in the dot product: law `bytes` puts bytes first.
-WEIGHTS = (8.0, 1.0, 0.1)
+WEIGHTS = (64.0, 1.0, 1.0)
 ROW_BYTES = 16
 
 
@@ -59,7 +59,8 @@ def place(vectors: np.ndarray, capacity: np.ndarray, shards: int) -> np.ndarray:
     left = np.ones((shards, v.shape[1]))
     where = np.zeros(len(v), np.int32)
     for i in np.argsort(-weighted.sum(1), kind="stable"):
-        s = int(np.argmax(left @ weighted[i]))
+        # words or rows over their capacity (one text may hold more than a shard's) do not repel bytes
+        s = int(np.argmax(left[:, 0] * weighted[i, 0] + np.maximum(left[:, 1:], 0) @ weighted[i, 1:]))
         left[s] -= v[i]
         where[i] = s
     return where
