@@ -26,8 +26,9 @@ RESPONSE_MARKER = "### Response:"
 HUMAN_PREFIX = "Human: "
 
 # --- fixed values: transcript split (DOTALL + IGNORECASE, first match) ------
-TRANSCRIPT_PROMPT_PATTERN = r"user\s*\n\n(.*?)\s*assistant\s*\n\n"
-TRANSCRIPT_CODE_PATTERN = r"assistant\s*\n\n(.*)"
+# (``\\s`` there is Python's, so the class is spelled out: PY_WHITESPACE)
+TRANSCRIPT_PROMPT_PATTERN = r"user[{ws}]*\n\n(.*?)[{ws}]*assistant[{ws}]*\n\n".replace("{ws}", PY_WHITESPACE)
+TRANSCRIPT_CODE_PATTERN = r"assistant[{ws}]*\n\n(.*)".replace("{ws}", PY_WHITESPACE)
 PROMPT_NOT_FOUND = "Prompt not found."
 CODE_NOT_FOUND = "Generated code not found."
 
@@ -151,6 +152,10 @@ CHAT_HEADER_END = "<|end_header_id|>\n\n"
 CHAT_TURN_END = "<|eot_id|>"
 CHAT_BEGIN = "<|begin_of_text|>"
 
-# --- fixed values: run label and registry key formats ---------------------------
-RUN_LABEL_FORMAT = "llama3.2-r={rank}-alpha={alpha}-training_size={size}"
-RESULT_PREFIX_FORMAT = "after_finetuning_trainsize{size}"
+# --- fixed values: lines of the final report --------------------------------------
+REPORT_TITLE = "# Evaluation Final Report"
+REPORT_SUMMARY = "## Summary"
+REPORT_TOTAL = "Total running code snippets: "
+REPORT_VARIATIONS = "## Results by Variation Type"
+REPORT_BLEU = "- Average BLEU Score: "
+REPORT_RATE = "- Success Rate: "

@@ -23,13 +23,14 @@ def dedup_ledger(pairs: DataFrame, ledger: DataFrame | None,
 
     A pair is skipped when its hash is in the ledger or an earlier pair of
     this run (by ``order``) had the same hash.  ``pairs`` must carry
-    ``snippet_hash``.  Keep-first is an aggregate (hot hashes collapse
-    map-side); the ledger check is an anti-join on the hash.
+    ``snippet_hash``.  Keep-first aggregates hashes and order columns only;
+    the ledger check is an anti-join on the hash.  A pair without a hash (a
+    null prompt or code) cannot be recognised and is always processed.
     """
-    first = keep_first(pairs, ["snippet_hash"], list(order))
-    if ledger is None:
-        return first
-    return first.join(ledger.select("snippet_hash").distinct(), "snippet_hash", "left_anti")
+    first = keep_first(pairs.filter(F.col("snippet_hash").isNotNull()), ["snippet_hash"], list(order))
+    if ledger is not None:
+        first = first.join(ledger.select("snippet_hash"), "snippet_hash", "left_anti").select(*pairs.columns)
+    return first.unionByName(pairs.filter(F.col("snippet_hash").isNull()))
 
 
 def ledger_update(ledger: DataFrame | None, pairs: DataFrame) -> DataFrame:
@@ -39,62 +40,52 @@ def ledger_update(ledger: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return seen.distinct() if ledger is None else ledger.select("snippet_hash").union(seen).distinct()
 
 
-# Most distinct colliding hashes broadcast by ``dedup_against_main`` (8 bytes each).
-MAX_BROADCAST_HASHES = 2_000_000
+def duplicate_keys(pairs: DataFrame, main_messages: DataFrame, key: list[str],
+                   prompt: str = "prompt", code: str = "code") -> DataFrame:
+    """Keys of the pairs whose prompt or code equals a message of ``main_messages``.
 
+    64-bit hashes find the candidates (only keys and hashes move); texts are
+    then compared exactly, candidates against the main values that share a
+    hash with some pair."""
+    sides = F.inline(F.array(F.struct(F.xxhash64(prompt).alias("_h"), F.col(prompt).alias("_v")),
+                             F.struct(F.xxhash64(code).alias("_h"), F.col(code).alias("_v"))))
+    values = main_messages.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_h"), F.col("text").alias("_v"))
+    hashed = pairs.select(*key, sides)
+    candidates = hashed.select(*key, "_h").join(values.select("_h"), "_h", "left_semi")
+    texts = pairs.join(candidates.select(*key), key, "left_semi").select(*key, sides)
+    shared = values.join(candidates.select("_h"), "_h", "left_semi")
+    return texts.join(shared, ["_h", "_v"], "left_semi").select(*key).distinct()
 
-def _exact_anti(pairs: DataFrame, values: DataFrame, prompt: str, code: str) -> DataFrame:
-    kept = pairs.join(values, pairs[prompt] == values["_v"], "left_anti")
-    return kept.join(values, kept[code] == values["_v"], "left_anti")
 
-
-def dedup_against_main(pairs: DataFrame, main_messages: DataFrame,
-                       prompt: str = "prompt", code: str = "code",
-                       max_broadcast_hashes: int = MAX_BROADCAST_HASHES) -> DataFrame:
+def dedup_against_main(pairs: DataFrame, main_messages: DataFrame, prompt: str = "prompt", code: str = "code",
+                       key: tuple[str, ...] = ("conv_id", "k"), prefixed: bool = False) -> DataFrame:
     """Drop pairs whose prompt or code equals any message value (any
-    role) of the main dataset.  Exact equality; a null never matches.
-
-    Hash first, texts only where needed: the set H of 64-bit hashes that
-    occur both among the main values and among the pairs' prompts/codes is
-    found by shuffling hashes only.  A pair with neither hash in H cannot be
-    a duplicate and is kept without further work.  When H is within
-    ``max_broadcast_hashes`` (counted, not assumed) it is broadcast, both
-    sides are filtered map-side, and the exact text anti-joins run on the
-    candidates alone; otherwise the exact anti-joins run on everything.
-    """
-    values = main_messages.select(F.col("text").alias("_v")).filter(F.col("_v").isNotNull())
-    main_h = values.select(F.xxhash64("_v").alias("_h")).distinct()
-    pair_h = pairs.select(F.explode(F.array(F.xxhash64(prompt), F.xxhash64(code))).alias("_h")).distinct()
-    # materialised once (8 bytes per colliding hash), then counted
-    hot = pair_h.join(main_h, "_h", "left_semi").checkpoint(eager=True)
-    n_hot = hot.count()
-    if n_hot > max_broadcast_hashes:
-        return _exact_anti(pairs, values.distinct(), prompt, code)
-    hot_b = F.broadcast(hot)                                  # n_hot rows, checked above
-    p = pairs.withColumn("_hp", F.xxhash64(prompt)).withColumn("_hc", F.xxhash64(code))
-    in_hot_p = p.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_semi")
-    in_hot_c = p.join(hot_b.withColumnRenamed("_h", "_hc"), "_hc", "left_semi")
-    candidates = in_hot_p.unionByName(in_hot_c.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_anti"))
-    clean = (p.join(hot_b.withColumnRenamed("_h", "_hp"), "_hp", "left_anti")
-              .join(hot_b.withColumnRenamed("_h", "_hc"), "_hc", "left_anti"))
-    cand_values = (values.withColumn("_h", F.xxhash64("_v"))
-                         .join(hot_b, "_h", "left_semi").select("_v").distinct())
-    survivors = _exact_anti(candidates, cand_values, prompt, code)
-    return clean.unionByName(survivors).drop("_hp", "_hc")
+    role) of the main dataset.  Exact equality; a null never matches.  ``key``
+    identifies a pair.  One plan at any size.
+
+    ``prefixed`` compares prompts as the verdict path writes them, with the
+    ``Human: `` prefix, so a raw main prompt never matches (Q1)."""
+    seen = pairs.withColumn(prompt, F.concat(F.lit(fixed.HUMAN_PREFIX), F.col(prompt))) if prefixed else pairs
+    return pairs.join(duplicate_keys(seen, main_messages, list(key), prompt, code), list(key), "left_anti")
 
 
 def append_working(main_messages: DataFrame, passing_pairs: DataFrame,
-                   order: str = "conv_id") -> DataFrame:
+                   order: tuple[str, ...] = ("conv_id", "k"), prefixed: bool = False) -> DataFrame:
     """Passing, non-duplicate pairs become 2-message conversations
-    appended after the main dataset, in ``order`` (a key that is unique
-    among the passing pairs).  Duplicates inside the batch are kept.  An
-    empty main dataset gets nothing appended.
+    appended after the main dataset, in ``order``, which identifies a pair (a
+    repeated key is an error).  Duplicates inside the batch are kept.  An
+    empty main dataset gets nothing appended.  ``prefixed``: prompts are
+    compared and stored with their ``Human: `` prefix (Q1).
 
     Returns the whole new main dataset as messages."""
-    new = dedup_against_main(passing_pairs, main_messages)
+    key = list(order)
+    if prefixed:
+        passing_pairs = passing_pairs.withColumn("prompt", F.concat(F.lit(fixed.HUMAN_PREFIX), F.col("prompt")))
+    dup = duplicate_keys(passing_pairs, main_messages, key)
+    # the duplicate check runs once: the ordinals hold exactly the keys that stay
+    ords = global_ordinal(passing_pairs.select(*key).join(dup, key, "left_anti"), key, out="_ord", unique=True)
     base = main_messages.agg(F.max("conv_id").alias("_max"))      # one row
-    ords = global_ordinal(new.select(F.col(order).alias("_key")), "_key", out="_ord")
-    appended = (new.join(ords, new[order] == ords["_key"])
+    appended = (passing_pairs.join(ords, key)
                    .crossJoin(F.broadcast(base))                   # one-row side
                    .filter(F.col("_max").isNotNull())
                    .select((F.col("_max") + 1 + F.col("_ord")).alias("conv_id"),

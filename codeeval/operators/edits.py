@@ -17,7 +17,7 @@ def keyword_search(messages: DataFrame, term: str) -> DataFrame:
     rejected.  Returns (conv_id, preview) -- the list view."""
     t = term.strip().lower()
     if not t:
-        raise ValueError("Please enter a search term.")
+        raise ValueError("the search term is blank")
     pos = pair_positional(messages)
     hit = F.contains(F.lower("prompt"), F.lit(t)) | F.contains(F.lower("reference"), F.lit(t))
     return pos.filter(hit).select("conv_id", T.preview("prompt").alias("preview"))
@@ -52,7 +52,7 @@ def batch_edits(messages: DataFrame, adds: DataFrame | None = None, updates: Dat
     if adds is not None:
         add = validate_pairs(adds, "prompt", "response")
         top = messages.agg(F.coalesce(F.max("conv_id"), F.lit(-1)).alias("_top"))   # one row
-        ords = global_ordinal(add, add_order, out="_ord")
+        ords = global_ordinal(add.select(add_order), add_order, out="_ord", unique=True)
         add = (add.join(ords, add_order).crossJoin(F.broadcast(top))
                   .withColumn("conv_id", F.col("_top") + 1 + F.col("_ord")))
         out = out.unionByName(_two_messages(add))
@@ -60,11 +60,12 @@ def batch_edits(messages: DataFrame, adds: DataFrame | None = None, updates: Dat
 
 
 def trim_first_n(messages: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` conversations in dataset order (1 <= n <= size).
-    Positions come from ``global_ordinal``, so no single task ever holds the
-    first ``n`` ids."""
-    if n < 1:
-        raise ValueError("n must be >= 1")
-    ords = global_ordinal(messages, "conv_id", out="_pos")
+    """The first ``n`` conversations in dataset order (1 <= n <= size; any
+    other ``n`` is an error).  Positions come from ``global_ordinal``, so no
+    single task ever holds the first ``n`` ids."""
+    ords = global_ordinal(messages.select("conv_id"), "conv_id", out="_pos")
+    size = ords.count()                                   # of the checkpointed ids
+    if not 1 <= n <= size:
+        raise ValueError(f"n must be between 1 and the number of conversations, {size}")
     keep = ords.filter(F.col("_pos") < n).select("conv_id")
     return messages.join(keep, "conv_id", "left_semi")

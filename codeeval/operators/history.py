@@ -7,16 +7,11 @@ History rows are long form ``(run_id, step, loss)``; the nested
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ordinals import rank_within, trailing_mean
-
-# Time bucket used to block a run's log when numbering steps by time
-# (2^32 microseconds, about 72 minutes).
-TIME_BLOCK_US = 1 << 32
-
+from .ordinals import rank_in_order, trailing_mean
 
 def history_from_arrays(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """D10 -> long form.  Runs without ``metrics_history`` are skipped; the
@@ -28,13 +23,22 @@ def history_from_arrays(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
                 .select(run_col, (F.col("_p") + 1).cast("long").alias("step"), "loss", "learning_rate"))
 
 
-def number_steps(log: DataFrame, run_col: str, order: list[str], value: str,
-                 block_col: Column | None = None) -> DataFrame:
+def number_steps(log: DataFrame, run_col: str, order: list[str], value: str) -> DataFrame:
     """1-based step per run in ``order``; entries lacking the value add
-    nothing to the series.  Blocked ranking keeps one hot run balanced."""
+    nothing to the series, so each series (loss, learning rate) is numbered on
+    its own.  A run of any length is spread over range partitions."""
     d = log.filter(F.col(value).isNotNull())
-    ranked = rank_within(d, [run_col], order, out="_r", block_col=block_col)
-    return ranked.withColumn("step", F.col("_r") + 1).drop("_r")
+    return rank_in_order(d, [run_col], order, out="_r").withColumn("step", F.col("_r") + 1).drop("_r")
+
+
+def aligned_series(history: DataFrame, runs: list[str] | None = None, run_col: str = "run_id",
+                   value: str = "loss") -> DataFrame:
+    """``(step, run, value)`` of the chosen runs (default all), the series
+    that a comparison lays over one another."""
+    d = history.filter(F.col(value).isNotNull())
+    if runs is not None:
+        d = d.filter(F.col(run_col).isin(*runs))
+    return d.select("step", run_col, value)
 
 
 def loss_smoothing(history: DataFrame, run_col: str = "run_id", width: int = fixed.LOSS_SMOOTH_WINDOW,

@@ -2,21 +2,20 @@
 
 Plan shape (both metrics)
 -------------------------
-1. Each side's units (tokens or characters) are hash-partitioned by pair
-   id -- the only shuffles, and they move each text once.
-2. Each side expands into its n-grams with two ``explode`` generators
-   (positions, then orders) -- codegen'd, streamed, no per-row arrays.
-   Word n-grams are string keys; character n-grams are packed exactly into
-   two longs (three 21-bit code points each), a fixed-width key.
-3. Reference n-grams are counted (``groupBy(id, n, gram)``); hypothesis
-   n-grams are hash-joined against those counts, so only n-grams that can
-   match are aggregated; per-order hypothesis totals come from the length.
-   All joins and aggregates are keyed by (id, ...), which the hash
-   partitioning on id already satisfies: Spark plans them without another
-   exchange.  A 20,000-word text is one row's grams in one task -- no
-   per-row quadratic loop and no cross-pair traffic.
+1. Each pair gives two rows, its reference's and its hypothesis's units (word
+   tokens or characters); each row expands into its n-grams with two
+   ``explode`` generators (positions, then orders), streamed in codegen.
+2. One aggregate counts each n-gram of a pair on both sides at once, keyed by
+   (pair id, order, n-gram).  It is partial before the exchange, and since the
+   n-gram is part of the key a single long text spreads over all partitions;
+   there is no join, so no side must fit a task.
+3. A second, narrow aggregate per pair sums the clipped counts by order.  The
+   lengths are the numbers of unigrams; an order-0 row keeps empty pairs.
 4. The closing formula is a column expression over the per-pair counts.
 
+Word n-grams are keyed by a 64-bit hash (within one pair and order), character
+n-grams exactly by two longs of three 21-bit code points.
+
 Formulas (public definitions)
 -----------------------------
 BLEU-4, uniform weights, one reference, smoothing "method 4": clipped
@@ -37,82 +36,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import task_memory_bytes
-
-_SEP = "\u0001"   # joins tokens of a word n-gram; cannot occur inside a token
-
-
-# Memory budget for one task's hash table of reference n-grams, and a
-# generous per-entry cost (key string + count + hash-map overhead).
-TASK_BUILD_BUDGET = 256 << 20
-BYTES_PER_GRAM = 64
-
-
-def scoring_partitions(pairs: DataFrame, ref_text: str, max_n: int) -> int:
-    """Number of partitions for the scoring repartition.
 
-    Proven bound: a reference has at most ``length(text)`` units (a token is
-    at least one character), hence at most ``max_n * length`` n-grams.  One
-    aggregate computes the total; partitions are added until each task's
-    reference hash table fits the budget -- ``TASK_BUILD_BUDGET`` or half of
-    what one concurrent task may use on this session's executors, whichever
-    is smaller.  Never fewer than ``spark.sql.shuffle.partitions``.
-    """
-    spark = pairs.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    budget = min(TASK_BUILD_BUDGET, task_memory_bytes(spark) // 2)
-    total = pairs.agg(F.sum(F.length(F.col(ref_text))).alias("c")).first()["c"] or 0
-    need = -(-total * max_n * BYTES_PER_GRAM // budget)
-    return max(base, int(need))
-
-
-def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max_n: int,
-                 length, gram, parts: int) -> DataFrame:
+def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max_n: int, gram) -> DataFrame:
     """Per pair: hyp_len, ref_len and clipped matches m1..m{max_n}.
 
     ``ref``/``hyp`` are the units to n-gram (a token or code-point array);
-    ``length(u)`` gives the number of units and ``gram(u, i, n)`` the key
-    columns of the n-gram starting at 1-based position ``i``.
-
-    Only n-grams present in the reference can match, and the number of
-    hypothesis n-grams per order follows from its length, so hypothesis
-    n-grams are hash-joined against the reference's n-gram counts and only
-    the matching ones are counted.  Each side is repartitioned by pair id
-    once; every later join and aggregate is keyed by (id, ...) and reuses
-    that partitioning (with ``requireAllClusterKeysForCoPartition`` off, see
-    ``codeeval.session``), so no n-gram row is ever shuffled.
+    ``gram(u, i, n)`` gives the key columns of the n-gram at 1-based ``i``.
     """
-    # one exchange per side; the length projections read the same exchanges
-    # (Spark reuses identical exchange subtrees)
-    hyp_side = pairs.select(*ids, hyp.alias("u")).repartition(parts, *ids)
-    ref_side = pairs.select(*ids, ref.alias("u")).repartition(parts, *ids)
-    lens = (hyp_side.select(*ids, length(F.col("u")).alias("hyp_len"))
-                    .join(ref_side.select(*ids, length(F.col("u")).alias("ref_len")), ids))
-
-    def expand(side: DataFrame) -> DataFrame:
-        u = F.col("u")
-        pos = side.select(*ids, "u", F.explode(F.sequence(F.lit(1), F.greatest(length(u), F.lit(1)))).alias("i"))
-        g = gram(u, F.col("i"), F.col("n"))
-        return (pos.select(*ids, "u", "i", F.explode(F.array(*[F.lit(k) for k in range(1, max_n + 1)])).alias("n"))
-                   .filter(F.col("i") + F.col("n") - 1 <= length(u))
-                   .select(*ids, "n", *[c.alias(f"g{j}") for j, c in enumerate(g)]))
-
-    keys = [*ids, "n", *[f"g{j}" for j in range(len(gram(F.col("u"), F.lit(1), F.lit(1))))]]
-    ref_counts = expand(ref_side).groupBy(*keys).agg(F.count(F.lit(1)).alias("cr"))
-    matched = (expand(hyp_side).join(ref_counts.hint("shuffle_hash"), keys, "inner")
-                               .groupBy(*keys).agg(F.count(F.lit(1)).alias("ch"), F.max("cr").alias("cr")))
-    per_order = matched.groupBy(*ids).agg(
-        *[F.sum(F.when(F.col("n") == k, F.least("ch", "cr")).otherwise(0)).alias(f"m{k}")
-          for k in range(1, max_n + 1)])
-    out = lens.join(per_order.hint("shuffle_hash"), ids, "left")
-    return out.select(*ids, "hyp_len", "ref_len",
-                      *[F.coalesce(F.col(f"m{k}"), F.lit(0)).alias(f"m{k}") for k in range(1, max_n + 1)])
+    sides = pairs.select(*ids, F.inline(F.array(F.struct(F.lit(0).alias("side"), ref.alias("u")),
+                                                F.struct(F.lit(1).alias("side"), hyp.alias("u")))))
+    u, i, n = F.col("u"), F.col("i"), F.col("n")
+    keys = [c.alias(f"g{j}") for j, c in enumerate(gram(u, i, n))]
+    grams = (sides.select(*ids, "side", "u", F.explode(F.sequence(F.lit(1), F.greatest(F.size(u), F.lit(1)))).alias("i"))
+                  .select(*ids, "side", "u", "i", F.explode(F.array(*map(F.lit, range(max_n + 1)))).alias("n"))
+                  .filter(F.when(n == 0, i == 1).otherwise(i + n - 1 <= F.size(u)))
+                  .select(*ids, "side", "n", *keys))
+    counts = (grams.groupBy(*ids, "n", *[f"g{j}" for j in range(len(keys))])
+                   .agg(F.sum("side").alias("ch"), F.sum(1 - F.col("side")).alias("cr")))
+
+    def total(order: int, value: Column) -> Column:
+        return F.sum(F.when(n == order, value).otherwise(0))
+
+    return counts.groupBy(*ids).agg(
+        total(1, F.col("ch")).alias("hyp_len"), total(1, F.col("cr")).alias("ref_len"),
+        *[total(k, F.least("ch", "cr")).alias(f"m{k}") for k in range(1, max_n + 1)])
 
 
 def _token_gram(u: Column, i: Column, n: Column) -> list[Column]:
-    """A word n-gram as one string key (tokens joined by a separator that no
-    token contains)."""
-    return [F.array_join(F.slice(u, i, n), _SEP)]
+    """A word n-gram as a 64-bit hash of its tokens."""
+    return [F.xxhash64(F.slice(u, i, n))]
 
 
 def _char_gram(u: Column, i: Column, n: Column) -> list[Column]:
@@ -189,8 +141,7 @@ def bleu_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "bleu") -> DataFrame:
     """M1: per-pair sentence BLEU of ``candidate`` against ``reference``."""
     n = fixed.BLEU_MAX_ORDER
-    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, F.size, _token_gram,
-                      scoring_partitions(pairs, reference, n))
+    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, _token_gram)
     return st.select(*ids, bleu_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 
@@ -199,9 +150,7 @@ def chrf_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "chrf") -> DataFrame:
     """M2: per-pair sentence chrF (character 1..6-grams, beta 2, 0..1)."""
     n = fixed.CHRF_CHAR_ORDER
-    st = _ngram_stats(pairs, ids, code_points(no_space(reference)), code_points(no_space(candidate)), n, F.size,
-                      _char_gram,
-                      scoring_partitions(pairs, reference, n))
+    st = _ngram_stats(pairs, ids, code_points(no_space(reference)), code_points(no_space(candidate)), n, _char_gram)
     return st.select(*ids, chrf_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 

@@ -11,8 +11,10 @@ when one key holds a large share of the rows.
   over the whole table (what ``zipWithIndex`` gives), computed from a
   range-partitioned, checkpointed copy of the key column plus a table of
   per-partition counts whose size is the number of partitions.
-* ``keep_first``     -- first row per key by an order column, as an aggregate
-  (partial aggregation collapses a hot key map-side before the shuffle).
+* ``rank_in_order`` -- ``rank_within`` for any order (e.g. time, id), blocked by
+  range partitions instead of values.
+* ``keep_first``     -- first row per key by an order column: an aggregate over
+  the narrow columns, then a semi-join.
 * ``trailing_mean``  -- mean of the current and ``width-1`` previous rows per
   group, evaluated per block with a halo of ``width-1`` rows copied from the
   previous block.
@@ -69,41 +71,65 @@ def running_sum_within(df: DataFrame, part: list[str], order: str, value: str, o
              .drop("_blk", "_local", "_off"))
 
 
+def _ranged(df: DataFrame, order: list[str], partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, checkpointed with its
+    partition number ``__pid`` and a row number ``__row`` from 0 within it."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+           .withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id()))
+    return (d.withColumn("__row", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)).drop("__mid")
+             .checkpoint(eager=True))
+
+
 def global_ordinal(df: DataFrame, key: str | list[str], out: str = "ordinal",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, unique: bool = False) -> DataFrame:
     """Distinct ``key`` tuples with their 0-based position in ascending order.
 
     The key columns are range-partitioned and sorted, then checkpointed to
     the shared checkpoint folder so both uses below see the same
     partitioning.  Only a ``(partition id, offset)`` table -- one row per
-    partition -- is broadcast.
+    partition -- is broadcast.  ``unique``: a key that occurs twice is an error
+    (two rows would get one position).
     """
     keys_cols = [key] if isinstance(key, str) else list(key)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (df.select(*keys_cols).distinct()
-              .repartitionByRange(n, *keys_cols).sortWithinPartitions(*keys_cols)
-              .withColumn("__go_pid", F.spark_partition_id())
-              .withColumn("__go_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    counts = keys.groupBy("__go_pid").agg(F.count(F.lit(1)).alias("__go_n"))
-    before = Window.orderBy("__go_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__go_pid", F.coalesce(F.sum("__go_n").over(before), F.lit(0)).alias("__go_off"))
+    keys = df.groupBy(*keys_cols).agg(F.count(F.lit(1)).alias("__n"))
+    if unique:
+        twice = F.concat(F.lit("ordering key occurs twice: "), F.to_json(F.struct(*keys_cols)))
+        keys = keys.withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(twice).cast("long")).otherwise(F.col("__n")))
+        keys = keys.filter(F.col("__n") == 1)
+    keys = _ranged(keys.select(*keys_cols), keys_cols, partitions)
+    counts = keys.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     # one row per partition: a proven size bound, safe to broadcast
-    return (keys.join(F.broadcast(offsets), "__go_pid")
-                .select(*keys_cols, (F.col("__go_off") + F.col("__go_mid")
-                                     - F.shiftleft(F.col("__go_pid").cast("long"), 33)).cast("long").alias(out)))
+    return (keys.join(F.broadcast(offsets), "__pid")
+                .select(*keys_cols, (F.col("__off") + F.col("__row")).cast("long").alias(out)))
+
+
+def rank_in_order(df: DataFrame, part: list[str], order: list[str], out: str = "rank",
+                  partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based rank within ``part`` by any sortable ``order``.
+
+    Rows are range-partitioned by (part, order), so a group of any size is
+    spread over as many partitions as it fills; a row's rank is its number in
+    the partition's run of the group plus the rows of the group before that
+    partition (a table of at most partitions + groups rows)."""
+    d = _ranged(df, [*part, *order], partitions)
+    runs = d.groupBy(*part, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = Window.partitionBy(*part).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*part, "__pid", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (d.join(offsets, [*part, "__pid"])
+             .withColumn(out, (F.col("__off") + F.col("__row") - F.col("__first")).cast("long"))
+             .drop("__pid", "__row", "__first", "__off"))
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """First row per ``key`` by ascending ``order`` (ties impossible when
-    ``order`` is unique).  Implemented as ``min(struct(order..., row))`` so
-    partial aggregation collapses duplicates before the shuffle."""
-    payload = [c for c in df.columns if c not in key]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                      F.struct(*payload).alias("_row"))
-    return (df.groupBy(*key).agg(F.min(packed).alias("_first"))
-              .select(*key, "_first._row.*"))
+    """Row per ``key`` that is first by ``order`` (unique within a key).  Only
+    key and order columns are aggregated (partially, so a hot key collapses
+    before the shuffle); the rows themselves are picked by a semi-join."""
+    first = (df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+               .select(*key, *[F.col(f"_first.{c}").alias(c) for c in order]))
+    return df.join(first, [*key, *order], "left_semi").select(*df.columns)
 
 
 def trailing_mean(df: DataFrame, part: list[str], step: str, value: str, width: int,

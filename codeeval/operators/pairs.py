@@ -98,15 +98,16 @@ def pair_first_of_role(messages: DataFrame) -> DataFrame:
                     .drop("n_messages"))
 
 
-def multi_snippet_profile(messages: DataFrame, context_pairs: DataFrame) -> DataFrame:
+def multi_snippet_profile(messages: DataFrame) -> DataFrame:
     """Per pair, the conversation's assistant count, the multi-snippet
-    flag and the differential prompt (text after the last ``Human: ``)."""
+    flag and the differential prompt (text after the last ``Human: `` of the
+    accumulated prompt, which always lies in the last human message)."""
     n_code = (messages.filter(F.col("role") == fixed.ASSISTANT)
                       .groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_snippets")))
-    return (context_pairs.join(n_code, "conv_id")
+    return (pair_role_zip(messages).join(n_code, "conv_id")
                          .select("conv_id", "k", "n_snippets",
                                  (F.col("n_snippets") > 1).alias("is_multi"),
-                                 T.last_human_turn("prompt").alias("last_prompt")))
+                                 T.last_human_turn(F.concat(F.lit(fixed.HUMAN_PREFIX), F.col("prompt"))).alias("last_prompt")))
 
 
 def first_messages(messages: DataFrame) -> DataFrame:

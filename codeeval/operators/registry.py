@@ -56,11 +56,12 @@ def base_config_hash(train_size: Column, test_size: Column) -> Column:
 def registry_append(registry: DataFrame, new_records: DataFrame, seq: str = "seq") -> DataFrame:
     """Append records whose hash is absent; the first writer wins (within
     the batch by ``seq``, and an existing row is never updated).  New rows
-    get ``seq`` after the registry's last."""
+    get ``seq`` after the registry's last; a ``seq`` that occurs twice in the
+    batch is an error."""
     first = keep_first(new_records, ["model_hash"], [seq])
     fresh = first.join(registry.select("model_hash"), "model_hash", "left_anti")
     top = registry.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("_top"))        # one row
-    pos = global_ordinal(fresh, seq, out="_pos")
+    pos = global_ordinal(fresh.select(seq), seq, out="_pos", unique=True)
     fresh = (fresh.join(pos, seq).crossJoin(F.broadcast(top))
                   .withColumn(seq, F.col("_top") + 1 + F.col("_pos")).drop("_top", "_pos"))
     return registry.unionByName(fresh.select(*registry.columns))

@@ -25,8 +25,9 @@ def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, keys: list[str],
     """
     v = verdicts.select(*keys, "build_ok", "build_message", "run_ok", "run_message",
                         F.lit(True).alias("_has"))
-    d = pairs.join(v, keys, "left")
-    blank = T.ustrip(F.col(code)) == ""
+    # decided before the join, so the text need not move where it is not asked for
+    d = pairs.withColumn("_blank", T.ustrip(F.col(code)) == "").join(v, keys, "left")
+    blank = F.col("_blank")
     has = F.col("_has").isNotNull()
     success = F.when(blank, F.lit(False))
     message = F.when(blank, F.lit(fixed.NO_CODE_MESSAGE))
@@ -43,7 +44,7 @@ def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, keys: list[str],
     return (d.withColumn("executed", blank | has)
              .withColumn("success", success)
              .withColumn("message", message)
-             .drop("build_ok", "build_message", "run_ok", "run_message", "_has"))
+             .drop("build_ok", "build_message", "run_ok", "run_message", "_has", "_blank"))
 
 
 def execution_rate(verdicted: DataFrame, skipped: DataFrame | None = None,
@@ -74,6 +75,33 @@ def execution_rate(verdicted: DataFrame, skipped: DataFrame | None = None,
     return agg.withColumn("success_rate", F.round(T.safe_rate("successful_runs", "total_snippets"), 6))
 
 
+def execution_rate_once(pairs: DataFrame, verdicts: DataFrame, keys: list[str], code: str = "code",
+                        order: tuple[str, ...] = ("conv_id", "k")) -> DataFrame:
+    """R1 over the build-check flow in one pass of the pairs: of each
+    ``snippet_hash`` the first pair is executed (J1, J5), the others count in
+    ``total_snippets`` only.  Pairs without a hash are each executed.
+
+    Every pair is counted under its hash and under its conversation in one
+    aggregate over narrow columns, so nothing is read or joined twice."""
+    narrow = pairs.select(*order, *[c for c in keys if c not in order], "snippet_hash",
+                          (T.ustrip(F.col(code)) == "").alias("_blank"))
+    own = F.coalesce("snippet_hash", F.to_json(F.struct(*order)))
+    tagged = narrow.select("*", F.explode(F.array(F.struct(F.lit("s").alias("what"), own.alias("id")),
+                                                  F.struct(F.lit("c").alias("what"), F.col("conv_id").cast("string").alias("id")))).alias("t"))
+    cols = [c for c in narrow.columns if c != "snippet_hash"]
+    per = tagged.groupBy("t.what", "t.id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*cols)).alias("first"))
+    v = verdicts.select(*keys, "build_ok", "run_ok", F.lit(True).alias("_has"))
+    d = per.select("what", "copies", "first.*").join(v, keys, "left")
+    snippet = F.col("what") == "s"
+    ok = snippet & ~F.col("_blank") & F.col("build_ok") & F.col("run_ok")
+    ran = snippet & (F.col("_blank") | F.col("_has").isNotNull())
+    return (d.agg(F.coalesce(F.sum(F.when(ok, 1).otherwise(0)), F.lit(0)).cast("long").alias("successful_runs"),
+                  F.coalesce(F.sum(F.when(snippet, F.col("copies"))), F.lit(0)).cast("long").alias("total_snippets"),
+                  F.coalesce(F.sum(F.when(ran, 1).otherwise(0)), F.lit(0)).cast("long").alias("executed_snippets"),
+                  F.coalesce(F.sum(F.when(snippet, 0).otherwise(1)), F.lit(0)).cast("long").alias("conversations"))
+             .withColumn("success_rate", F.round(T.safe_rate("successful_runs", "total_snippets"), 6)))
+
+
 def failing_snippets(verdicted: DataFrame, idx: str = "conv_id") -> DataFrame:
     """Failed pairs with both error-cause forms."""
     return (verdicted.filter(F.col("success") == F.lit(False))

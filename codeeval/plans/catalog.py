@@ -72,12 +72,34 @@ def evaluation_results(spark, sf):
                      F.col("executed").cast("long").alias("total_runs")))
 
 
+def prompt_evaluation_results(spark, sf):
+    """The prompt-evaluation flow: every test prompt (P7) in every variation
+    (J4) joined to its answers in the generation log (I3), which are cleaned
+    (X4), scored against the variant prompt (M1) and given verdicts (J5)."""
+    variants = PR.prompt_variations(X.test_prompts(spark, sf)).select("prompt_index", "variation_no", "variation_name",
+                                                                      "variant_prompt")
+    log = _cleaned_snippets(spark, sf).select("doc_id", "seq", F.col("lang").alias("model"), "prompt_index",
+                                              "variation_no", "code")
+    answers = log.join(variants, ["prompt_index", "variation_no"])
+    bleu = M.bleu_pairs(answers, ["doc_id"], reference="variant_prompt", candidate="code")
+    v = V.apply_verdicts(answers, X.verdicts(spark, sf), ["doc_id"])
+    return (v.join(bleu, "doc_id")
+             .select("seq", "model", "prompt_index", "variation_name", "bleu",
+                     F.coalesce(F.col("success"), F.lit(False)).cast("long").alias("successful_runs"),
+                     F.col("executed").cast("long").alias("total_runs")))
+
+
 def registry_rows(spark, sf):
-    """D9 rows assembled by G3 from the runs' verdicts (J5 -> R1) and scores."""
-    snip = X.run_snippets(spark, sf)
-    v = V.apply_verdicts(snip, X.verdicts(spark, sf), ["doc_id"])
+    """D9 rows as a model evaluation makes them: each run's decoded outputs are
+    split (X2) and cleaned (X3), scored against the reference code (M1, M3),
+    given verdicts and counted (J5, R1), and assembled (G3, G1).  Pairs without
+    a verdict count as not executed."""
+    outputs = X.run_outputs(spark, sf, _role_pairs(spark, sf))
+    cleaned = outputs.select("run_id", "doc_id", "conv_id", "k", T.clean_code(T.transcript_code("generated")).alias("code"))
+    v = V.apply_verdicts(cleaned, X.verdicts(spark, sf), ["doc_id"])
     exec_stats = V.execution_rate(v, group=["run_id"]).select("run_id", "successful_runs", "total_snippets")
-    bleu = snip.groupBy("run_id").agg(F.avg("bleu").alias("avg_bleu"))
+    scored = M.bleu_pairs(outputs, ["run_id", "conv_id", "k"], reference="code", candidate="generated")
+    bleu = scored.groupBy("run_id").agg(F.avg("bleu").alias("avg_bleu"))
     return G.registry_record(X.run_configs(spark, sf), exec_stats, bleu)
 
 
@@ -103,10 +125,38 @@ def ingest_eval_results(spark, sf):
                      F.transform("_r", lambda r: F.struct(r["code"].alias("reference"),
                                                           r["generated"].alias("generated"),
                                                           F.lit(0.0).alias("bleu"))).alias("detailed_results"),
-                     F.lit(17).alias("training_dataset_size")))
+                     F.lit(17).alias("training_dataset_size"), "conv_id")
+             .orderBy("conv_id").drop("conv_id"))
     path = scratch_path(spark, "eval-docs")
     W.write_json(docs, path)
-    return R.read_eval_documents(spark, path).select("idx", "reference", "prompt", "code")
+    return R.read_eval_documents(spark, path).select("doc_no", "idx", "reference", "prompt", "code")
+
+
+@query
+def ingest_conversations_array(spark, sf):
+    """I1, the legacy layout: conversations written as JSON arrays, one file a
+    write task, and read back with positions over all files."""
+    nested = FM.rebuild_conversations(X.raw_messages(spark, sf)).select("conv_id", F.struct("conversations").alias("r"))
+    ranged = nested.repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id")
+    arrays = (ranged.withColumn("part", F.spark_partition_id()).groupBy("part")
+              .agg(F.sort_array(F.collect_list(F.struct("conv_id", "r"))).alias("rs"))
+              .select("part", F.to_json(F.transform("rs", lambda x: x["r"])).alias("value")))
+    path = scratch_path(spark, "conversations-array")
+    arrays.coalesce(1).sortWithinPartitions("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return P.flatten_messages(R.read_conversations_array(spark, path))
+
+
+@query
+def eval_document_roundtrip(spark, sf):
+    """Scored transcripts written as an evaluation document and read
+    back, split into prompt and code."""
+    t = X.transcripts(_role_pairs(spark, sf))
+    scored = (t.join(M.bleu_pairs(t, ["conv_id", "k"], reference="code", candidate="generated"), ["conv_id", "k"])
+              .select(F.col("code").alias("reference"), "generated", "bleu"))
+    path = scratch_path(spark, "eval-document")
+    W.write_eval_document(scored, path, 265, "2025-01-01T00:00:00")
+    return R.read_eval_folder(spark, path).select("training_dataset_size", "reference", "prompt", "code",
+                                                  F.round("bleu", 6).alias("bleu"))
 
 
 @query
@@ -115,7 +165,7 @@ def generation_log(spark, sf):
     path = scratch_path(spark, "generation-log")
     W.write_json(X.doc_snippets(spark, sf).select("variation_name", "prompt", "system_prompt", "response",
                                                    "time_taken"), path)
-    return R.read_generation_log(spark, path).select("variation_name", "prompt", "response",
+    return R.read_generation_log(spark, path).select("variation_name", "prompt", "system_prompt", "response",
                                                      F.round("time_taken", 6).alias("time_taken"))
 
 
@@ -155,6 +205,20 @@ def registry_scan(spark, sf):
                     F.col("execution_check.total_snippets").cast("long").alias("total_snippets"))
 
 
+@query
+def registry_scan_array(spark, sf):
+    """I5, the legacy layout: the registry as one JSON array; ``seq`` is the
+    record's position.  (One registry is one file by definition.)"""
+    rows = registry_rows(spark, sf)
+    record = F.struct(*[c for c in rows.columns if c not in ("run_id", "seq")])
+    one = (rows.agg(F.sort_array(F.collect_list(F.struct("seq", record.alias("r")))).alias("rs"))
+           .select(F.to_json(F.transform("rs", lambda x: x["r"])).alias("value")))
+    path = scratch_path(spark, "registry-array")
+    one.write.text(path)
+    r = R.read_registry(spark, path)
+    return r.select("model_hash", "seq", "model_type", "train_dataset_size", F.round("avg_bleu", 6).alias("avg_bleu"))
+
+
 @query
 def rebuild_conversations(spark, sf):
     """S1 shape: messages regrouped per conversation, serialised as JSON."""
@@ -199,8 +263,7 @@ def pair_first_of_role(spark, sf):
 
 @query
 def multi_snippet_profile(spark, sf):
-    m = X.messages(spark, sf)
-    return P.multi_snippet_profile(m, P.pair_role_zip_context(m))
+    return P.multi_snippet_profile(X.messages(spark, sf))
 
 
 @query
@@ -240,7 +303,7 @@ def batch_edits(spark, sf):
 
 @query
 def trim_first_n(spark, sf):
-    return E.trim_first_n(X.messages(spark, sf), 50)
+    return E.trim_first_n(X.messages(spark, sf), 15)
 
 
 # ---------------------------------------------------------------- cleaning
@@ -307,17 +370,27 @@ def run_label(spark, sf):
 # ---------------------------------------------------------------- dedup / joins
 @query
 def dedup_ledger(spark, sf):
-    cp = D.with_snippet_hash(_context_pairs(spark, sf))
-    return D.dedup_ledger(cp, X.ledger(cp)).select("conv_id", "k", "snippet_hash")
+    pairs = D.with_snippet_hash(X.text_pairs(spark, sf))
+    return D.dedup_ledger(pairs, X.ledger(pairs)).select("conv_id", "k", "snippet_hash")
 
 
 @query
 def dedup_stream(spark, sf):
     """J1, streaming: new snippets arrive as files; ``dropDuplicates`` on the
-    hash with a checkpointed state store emits each hash once."""
+    hash with a checkpointed state store emits each hash once (which of equal
+    ones is not defined; ``ledger_runs`` keeps the first)."""
     from ..streaming.dedup import run_dedup_stream
-    cp = D.with_snippet_hash(_context_pairs(spark, sf))
-    return run_dedup_stream(spark, cp).select("snippet_hash")
+    return run_dedup_stream(spark, D.with_snippet_hash(X.text_pairs(spark, sf))).select("snippet_hash")
+
+
+@query
+def ledger_runs(spark, sf):
+    """Two runs over one ledger.  The first sees the even
+    conversations, the second all of them; each hash is processed once, by its
+    first pair of the first run that has it."""
+    from ..streaming.dedup import run_ledger_batches
+    pairs = D.with_snippet_hash(X.text_pairs(spark, sf))
+    return run_ledger_batches(spark, [pairs.filter(F.col("conv_id") % 2 == 0), pairs])
 
 
 @query
@@ -328,6 +401,7 @@ def dedup_against_main(spark, sf):
 
 @query
 def append_working(spark, sf):
+    # two pairs to a conversation; passing ones are appended in (conv_id, k) order
     v = V.apply_verdicts(X.new_pairs(spark, sf), X.verdicts(spark, sf), ["doc_id"])
     passing = v.filter(F.col("success")).select("conv_id", "k", "prompt", "code")
     return D.append_working(X.main_messages(spark, sf), passing)
@@ -390,13 +464,7 @@ def execution_rate(spark, sf):
     """R1 over the build-check flow: keep-first by snippet hash (J1, no
     ledger), verdicts for the kept snippets (J5); skipped duplicates still
     count in total_snippets."""
-    snip = X.doc_snippets(spark, sf).select("doc_id", F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("k"),
-                                            "prompt", F.col("response").alias("code"))
-    hashed = D.with_snippet_hash(snip)
-    kept = D.dedup_ledger(hashed, None, order=("conv_id", "k"))
-    skipped = hashed.join(kept.select("conv_id", "k"), ["conv_id", "k"], "left_anti")
-    v = V.apply_verdicts(kept, X.verdicts(spark, sf), ["doc_id"])
-    return V.execution_rate(v, skipped=skipped, dataset=snip)
+    return V.execution_rate_once(D.with_snippet_hash(X.text_pairs(spark, sf)), X.verdicts(spark, sf), ["doc_id"])
 
 
 @query
@@ -404,6 +472,27 @@ def failing_snippets(spark, sf):
     return V.failing_snippets(_verdicted_snippets(spark, sf).withColumnRenamed("response", "raw"), idx="doc_id")
 
 
+@query
+def failing_snippets_file(spark, sf):
+    """The failing snippets written in one overwrite and read back."""
+    path = scratch_path(spark, "failing-snippets")
+    W.write_json(failing_snippets(spark, sf), path)
+    return R.read_failing_snippets(spark, path, multiline=False).select("idx", "prompt", "code", "error_output", "error_cause")
+
+
+@query
+def prompt_evaluation(spark, sf):
+    """The whole prompt-evaluation flow (P7, J4, I3, X4, M1, J5), per prompt
+    and variation of each model (R4)."""
+    return PR.prompt_variation_summary(prompt_evaluation_results(spark, sf), model="model")
+
+
+@query
+def model_rollup(spark, sf):
+    """The same flow rolled up per model and variation (R2)."""
+    return PR.variation_rollup(prompt_evaluation_results(spark, sf), model="model")
+
+
 @query
 def variation_rollup(spark, sf):
     return PR.variation_rollup(evaluation_results(spark, sf))
@@ -472,10 +561,7 @@ def registry_append(spark, sf):
 
 # ---------------------------------------------------------------- history
 def _history(spark, sf):
-    log = X.event_log(spark, sf)
-    blk = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(H.TIME_BLOCK_US))
-    return H.number_steps(log, "run_id", ["ts", "event_id"], "loss", block_col=blk) \
-        .select("run_id", "step", "loss")
+    return H.number_steps(X.event_log(spark, sf), "run_id", ["ts", "event_id"], "loss").select("run_id", "step", "loss")
 
 
 @query
@@ -484,6 +570,12 @@ def loss_smoothing(spark, sf):
     return s.select("run_id", "step", "loss", F.round("smoothed", 6).alias("smoothed"))
 
 
+@query
+def run_series(spark, sf):
+    """The loss series of all runs, aligned by step."""
+    return H.aligned_series(_history(spark, sf))
+
+
 @query
 def run_comparison(spark, sf):
     return H.run_comparison(_history(spark, sf))

@@ -7,10 +7,15 @@ same views are written in SQL in ``plans.oracle``.
 
 * messages        -- ``conversations`` with ``user`` read as ``human``.
 * doc_snippets    -- one generated snippet per ``documents`` row: variation =
-                     ``source``, prompt = first line of the text, response =
-                     the text wrapped four ways by ``doc_id % 4`` (plain,
-                     scala fence, fence + end-of-text token, bare fence) so
-                     the cleaners see every shape.
+                     ``source``, prompt = the ``benchmark`` text of item
+                     ``doc_id % items``, response = the text wrapped four ways
+                     by ``doc_id % 4`` (plain, scala fence, fence +
+                     end-of-text token, bare fence) so the cleaners see every
+                     shape.
+* generation log  -- the same snippets as answers of model ``lang`` to the
+                     variation ``doc_id / items % 5`` of their prompt.
+* text_pairs      -- documents as pairs (prompt = lang, code = text), four to a
+                     conversation; exact copies repeat a hash.
 * verdicts        -- build/run verdicts from ``labels`` by ``doc_id``:
                      ``toxic = 0`` builds, ``quality = 1`` runs; unlabelled
                      documents were not executed.
@@ -18,11 +23,13 @@ same views are written in SQL in ``plans.oracle``.
                      shapes by ``conv_id % 4`` (lower-case markers, upper-case
                      markers, no user part, no markers).
 * main / new      -- J2/J3: even ``doc_id`` documents form the main dataset
-                     (2-message conversations), odd ones are new snippets.
+                     (2-message conversations), odd ones are new snippets, two
+                     to a conversation.  Prompt = source, language and length.
 * ledger          -- hashes already processed: the first exchange (k = 0) of
                      every conversation, as an earlier run would have seen.
-* run_configs     -- one training run per (source, lang) of labelled
-                     documents; its evaluation rows are those documents.
+* run_configs     -- one training run per (source, lang) of ``documents``; it is
+                     evaluated on the P4 pairs of the conversations whose id is
+                     one of its documents (verdicts by that id).
 * metric history  -- ``events``: run = ``user_id``, ordered by (ts, event_id),
                      loss = ``value``.
 * test prompts    -- ``benchmark.text``.
@@ -30,7 +37,7 @@ same views are written in SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -47,12 +54,18 @@ def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
 
 
-def first_line(c: str) -> F.Column:
-    return F.substring_index(F.col(c), "\n", 1)
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: how many benchmark items there are."""
+    return read_table(spark, sf, "benchmark").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 def doc_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_index"), F.col("text").alias("prompt"))
+    d = (read_table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+         .crossJoin(F.broadcast(_items(spark, sf)))
+         .withColumn("prompt_index", F.col("doc_id") % F.col("n_items"))
+         .withColumn("variation_no", (F.floor(F.col("doc_id") / F.col("n_items")) % 5).cast("int"))
+         .join(items, "prompt_index", "left"))
     shape = F.col("doc_id") % 4
     response = (F.when(shape == 0, F.col("text"))
                  .when(shape == 1, F.concat(F.lit("```scala\n"), F.col("text"), F.lit("\n```")))
@@ -60,10 +73,17 @@ def doc_snippets(spark: SparkSession, sf: str) -> DataFrame:
                                             F.lit(fixed.END_OF_TEXT)))
                  .otherwise(F.concat(F.lit("```"), F.col("text"))))
     return d.select("doc_id", F.col("doc_id").alias("seq"), F.col("source").alias("variation_name"), "lang",
-                    first_line("text").alias("prompt"), F.lit(fixed.BASE_SYSTEM_PROMPT).alias("system_prompt"),
+                    "prompt_index", "variation_no",
+                    F.coalesce("prompt", F.lit("")).alias("prompt"), F.lit(fixed.BASE_SYSTEM_PROMPT).alias("system_prompt"),
                     response.alias("response"), (F.col("n_chars") / 1000.0).alias("time_taken"), "n_chars")
 
 
+def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select(
+        "doc_id", F.floor(F.col("doc_id") / 4).alias("conv_id"), (F.col("doc_id") % 4).alias("k"),
+        F.col("lang").alias("prompt"), F.col("text").alias("code"))
+
+
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     lab = read_table(spark, sf, "labels")
     did = F.col("doc_id").cast("string")
@@ -88,17 +108,21 @@ def transcripts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("generated", t)
 
 
+def _short_prompt() -> Column:
+    return F.concat_ws("/", "source", "lang", F.col("n_chars").cast("string"))
+
+
 def main_messages(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").filter(F.col("doc_id") % 2 == 0)
     return d.select(F.col("doc_id").alias("conv_id"), F.inline(F.array(
-        F.struct(F.lit(0).cast("long").alias("turn"), F.lit(fixed.HUMAN).alias("role"), first_line("text").alias("text")),
+        F.struct(F.lit(0).cast("long").alias("turn"), F.lit(fixed.HUMAN).alias("role"), _short_prompt().alias("text")),
         F.struct(F.lit(1).cast("long").alias("turn"), F.lit(fixed.ASSISTANT).alias("role"), F.col("text").alias("text")))))
 
 
 def new_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").filter(F.col("doc_id") % 2 == 1)
-    return d.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("k"),
-                    first_line("text").alias("prompt"), F.col("text").alias("code"), "doc_id")
+    return d.select(F.floor(F.col("doc_id") / 4).alias("conv_id"), (F.col("doc_id") % 4).alias("k"),
+                    _short_prompt().alias("prompt"), F.col("text").alias("code"), "doc_id")
 
 
 def ledger(context_pairs: DataFrame) -> DataFrame:
@@ -106,9 +130,9 @@ def ledger(context_pairs: DataFrame) -> DataFrame:
 
 
 def run_configs(spark: SparkSession, sf: str) -> DataFrame:
-    """One run per (source, lang) of labelled documents, with a training
-    configuration derived from the group's names."""
-    d = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    """One run per (source, lang) of documents, with a training configuration
+    derived from the group's names."""
+    d = read_table(spark, sf, "documents")
     src = F.substring(F.col("source"), 4, 10).cast("int")
     rank = F.when(F.col("lang") == "en", 64).when(F.col("lang") == "de", 32) \
             .when(F.col("lang") == "fr", 16).otherwise(8)
@@ -124,14 +148,10 @@ def run_configs(spark: SparkSession, sf: str) -> DataFrame:
                      F.lit(0.0).alias("lora_dropout"), F.lit("0").alias("lora_dropout_text")))
 
 
-def run_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation rows of each run: its labelled documents as (prompt, code)
-    pairs plus a per-row score stand-in in 0..1."""
-    d = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels").select("doc_id"), "doc_id")
-    return d.select(F.concat(F.col("source"), F.lit("/"), F.col("lang")).alias("run_id"),
-                    "doc_id", F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("k"),
-                    first_line("text").alias("prompt"), F.col("text").alias("code"),
-                    (F.least(F.col("n_chars"), F.lit(1000)) / 1000.0).alias("bleu"))
+def run_outputs(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+    """Evaluation rows of each run: pairs with the decoded output of the run's model."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang").alias("run_id"))
+    return transcripts(pairs).withColumn("doc_id", F.col("conv_id")).join(d, "doc_id")
 
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:

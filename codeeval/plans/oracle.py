@@ -103,13 +103,17 @@ first_of_role AS (
   WHERE n >= 2 AND prompt IS NOT NULL AND code IS NOT NULL)"""
 
 DOC_SNIPPETS = f"""doc_snippets AS (
-  SELECT doc_id, doc_id AS seq, source AS variation_name, lang,
-         split_part(text, chr(10), 1) AS prompt, {lit(fixed.BASE_SYSTEM_PROMPT)} AS system_prompt,
-         CASE doc_id % 4 WHEN 0 THEN text
-              WHEN 1 THEN '```scala' || chr(10) || text || chr(10) || '```'
-              WHEN 2 THEN '```scala' || chr(10) || text || chr(10) || '```' || {lit(fixed.END_OF_TEXT)}
-              ELSE '```' || text END AS response,
+  SELECT doc_id, doc_id AS seq, source AS variation_name, lang, doc_id % ni AS prompt_index, doc_id // ni % 5 AS variation_no,
+         coalesce(b.text, '') AS prompt, {lit(fixed.BASE_SYSTEM_PROMPT)} AS system_prompt,
+         CASE doc_id % 4 WHEN 0 THEN d.text
+              WHEN 1 THEN '```scala' || chr(10) || d.text || chr(10) || '```'
+              WHEN 2 THEN '```scala' || chr(10) || d.text || chr(10) || '```' || {lit(fixed.END_OF_TEXT)}
+              ELSE '```' || d.text END AS response,
          n_chars / 1000.0::DOUBLE AS time_taken, n_chars
+  FROM documents d, (SELECT count(*) AS ni FROM benchmark) LEFT JOIN benchmark b ON b.item_id = doc_id % ni)"""
+
+TEXT_PAIRS = """text_pairs AS (
+  SELECT doc_id, doc_id // 4 AS conv_id, doc_id % 4 AS k, lang AS prompt, text AS code, sha256(lang || text) AS snippet_hash
   FROM documents)"""
 
 VERDICTS = """verdicts AS (
@@ -241,20 +245,20 @@ er AS (SELECT v.doc_id, v.seq, v.prompt, v.variation_name, eb.bleu,
 
 _RANK = "CASE lang WHEN 'en' THEN 64 WHEN 'de' THEN 32 WHEN 'fr' THEN 16 ELSE 8 END"
 
-REGISTRY = VERDICTS + f""",
-rs AS (SELECT source || '/' || lang AS run_id, d.doc_id, d.doc_id AS conv_id, 0::BIGINT AS k,
-              split_part(text, chr(10), 1) AS prompt, text AS code, least(n_chars, 1000) / 1000.0::DOUBLE AS bleu
-       FROM documents d JOIN labels l USING (doc_id)),
+REGISTRY = VERDICTS + ",\n" + ROLE_PAIRS + ",\n" + transcripts("role_pairs", "tr") + f""",
+ro AS (SELECT tr.*, conv_id AS doc_id, source || '/' || lang AS run_id FROM tr JOIN documents d ON d.doc_id = tr.conv_id),
+rs AS (SELECT run_id, doc_id, conv_id, k, {clean_code(transcript_code('generated'))} AS code FROM ro),
 {apply_verdicts("rs", "rv")},
+{bleu_ctes("ro", ["run_id", "conv_id", "k"], "code", "generated", "rbl")},
 ex AS (SELECT run_id, sum(coalesce(success, false)::BIGINT) AS successful_runs, count(*) AS total_snippets
        FROM rv GROUP BY run_id),
-rb AS (SELECT run_id, avg(bleu) AS avg_bleu FROM rs GROUP BY run_id),
+rb AS (SELECT run_id, avg(bleu) AS avg_bleu FROM rbl GROUP BY run_id),
 rc AS (SELECT source || '/' || lang AS run_id, min(doc_id) AS seq, source, lang,
               CASE WHEN lang = 'es' THEN 'base' ELSE 'finetuned' END AS model_type,
               2 AS batch_size, 1 + CAST(substr(source, 4, 10) AS INTEGER) % 3 AS num_train_epochs, -1 AS max_steps,
               50 * (1 + CAST(substr(source, 4, 10) AS INTEGER) % 5) AS train_dataset_size, 17 AS test_dataset_size,
               {_RANK} AS lora_rank, {_RANK} * 2 AS lora_alpha
-       FROM documents JOIN labels USING (doc_id) GROUP BY source, lang),
+       FROM documents GROUP BY source, lang),
 reg AS (
   SELECT rc.run_id, rc.seq,
          CASE WHEN model_type = 'finetuned' THEN
@@ -269,11 +273,11 @@ reg AS (
   FROM rc LEFT JOIN ex USING (run_id) LEFT JOIN rb USING (run_id))"""
 
 MAIN_NEW = """main_messages AS (
-  SELECT doc_id AS conv_id, 0::BIGINT AS turn, 'human' AS role, split_part(text, chr(10), 1) AS text
+  SELECT doc_id AS conv_id, 0::BIGINT AS turn, 'human' AS role, concat_ws('/', source, lang, n_chars) AS text
   FROM documents WHERE doc_id % 2 = 0
   UNION ALL
   SELECT doc_id AS conv_id, 1::BIGINT AS turn, 'assistant' AS role, text FROM documents WHERE doc_id % 2 = 0),
-new_pairs AS (SELECT doc_id AS conv_id, 0::BIGINT AS k, split_part(text, chr(10), 1) AS prompt, text AS code, doc_id
+new_pairs AS (SELECT doc_id // 4 AS conv_id, doc_id % 4 AS k, concat_ws('/', source, lang, n_chars) AS prompt, text AS code, doc_id
               FROM documents WHERE doc_id % 2 = 1),
 main_values AS (SELECT DISTINCT text AS v FROM main_messages WHERE text IS NOT NULL)"""
 
@@ -310,6 +314,15 @@ def _templates_values() -> str:
     return "(VALUES " + ", ".join(rows) + ") AS tpl(variation_no, variation_name, template)"
 
 
+PROMPT_EVALUATION = VERDICTED + f""",
+ans AS (SELECT v.*, replace(template, '{fixed.BASE_PLACEHOLDER}', b.text) AS variant_prompt, tpl.variation_name AS variation
+        FROM verdicted v JOIN benchmark b ON b.item_id = v.prompt_index JOIN {_templates_values()} ON tpl.variation_no = v.variation_no),
+{bleu_ctes("ans", ["doc_id"], "variant_prompt", "code", "ab")},
+pe AS (SELECT seq, lang AS model, prompt_index, variation AS variation_name, bleu,
+              coalesce(success, false)::BIGINT AS successful_runs, executed::BIGINT AS total_runs
+       FROM ans JOIN ab USING (doc_id))"""
+
+
 # ------------------------------------------------------------------ the statements
 def oracle_sql() -> dict[str, str]:
     head, mid, tail = _instruction_parts()
@@ -319,9 +332,9 @@ def oracle_sql() -> dict[str, str]:
     q["ingest_conversations"] = """SELECT (dense_rank() OVER (ORDER BY conv_id) - 1)::BIGINT AS conv_id, turn, role, text
 FROM conversations"""
     q["ingest_eval_results"] = f"WITH {ROLE_PAIRS}, {transcripts('role_pairs', 'tr')}\n" \
-        f"SELECT k AS idx, code AS reference, {transcript_prompt('generated')} AS prompt, " \
+        f"SELECT dense_rank() OVER (ORDER BY conv_id) - 1 AS doc_no, k AS idx, code AS reference, {transcript_prompt('generated')} AS prompt, " \
         f"{transcript_code('generated')} AS code FROM tr"
-    q["generation_log"] = f"WITH {DOC_SNIPPETS}\nSELECT variation_name, prompt, response, round(time_taken, 6) AS time_taken FROM doc_snippets"
+    q["generation_log"] = f"WITH {DOC_SNIPPETS}\nSELECT variation_name, prompt, system_prompt, response, round(time_taken, 6) AS time_taken FROM doc_snippets"
     numbered = "numbered AS (SELECT row_number() OVER (ORDER BY conv_id, k) AS idx, prompt, code FROM role_pairs)"
     q["pairs_long_form"] = f"""WITH {ROLE_PAIRS}, {numbered}
 SELECT idx, 'prompt' AS kind, prompt AS content FROM numbered
@@ -332,6 +345,13 @@ WHERE coalesce(prompt, '') <> '' OR coalesce(code, '') <> ''"""
     q["registry_scan"] = f"""WITH {REGISTRY}
 SELECT model_hash, seq, model_type, train_dataset_size, round(avg_bleu, 6) AS avg_bleu, successful_runs, total_snippets
 FROM reg"""
+    q["registry_scan_array"] = f"""WITH {REGISTRY}
+SELECT model_hash, row_number() OVER (ORDER BY seq) - 1 AS seq, model_type, train_dataset_size, round(avg_bleu, 6) AS avg_bleu FROM reg"""
+    q["ingest_conversations_array"] = q["ingest_conversations"]
+    q["eval_document_roundtrip"] = f"""WITH {ROLE_PAIRS}, {transcripts('role_pairs', 'tr')},
+{bleu_ctes('tr', ['conv_id', 'k'], 'code', 'generated', 'bl')}
+SELECT 265 AS training_dataset_size, code AS reference, {transcript_prompt('generated')} AS prompt,
+       {transcript_code('generated')} AS code, round(bleu, 6) AS bleu FROM tr JOIN bl USING (conv_id, k)"""
     q["rebuild_conversations"] = """SELECT conv_id, count(*) AS n_messages,
        CAST(to_json(list({'from': role, 'value': text} ORDER BY turn)) AS VARCHAR) AS conversations_json
 FROM conversations GROUP BY conv_id"""
@@ -387,7 +407,7 @@ UNION ALL SELECT conv_id, 0::BIGINT, 'human', prompt FROM added
 UNION ALL SELECT conv_id, 1::BIGINT, 'assistant', response FROM added"""
     q["trim_first_n"] = f"""WITH {MESSAGES}
 SELECT conv_id, turn, role, text FROM messages
-WHERE conv_id IN (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM messages ORDER BY conv_id LIMIT 50))"""
+WHERE conv_id IN (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM messages ORDER BY conv_id LIMIT 15))"""
 
     # cleaning
     q["extract_transcript"] = f"""WITH {ROLE_PAIRS}, {transcripts('role_pairs', 'tr')}
@@ -416,19 +436,22 @@ SELECT run_id, 'llama3.2-r=' || lora_rank || '-alpha=' || lora_alpha || '-traini
        'after_finetuning_trainsize' || train_dataset_size AS result_prefix FROM reg"""
 
     # dedup / joins
-    q["dedup_ledger"] = f"""WITH {CONTEXT_PAIRS},
-hp AS (SELECT conv_id, k, sha256(prompt || code) AS snippet_hash FROM context_pairs),
+    q["ledger_runs"] = f"""WITH {TEXT_PAIRS}
+SELECT conv_id, k, snippet_hash FROM (SELECT *, row_number() OVER (PARTITION BY snippet_hash ORDER BY conv_id % 2, conv_id, k) AS rn
+                                      FROM text_pairs) WHERE rn = 1"""
+    q["dedup_ledger"] = f"""WITH {TEXT_PAIRS},
+hp AS (SELECT conv_id, k, snippet_hash FROM text_pairs),
 ledger AS (SELECT snippet_hash FROM hp WHERE k = 0),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snippet_hash ORDER BY conv_id, k) AS rn FROM hp) WHERE rn = 1)
 SELECT conv_id, k, snippet_hash FROM firsts WHERE snippet_hash NOT IN (SELECT snippet_hash FROM ledger)"""
-    q["dedup_stream"] = f"WITH {CONTEXT_PAIRS}\nSELECT DISTINCT sha256(prompt || code) AS snippet_hash FROM context_pairs"
+    q["dedup_stream"] = f"WITH {TEXT_PAIRS}\nSELECT DISTINCT snippet_hash FROM text_pairs"
     q["dedup_against_main"] = f"WITH {MAIN_NEW}, {nondup('new_pairs', 'nd')}\nSELECT conv_id, k, prompt, code FROM nd"
     q["append_working"] = f"""WITH {VERDICTS}, {MAIN_NEW},
 {apply_verdicts('new_pairs', 'nv')},
 passing AS (SELECT conv_id, k, prompt, code FROM nv WHERE success),
 {nondup('passing', 'nd')},
 top AS (SELECT max(conv_id) AS top FROM main_messages),
-appended AS (SELECT top + row_number() OVER (ORDER BY conv_id) AS conv_id, prompt, code FROM nd, top WHERE top IS NOT NULL)
+appended AS (SELECT top + row_number() OVER (ORDER BY conv_id, k) AS conv_id, prompt, code FROM nd, top WHERE top IS NOT NULL)
 SELECT conv_id, turn, role, text FROM main_messages
 UNION ALL SELECT conv_id, 0::BIGINT, 'human', prompt FROM appended
 UNION ALL SELECT conv_id, 1::BIGINT, 'assistant', code FROM appended"""
@@ -455,9 +478,8 @@ snip AS (SELECT doc_id, prompt, {strip_backticks('response')} AS code FROM doc_s
 SELECT doc_id, round(bleu, 6) AS bleu FROM bl"""
 
     # rollups
-    q["execution_rate"] = f"""WITH {DOC_SNIPPETS}, {VERDICTS},
-s AS (SELECT doc_id, doc_id AS conv_id, 0::BIGINT AS k, prompt, response AS code, sha256(prompt || response) AS h
-      FROM doc_snippets),
+    q["execution_rate"] = f"""WITH {TEXT_PAIRS}, {VERDICTS},
+s AS (SELECT doc_id, conv_id, k, prompt, code, snippet_hash AS h FROM text_pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id, k) AS rn FROM s),
 kept AS (SELECT * FROM ranked WHERE rn = 1),
 {apply_verdicts('kept', 'kv')},
@@ -470,6 +492,20 @@ SELECT doc_id AS idx, prompt, code, message AS error_output,
        CASE WHEN message IS NULL OR message = '' THEN {lit(fixed.UNKNOWN_ERROR)} ELSE {last_piece('message', 'chr(10)')} END AS error_cause,
        {last_piece(strip("coalesce(message, '')"), 'chr(10)')} AS error_cause_stripped
 FROM verdicted WHERE success = false"""
+    q["failing_snippets_file"] = "SELECT idx, prompt, code, error_output, error_cause FROM (" + q["failing_snippets"] + ")"
+    q["prompt_evaluation"] = f"""WITH {PROMPT_EVALUATION},
+per AS (SELECT model, prompt_index, variation_name, arg_min(bleu, seq) AS bleu_first,
+               arg_max(successful_runs, seq) AS successful_runs_last, arg_max(total_runs, seq) AS total_runs_last,
+               sum(successful_runs) AS ok, sum(total_runs) AS tot FROM pe GROUP BY ALL)
+SELECT model, prompt_index, variation_name, round(bleu_first, 6) AS bleu_first, successful_runs_last, total_runs_last,
+       (sum(ok) OVER p)::BIGINT AS prompt_successful_runs, (sum(tot) OVER p)::BIGINT AS prompt_total_snippets,
+       round({rate('successful_runs_last', 'total_runs_last')} * 100, 6) AS success_rate_pct
+FROM per WINDOW p AS (PARTITION BY model, prompt_index)"""
+    q["model_rollup"] = f"""WITH {PROMPT_EVALUATION}
+SELECT model, variation_name, grouping(variation_name) = 1 AS is_total, count(*) AS n_results, round(avg(bleu), 6) AS avg_bleu,
+       sum(successful_runs)::BIGINT AS successful_runs, sum(total_runs)::BIGINT AS total_runs,
+       round({rate('sum(successful_runs)', 'sum(total_runs)')} * 100, 6) AS success_rate_pct
+FROM pe GROUP BY GROUPING SETS ((model, variation_name), (model))"""
     q["variation_rollup"] = f"""WITH {EVAL_RESULTS}
 SELECT variation_name, grouping(variation_name) = 1 AS is_total, count(*) AS n_results, round(avg(bleu), 6) AS avg_bleu,
        sum(successful_runs)::BIGINT AS successful_runs, sum(total_runs)::BIGINT AS total_runs,
@@ -532,6 +568,7 @@ SELECT run_id, step, loss,
                   THEN avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {fixed.LOSS_SMOOTH_WINDOW - 1} PRECEDING AND CURRENT ROW)
              END, 6) AS smoothed
 FROM hist"""
+    q["run_series"] = f"WITH {HISTORY}\nSELECT step, run_id, loss FROM hist"
     q["run_comparison"] = f"""WITH {HISTORY},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY loss, run_id) AS rn FROM hist)
 SELECT step, count(*) AS n_runs, round(min(loss), 6) AS min_loss, round(avg(loss), 6) AS avg_loss,

@@ -13,10 +13,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Joins whose keys start with an already-partitioned id (the n-gram
-    # matching in operators.metrics) reuse that partitioning instead of
-    # re-shuffling every n-gram.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # the streaming dedup's state is the hash ledger: keep it in RocksDB
@@ -50,21 +46,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-PLANNER_CONF = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
-
-
-def configure(spark: SparkSession) -> None:
-    """Apply the planner settings the operators are written for to an
-    existing session (e.g. one created by a scheduler)."""
-    for k, v in PLANNER_CONF.items():
-        spark.conf.set(k, v)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set -- local tests -- a folder of our own is chosen.
+    where neither is set and everything runs in one process (a ``local``
+    master) a folder of our own is chosen; on a cluster that is an error, as
+    executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -74,6 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join("/tmp", f"codeeval-checkpoints-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:
@@ -81,30 +72,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder, unique per call."""
-    return os.path.join(shared_dir(spark), "codeeval", f"{name}-{uuid.uuid4().hex}")
+_SCRATCH: list[str] = []
 
 
-def _bytes(text: str) -> int:
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    t = text.strip().lower().rstrip("b")
-    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the shared folder, unique per call."""
+    path = os.path.join(shared_dir(spark), "codeeval", f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
 
 
-def task_memory_bytes(spark: SparkSession) -> int:
-    """Execution memory one concurrent task can count on: the executor's
-    unified memory share (``spark.memory.fraction`` of heap minus the 300 MB
-    reserve) divided by its cores.  In local mode the driver is the
-    executor."""
-    conf = spark.conf
-    master = conf.get("spark.master", "") or ""
-    local = master.startswith("local")
-    heap = _bytes(conf.get("spark.driver.memory" if local else "spark.executor.memory", None) or "1g")
-    frac = float(conf.get("spark.memory.fraction", None) or 0.6)
-    if local:
-        n = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
-        cores = (os.cpu_count() or 1) if n.strip("*") == "" else int(n.split(",")[0])
-    else:
-        cores = int(conf.get("spark.executor.cores", None) or 1)
-    return max(1 << 20, int((heap - (300 << 20)) * frac) // max(cores, 1))
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has written so far; call it once
+    their results are no longer read.  Returns how many there were."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        at = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n

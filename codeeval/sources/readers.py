@@ -8,7 +8,7 @@ task -- it is read with ``wholetext`` and exploded, which keeps file order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,29 +34,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_file_order(df: DataFrame) -> DataFrame:
-    """Attach ``conv_id`` = position of the record over all input files
-    (file path, then split start, then line order inside the split).
+def _file_rank() -> list[Column]:
+    """Sort columns that put part files in order of their number, however many
+    digits it has, and other files in order of their path."""
+    name = F.element_at(F.split(F.col("_file"), "/"), -1)
+    number = F.regexp_extract(name, r"^part-([0-9]{1,18})", 1)
+    return [F.regexp_replace("_file", r"[^/]*$", ""), F.when(number != "", number.cast("long")), F.length(name), name]
 
-    No record moves: one aggregate gives each input split its first row id
-    and row count (one row per split -- bounded by input bytes / split
-    size), the splits are prefix-summed in file order, and that small table
-    is broadcast back.  Row ids come from ``monotonically_increasing_id``,
-    which is deterministic for a given scan and increases in read order
-    within a split.
+
+def _with_file_order(df: DataFrame, out: str = "conv_id") -> DataFrame:
+    """Attach ``out`` = position of the record over all input files (files in
+    order, then split start, then line order inside the split).
+
+    No record moves for it: one aggregate gives each input split its first row
+    id and row count, the splits (one row each) are prefix-summed in order and
+    joined back.  Row ids come from ``monotonically_increasing_id``, which is
+    deterministic for a given scan and increases in read order within a split.
     """
     d = (df.withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_start", F.col("_metadata.file_block_start"))
            .withColumn("_mid", F.monotonically_increasing_id()))
     splits = d.groupBy("_file", "_start").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*_file_rank(), "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_start", "_m0",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (d.join(F.broadcast(splits), ["_file", "_start"])
-             .withColumn("conv_id", (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
+    return (d.join(splits, ["_file", "_start"])
+             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
              .drop("_file", "_start", "_mid", "_m0", "_off"))
 
 
+def _array_records(spark: SparkSession, path: str, parse, out: str) -> DataFrame:
+    """Records of single-array files: ``(out, r, _value)``, numbered over all
+    files in order.  A file that does not parse gives one row with a null
+    ``r`` and its text in ``_value``."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    files = raw.select("_file", "value", parse(F.col("value")).alias("_records"))
+    files = files.withColumn("_n", F.coalesce(F.size("_records"), F.lit(1)))
+    before = Window.orderBy(*_file_rank()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", "_n").select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rows = files.join(starts, "_file")
+    bad = rows.filter(F.col("_records").isNull()).select(
+        F.col("_off").cast("long").alias(out), F.lit(None).alias("r"), F.col("value").alias("_value"))
+    good = rows.filter(F.col("_records").isNotNull()).select(F.posexplode("_records").alias("_p", "r"), "_off").select(
+        (F.col("_off") + F.col("_p")).cast("long").alias(out), "r", F.lit(None).cast("string").alias("_value"))
+    return good.unionByName(bad.withColumn("r", F.col("r").cast(good.schema["r"].dataType)))
+
+
 def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """I1 (JSON Lines): records ``{"conversations": [...]}``; ``conv_id`` is the
     record's position.  Corrupt lines are kept in ``_corrupt_record``."""
@@ -68,31 +91,48 @@ def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_conversations_array(spark: SparkSession, path: str) -> DataFrame:
     """I1 (legacy): one JSON array per file.  If the top level is an evaluation
     document, each detailed result becomes a one-message assistant
-    conversation (I2's loader branch).  Returns (conv_id, conversations)."""
-    raw = spark.read.text(path, wholetext=True)
-    records = F.from_json("value", f"array<struct<{CONVERSATION_DDL}>>")
-    doc = F.from_json("value", EVAL_DOC_DDL)
-    is_doc = F.ltrim(F.col("value")).startswith("{")
-    as_doc = F.transform(doc["detailed_results"],
-                         lambda r: F.struct(F.array(F.struct(F.lit("assistant").alias("from"),
-                                                             r["generated"].alias("value"))).alias("conversations")))
-    arr = F.when(is_doc, as_doc).otherwise(records)
-    return (raw.select(F.posexplode(arr).alias("conv_id", "r"))
-               .select(F.col("conv_id").cast("long"),
-                       F.coalesce(F.col("r.conversations"), F.array().cast(MESSAGE_DDL)).alias("conversations")))
+    conversation (I2's loader branch).  Returns ``(conv_id, conversations,
+    _corrupt_record)``: positions run on over the files, and a file that does
+    not parse is one conversation without messages and its text in
+    ``_corrupt_record``."""
+    def parse(value: Column) -> Column:
+        as_doc = F.transform(F.from_json(value, EVAL_DOC_DDL)["detailed_results"],
+                             lambda r: F.struct(F.array(F.struct(F.lit("assistant").alias("from"),
+                                                                 r["generated"].alias("value"))).alias("conversations")))
+        return F.when(F.ltrim(value).startswith("{"), as_doc).otherwise(
+            F.from_json(value, f"array<struct<{CONVERSATION_DDL}>>"))
+
+    d = _array_records(spark, path, parse, "conv_id")
+    return d.select("conv_id", F.coalesce(F.col("r.conversations"), F.array().cast(MESSAGE_DDL)).alias("conversations"),
+                    F.col("_value").alias("_corrupt_record"))
 
 
 def read_eval_documents(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Evaluation documents -> one row per detailed result with the
-    transcript split into prompt and code (X2)."""
-    docs = spark.read.schema(EVAL_DOC_DDL).option("multiLine", multiline).json(path)
-    return (docs.select("timestamp", "training_dataset_size",
-                        F.posexplode("detailed_results").alias("idx", "r"))
-                .select("timestamp", "training_dataset_size", F.col("idx").cast("long"),
-                        F.col("r.reference").alias("reference"), F.col("r.generated").alias("generated"),
-                        F.col("r.bleu").alias("bleu"),
-                        T.transcript_prompt(F.col("r.generated")).alias("prompt"),
-                        T.transcript_code(F.col("r.generated")).alias("code")))
+    """Evaluation documents -> one row per detailed result (``doc_no``, the
+    document's position, and ``idx`` in it) with the transcript split into
+    prompt and code (X2)."""
+    docs = _with_file_order(spark.read.schema(EVAL_DOC_DDL).option("multiLine", multiline).json(path), "doc_no")
+    return _eval_rows(docs.select("doc_no", "timestamp", "training_dataset_size",
+                                  F.posexplode("detailed_results").alias("idx", "r")))
+
+
+def _eval_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_no", "timestamp", "training_dataset_size", F.col("idx").cast("long"),
+                       F.col("r.reference").alias("reference"), F.col("r.generated").alias("generated"),
+                       F.col("r.bleu").alias("bleu"),
+                       T.transcript_prompt(F.col("r.generated")).alias("prompt"),
+                       T.transcript_code(F.col("r.generated")).alias("code"))
+
+
+def read_eval_folder(spark: SparkSession, path: str) -> DataFrame:
+    """I2 for the folder that ``writers.write_eval_document`` writes: its result
+    rows in order, with the document's timestamp and dataset size."""
+    results = _with_file_order(spark.read.schema(
+        "reference string, generated string, bleu double").json(f"{path}/detailed_results"), "idx")
+    head = spark.read.schema("timestamp string, training_dataset_size int").json(f"{path}/summary")  # one row
+    return _eval_rows(results.crossJoin(F.broadcast(head)).select(
+        F.lit(0).cast("long").alias("doc_no"), "timestamp", "training_dataset_size", "idx",
+        F.struct("reference", "generated", "bleu").alias("r")))
 
 
 def read_generation_log(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -131,33 +171,37 @@ def read_registry(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     """Run registry.
 
     ``multiline=True`` reads the legacy layout -- one JSON array per file --
-    and sets ``seq`` to the record's position in the array (file order is
-    the registry's order).  ``multiline=False`` reads JSON Lines written by
+    and sets ``seq`` to the record's position over all files (file order is
+    the registry's order); a file that does not parse is an error.  ``multiline=False`` reads JSON Lines written by
     ``append_registry``, whose rows carry their own ``seq``.
     """
     if multiline:
-        raw = spark.read.text(path, wholetext=True)
-        arr = F.from_json("value", f"array<struct<{REGISTRY_DDL}>>")
-        return (raw.select(F.posexplode(arr).alias("seq", "r"))
-                   .select("r.*", F.col("seq").cast("long").alias("seq")))
+        d = _array_records(spark, path, lambda v: F.from_json(v, f"array<struct<{REGISTRY_DDL}>>"), "seq")
+        bad = F.raise_error(F.concat(F.lit("not a registry: "), F.substring("_value", 1, 200)))
+        return d.withColumn("seq", F.when(F.col("r").isNull(), bad.cast("long")).otherwise(F.col("seq"))) \
+                .select("r.*", "seq")
     return spark.read.schema(REGISTRY_DDL + ", seq long").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Hash ledger; a missing ledger is an empty one."""
-    try:
-        return spark.read.schema(LEDGER_DDL).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LEDGER_DDL)
+    """Hash ledger; a missing ledger is an empty one.  Any other error is raised."""
+    return _or_empty(spark, lambda: spark.read.schema(LEDGER_DDL).parquet(path), LEDGER_DDL)
 
 
-def read_failing_snippets(spark: SparkSession, path: str) -> DataFrame:
-    """Failing snippets (superset schema); corrupt records are dropped."""
+def _or_empty(spark: SparkSession, read, ddl: str) -> DataFrame:
     try:
-        return (spark.read.schema(FAILING_DDL).option("mode", "DROPMALFORMED")
-                     .option("multiLine", True).json(path))
-    except AnalysisException:
-        return spark.createDataFrame([], FAILING_DDL)
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def read_failing_snippets(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Failing snippets (superset schema), JSON arrays or lines; corrupt
+    records are dropped, a missing file is empty."""
+    return _or_empty(spark, lambda: spark.read.schema(FAILING_DDL).option("mode", "DROPMALFORMED")
+                     .option("multiLine", multiline).json(path), FAILING_DDL)
 
 
 def read_metric_history(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

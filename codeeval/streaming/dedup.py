@@ -30,6 +30,22 @@ def dedup_stream_once(spark: SparkSession, incoming: str, sink: str, checkpoint:
     q.awaitTermination()
 
 
+def run_ledger_batches(spark: SparkSession, batches: list[DataFrame], seed: DataFrame | None = None) -> DataFrame:
+    """Several runs over one ledger table (I6, S5): each batch arrives as files,
+    the stream picks up where the last run stopped, and the callback (F1) writes
+    what was new.  ``seed`` is an earlier ledger.  Returns ``(conv_id, k,
+    snippet_hash)`` of the pairs processed, the first of each hash."""
+    from ..sources.writers import append_ledger
+    incoming, ledger, checkpoint, sink = (scratch_path(spark, f"ledger-{x}") for x in ("in", "table", "state", "new"))
+    if seed is not None:
+        append_ledger(seed, ledger)
+    for batch in batches:
+        batch.select("snippet_hash", "conv_id", "k").write.mode("append").parquet(incoming)
+        dedup_stream_to_ledger(spark, incoming, ledger, checkpoint,
+                               on_new=lambda new, epoch: new.write.mode("append").parquet(sink))
+    return spark.read.schema(SNIPPET_DDL).parquet(sink).select("conv_id", "k", "snippet_hash")
+
+
 def run_dedup_stream(spark: SparkSession, hashed_pairs: DataFrame) -> DataFrame:
     """Feed ``hashed_pairs`` through a fresh stream and return what it emitted."""
     incoming = scratch_path(spark, "dedup-incoming")

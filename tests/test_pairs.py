@@ -50,7 +50,7 @@ def test_first_of_role(spark):
 def test_multi_snippet_profile(spark):
     m = _msgs(spark)
     prof = {(r.conv_id, r.k): (r.n_snippets, r.is_multi, r.last_prompt)
-            for r in P.multi_snippet_profile(m, P.pair_role_zip_context(m)).collect()}
+            for r in P.multi_snippet_profile(m).collect()}
     assert prof[(1, 1)] == (2, True, "q2")
     assert prof[(2, 0)] == (1, False, "only q")
 

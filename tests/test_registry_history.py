@@ -145,3 +145,32 @@ def test_running_sum_within_blocks(spark):
         assert inc[(1, t)] == sum(2 * x for x in range(t + 1))
         assert exc[(1, t)] == sum(2 * x for x in range(t))
     assert inc[(2, 0)] == 5 and exc[(2, 0)] == 0
+
+
+def test_rank_in_order_spreads_one_group(spark):
+    from codeeval.operators.ordinals import rank_in_order
+    df = spark.range(4000).selectExpr("if(id % 500 = 1, 1, 0) AS g", "cast((id * 7919) % 4001 AS double) AS t", "id")
+    got = {}
+    for r in rank_in_order(df, ["g"], ["t", "id"], partitions=16).collect():
+        got.setdefault(r.g, []).append((r.t, r.id, r["rank"]))
+    for rows in got.values():
+        assert [r[2] for r in sorted(rows)] == list(range(len(rows)))
+
+
+def test_each_series_is_numbered_on_its_own(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, None), ("a", 2, None, 1e-4), ("a", 3, 0.4, 1e-5), ("b", 1, 0.9, None)],
+                               "run_id string, ts long, loss double, learning_rate double")
+    loss = sorted((r.run_id, r.step, r.loss) for r in H.number_steps(df, "run_id", ["ts"], "loss").collect())
+    rate = sorted((r.run_id, r.step, r.learning_rate) for r in H.number_steps(df, "run_id", ["ts"], "learning_rate").collect())
+    assert loss == [("a", 1, 0.5), ("a", 2, 0.4), ("b", 1, 0.9)] and rate == [("a", 1, 1e-4), ("a", 2, 1e-5)]
+    history = H.number_steps(df, "run_id", ["ts"], "loss")
+    assert sorted(map(tuple, H.aligned_series(history, ["b"]).collect())) == [(1, "b", 0.9)]
+
+
+def test_trim_rejects_more_than_there_is(spark):
+    from codeeval.operators.edits import trim_first_n
+    m = spark.createDataFrame([(3, 0, "human", "x"), (9, 0, "human", "y")], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in trim_first_n(m, 1).collect()] == [3]
+    for n in (0, 3, 99):
+        with pytest.raises(ValueError):
+            trim_first_n(m, n)

@@ -91,7 +91,9 @@ def test_eval_document_round_trip(spark):
     W.write_eval_document(scored, path, 265, "2025-01-01T00:00:00")
     summary = spark.read.json(f"{path}/summary").first()
     assert summary.average_metrics.bleu == 0.375 and summary.training_dataset_size == 265
-    assert spark.read.json(f"{path}/detailed_results").count() == 2
+    back = R.read_eval_folder(spark, path).orderBy("reference").collect()
+    assert [(r.reference, r.generated, r.bleu, r.training_dataset_size) for r in back] == \
+        [("r1", "g1", 0.5, 265), ("r2", "g2", 0.25, 265)]
 
 
 def test_legacy_registry_array_gets_file_order(spark, tmp_path):
@@ -105,6 +107,34 @@ def test_legacy_registry_array_gets_file_order(spark, tmp_path):
     assert best_run_per_size(reg).first().model_hash == "b"     # tie with "c": file order wins
 
 
+def test_arrays_of_several_files_are_numbered_on(spark, tmp_path):
+    conv = lambda *texts: [{"conversations": [{"from": "human", "value": t}]} for t in texts]
+    (tmp_path / "part-99999.json").write_text(json.dumps(conv("a", "b")))
+    (tmp_path / "part-100000.json").write_text(json.dumps(conv("c")))
+    (tmp_path / "part-100001.json").write_text("[{broken")
+    (tmp_path / "part-100002.json").write_text(json.dumps(conv("d")))
+    rows = R.read_conversations_array(spark, str(tmp_path)).orderBy("conv_id").collect()
+    assert [(r.conv_id, [m["value"] for m in r.conversations]) for r in rows] == \
+        [(0, ["a"]), (1, ["b"]), (2, ["c"]), (3, []), (4, ["d"])]
+    assert [r._corrupt_record for r in rows] == [None, None, None, "[{broken", None]
+    with pytest.raises(Exception, match="not a registry"):
+        R.read_registry(spark, str(tmp_path / "part-100001.json")).collect()
+
+
+def test_json_lines_follow_part_numbers(spark, tmp_path):
+    for n, t in ((100000, "late"), (99999, "early")):
+        (tmp_path / f"part-{n}.json").write_text(json.dumps({"conversations": [{"from": "human", "value": t}]}) + "\n")
+    got = {r.conv_id: r.conversations[0]["value"] for r in R.read_conversations_jsonl(spark, str(tmp_path)).collect()}
+    assert got == {0: "early", 1: "late"}
+
+
+def test_only_a_missing_ledger_is_empty(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        R.read_ledger(spark, str(tmp_path / "l")).collect()
+
+
 def test_metric_history_run_folders(spark, tmp_path):
     from codeeval.operators.history import history_from_arrays, loss_smoothing
     for run, hist in (("trial_a", {"loss": [3.0, 2.0, 1.0, 0.5, 0.4, 0.3], "learning_rate": [1e-4] * 6}),
