@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = some.groupBy(*same_set).agg(F.min("doc_id").alias("node"))
 
     # Buckets of more than one class.  A class is represented by the row of its smallest doc_id.
-    reps = (some.join(classes.where("node IS NOT NULL"), same_set)
-            .where("doc_id = node").select("node", "n_shingles", F.explode("bands").alias("band")))
+    reps = (some.join(classes.where("node IS NOT NULL").withColumn("doc_id", F.col("node")), [*same_set, "doc_id"])
+            .select("node", "n_shingles", F.explode("bands").alias("band")))
     sizes = reps.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     members = saved(reps.join(sizes.where("lo < hi").select("band", "m"), "band").distinct(), "members")
     degree = members.groupBy("node").agg(F.sum("m").alias("degree"), F.first("n_shingles").alias("n"))
