@@ -9,8 +9,8 @@ Plan shape (both metrics)
    (pair id, order, n-gram).  It is partial before the exchange, and since the
    n-gram is part of the key a single long text spreads over all partitions;
    there is no join, so no side must fit a task.
-3. A second, narrow aggregate per pair sums the clipped counts by order.  The
-   lengths are the numbers of unigrams; an order-0 row keeps empty pairs.
+3. A second, narrow aggregate per pair sums the clipped counts by order.  Rows
+   of order 0 carry the lengths, also of empty texts.
 4. The closing formula is a column expression over the per-pair counts.
 
 Word n-grams are keyed by a 64-bit hash (within one pair and order), character
@@ -37,28 +37,43 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 
-def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max_n: int, gram) -> DataFrame:
+#: Up to so many units that both sides share are looked up to skip n-grams.
+COMMON_UNITS = 256
+
+
+def _ngram_stats(pairs: DataFrame, ids: list[str], ref: Column, hyp: Column, max_n: int, gram,
+                 skip: bool = False) -> DataFrame:
     """Per pair: hyp_len, ref_len and clipped matches m1..m{max_n}.
 
     ``ref``/``hyp`` are the units to n-gram (a token or code-point array);
     ``gram(u, i, n)`` gives the key columns of the n-gram at 1-based ``i``.
+    ``skip`` leaves out n-grams that begin with a unit the other side lacks,
+    which cannot match; in a row with over ``COMMON_UNITS`` units in common
+    looking that up would cost more than it saves, and nothing is left out.
     """
-    sides = pairs.select(*ids, F.inline(F.array(F.struct(F.lit(0).alias("side"), ref.alias("u")),
-                                                F.struct(F.lit(1).alias("side"), hyp.alias("u")))))
+    d = pairs.select(*ids, ref.alias("r"), hyp.alias("h"))
+    common = F.array_intersect("r", "h") if skip else F.lit(None)
+    sides = (d.select(*ids, "r", "h", common.alias("common"))
+              .select(*ids, "common", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("r").alias("u")),
+                                                       F.struct(F.lit(1).alias("side"), F.col("h").alias("u"))))))
     u, i, n = F.col("u"), F.col("i"), F.col("n")
+    can = (F.size(u) > 0) & ((F.size("common") > COMMON_UNITS) | F.array_contains("common", F.get(u, i - 1))) \
+        if skip else F.size(u) > 0
     keys = [c.alias(f"g{j}") for j, c in enumerate(gram(u, i, n))]
-    grams = (sides.select(*ids, "side", "u", F.explode(F.sequence(F.lit(1), F.greatest(F.size(u), F.lit(1)))).alias("i"))
-                  .select(*ids, "side", "u", "i", F.explode(F.array(*map(F.lit, range(max_n + 1)))).alias("n"))
-                  .filter(F.when(n == 0, i == 1).otherwise(i + n - 1 <= F.size(u)))
-                  .select(*ids, "side", "n", *keys))
+    # an order-0 row carries a side's length
+    grams = (sides.select(*ids, "side", "u", "common", F.explode(F.sequence(F.lit(1), F.greatest(F.size(u), F.lit(1)))).alias("i"))
+                  .withColumn("can", can).filter((i == 1) | F.col("can"))
+                  .select(*ids, "side", "u", "i", "can", F.explode(F.array(*map(F.lit, range(max_n + 1)))).alias("n"))
+                  .filter(F.when(n == 0, i == 1).otherwise(F.col("can") & (i + n - 1 <= F.size(u))))
+                  .select(*ids, "side", "n", F.when(n == 0, F.size(u)).otherwise(1).alias("w"), *keys))
     counts = (grams.groupBy(*ids, "n", *[f"g{j}" for j in range(len(keys))])
-                   .agg(F.sum("side").alias("ch"), F.sum(1 - F.col("side")).alias("cr")))
+                   .agg(F.sum(F.col("w") * F.col("side")).alias("ch"), F.sum(F.col("w") * (1 - F.col("side"))).alias("cr")))
 
     def total(order: int, value: Column) -> Column:
         return F.sum(F.when(n == order, value).otherwise(0))
 
     return counts.groupBy(*ids).agg(
-        total(1, F.col("ch")).alias("hyp_len"), total(1, F.col("cr")).alias("ref_len"),
+        total(0, F.col("ch")).alias("hyp_len"), total(0, F.col("cr")).alias("ref_len"),
         *[total(k, F.least("ch", "cr")).alias(f"m{k}") for k in range(1, max_n + 1)])
 
 
@@ -141,7 +156,7 @@ def bleu_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "bleu") -> DataFrame:
     """M1: per-pair sentence BLEU of ``candidate`` against ``reference``."""
     n = fixed.BLEU_MAX_ORDER
-    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, _token_gram)
+    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, _token_gram, skip=True)
     return st.select(*ids, bleu_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 
