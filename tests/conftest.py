@@ -11,10 +11,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from codeeval.session import get_spark
+    from codeeval.session import drop_scratch, get_spark
     s = get_spark("local[4]", 8, app="codeeval-tests",
                   extra={"spark.driver.memory": "8g"})
     yield s
+    drop_scratch(s)
     s.stop()
 
 
