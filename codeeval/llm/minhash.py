@@ -6,7 +6,8 @@ words between white space).  Under each of ``PERMUTATIONS`` permutations of
 evaluation gives two signature values: 128 values from 64 permutations.
 Bands of four values are hashed; documents that share a band are candidates.
 Two documents of similarity 0.85 meet in one of the 32 bands with probability
-1 - (1 - 0.85^4)^32 > 1 - 1e-10.
+1 - (1 - 0.85^4)^32 > 1 - 1e-10, and of 0.8 with over 1 - 1e-7.
+The least similarity of a link, in hundredths, is a parameter.
 
 The whole job, without forming all pairs of a group:
 
@@ -121,33 +122,35 @@ def _sets(batch: pa.RecordBatch):
                "shingles": W.lists(W.signed(values), first, pa.int64()).filter(keep)}
 
 
-def _agree(batch: pa.RecordBatch):
+def _agree(threshold: int):
     """Of each pair of sets, whether the intersection reaches the threshold."""
-    def column(name):
-        c = batch.column(batch.schema.get_field_index(name))
-        return c.offsets.to_numpy(), c.values.to_numpy()
-
-    (oa, va), (ob, vb) = column("sa"), column("sb")
-    linked = np.zeros(batch.num_rows, bool)
-    for i in range(batch.num_rows):
-        a, b = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
-        both = np.concatenate([a, b])
-        both.sort()
-        inter = int((both[1:] == both[:-1]).sum())
-        linked[i] = 100 * inter >= THRESHOLD * (len(both) - inter)
-    keep = pa.array(linked)
-    yield {n: batch.column(batch.schema.get_field_index(n)).filter(keep) for n in ("a", "b")}
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch):
+        def column(name):
+            c = batch.column(batch.schema.get_field_index(name))
+            return c.offsets.to_numpy(), c.values.to_numpy()
+
+        (oa, va), (ob, vb) = column("sa"), column("sb")
+        linked = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            a, b = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
+            both = np.concatenate([a, b])
+            both.sort()
+            inter = int((both[1:] == both[:-1]).sum())
+            linked[i] = 100 * inter >= threshold * (len(both) - inter)
+        keep = pa.array(linked)
+        yield {n: batch.column(batch.schema.get_field_index(n)).filter(keep) for n in ("a", "b")}
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``(a, b)`` that are links, by their full sets."""
     full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", "sa", "sb"))
-    return map_batches(full, _agree, "a long, b long")
+    return map_batches(full, _agree(threshold), "a long, b long")
 
 
-def _prefixes(common: Broadcast):
+def _prefixes(common: Broadcast, threshold: int):
     """Of each set, the shingles that a link with some size could need, rarest first."""
     def run(batch: pa.RecordBatch):
         hashes, holders, rare = common.value
@@ -161,7 +164,7 @@ def _prefixes(common: Broadcast):
             at = np.minimum(np.searchsorted(hashes, s), max(len(hashes) - 1, 0))
             known = hashes[at] == s if len(hashes) else np.zeros(n, bool)
             order = np.lexsort((s, np.where(known, holders[at] if len(hashes) else 0, 0)))
-            order = order[:n - (THRESHOLD * n + 99) // 100 + 1]
+            order = order[:n - (threshold * n + 99) // 100 + 1]
             pos = np.flatnonzero(known[order]) if rare else np.arange(len(order))
             rows.append(np.full(len(pos), i))
             found.append(s[order[pos]])
@@ -172,14 +175,14 @@ def _prefixes(common: Broadcast):
     return run
 
 
-def _undecided(sets: DataFrame) -> DataFrame:
+def _undecided(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs ``(a, b)`` of different components that may still be links: an
     exact prefix filter with positions.
 
     In one order of all shingles, rarest first, the first shingle that two sets
     share leaves at most the rest of either set for the intersection.  So with
-    it at place i, a set of n can only reach the threshold with sets of up to
-    185/85 (n - i) - n shingles.  Any order is exact; holders of the (at most
+    it at place i, a set of n can only reach the threshold t with sets of up to
+    (100 + t)/t (n - i) - n shingles.  Any order is exact; holders of the (at most
     ``COMMON``) most common shingles are counted, and all others come first.
     """
     spark = sets.sparkSession
@@ -195,16 +198,16 @@ def _undecided(sets: DataFrame) -> DataFrame:
     rare = total <= COMMON                  # then a shingle not listed has one holder
     top = shared.where(F.col("holders") >= least).orderBy("shingle").toArrow()
     common = spark.sparkContext.broadcast((top.column("shingle").to_numpy(), top.column("holders").to_numpy(), rare))
-    posts = saved(map_batches(sets, _prefixes(common), "node long, n long, component long, shingle long, pos long"), "posts")
+    posts = saved(map_batches(sets, _prefixes(common, threshold), "node long, n long, component long, shingle long, pos long"), "posts")
     mixed = posts.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     posts = posts.join(mixed.select("shingle"), "shingle", "left_semi").withColumn(
-        "reach", F.floor((100 + THRESHOLD) * (F.col("n") - F.col("pos")) / THRESHOLD) - F.col("n"))
+        "reach", F.floor((100 + threshold) * (F.col("n") - F.col("pos")) / threshold) - F.col("n"))
     size_bin = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(1.01))).cast("int")
     # The smaller of a linked pair reaches the larger, and the larger reaches the smaller.
     small = posts.where("reach >= n").select(
         "shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"),
         F.col("component").alias("ca"), size_bin(F.col("n")).alias("bin"))
-    low, high = F.ceil(F.col("n") * THRESHOLD / 100), F.least("n", "reach")
+    low, high = F.ceil(F.col("n") * threshold / 100), F.least("n", "reach")
     large = posts.where(high >= low).select(
         "shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"),
         F.col("component").alias("cb"), F.explode(F.sequence(size_bin(low), size_bin(high))).alias("bin"))
@@ -213,8 +216,9 @@ def _undecided(sets: DataFrame) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id,
+    text)``; sets of a similarity of ``threshold`` hundredths or more are linked."""
     texts = text_of(docs)
     sketch = saved(map_batches(
         texts, _sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketch")
@@ -231,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = (members.join(degree, "node").groupBy("band")
             .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("hub"))
             .select("band", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("nb")))
-    fits = f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)"
+    fits = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
     star = (members.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("na"))
             .join(hubs, "band").where("a <> b").where(fits).select("a", "b").distinct())
 
@@ -240,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
               .select(F.col("node").alias("doc_id"), "s1", "s2"))
     sets = saved(map_batches(texts.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2"), _sets,
                              "node long, shingles array<long>"), "sets")
-    links = saved(_confirmed(star, sets), "links").distinct()
+    links = saved(_confirmed(star, sets, threshold), "links").distinct()
     first_round = components(links)
 
     # What the hubs have not settled: one bucket, different components.
@@ -250,8 +254,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_bands = (placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                   .where("x < y").select("band"))
     still = placed.join(open_bands, "band", "left_semi").select("node", "n", "component").distinct()
-    rest = _undecided(saved(sets.join(still, "node").select("node", "n", "component", "shingles"), "undecided"))
-    more = saved(_confirmed(rest, sets), "links")
+    undecided = saved(sets.join(still, "node").select("node", "n", "component", "shingles"), "undecided")
+    rest = _undecided(undecided, threshold)
+    more = saved(_confirmed(rest, sets, threshold), "links")
     merged = components(first_round.select(F.col("node").alias("a"), F.col("component").alias("b"))
                         .union(more.select("a", "b")))
 

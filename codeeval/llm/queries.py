@@ -12,7 +12,7 @@ from .tables import table
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents (operator 1)."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

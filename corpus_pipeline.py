@@ -14,6 +14,8 @@ from codeeval.llm import decontaminate, minhash, mixing, quality, sharding
 from codeeval.llm.queries import quality_weights
 from codeeval.llm.tables import saved, table
 
+#: Least Jaccard similarity, in hundredths, of near copies in this pipeline (0.85 is op1_minhash's own).
+NEAR = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL cannot express boosted trees or bin packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -39,8 +41,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id (operator 1)."""
-    return _without(docs, minhash.near_duplicates(docs).where("NOT kept"))
+    """One document of each group of near copies (similarity 0.8 or more), the one
+    of the smallest doc_id (operator 1)."""
+    return _without(docs, minhash.near_duplicates(docs, NEAR).where("NOT kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, threshold=85):
     """rows: (doc_id, text) with unique doc_ids."""
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
@@ -29,7 +29,7 @@ def near_duplicates(rows):
         for y in ids:
             if x < y and sets[x] and sets[y]:
                 inter = len(sets[x] & sets[y])
-                if 100 * inter >= 85 * (len(sets[x]) + len(sets[y]) - inter):
+                if 100 * inter >= threshold * (len(sets[x]) + len(sets[y]) - inter):
                     a, b = sorted((find(x), find(y)))
                     parent[b] = a
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}

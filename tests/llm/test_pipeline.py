@@ -1,5 +1,6 @@
 """The pipeline's stages, each held against a plain version on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -44,6 +45,19 @@ def test_near_duplicate_stage_keeps_one_of_each_group(steps):
     assert Counter(i for i, _ in rows(steps["near_duplicates"])) == Counter(want)
 
 
+def test_near_duplicate_stage_links_from_080_on(spark):
+    rng = random.Random(12)
+    texts = []
+    for edits in list(range(4, 14)) * 3:                  # (96 - edits) / (96 + edits): 0.92 to 0.76
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base[:-edits] + ["e"] * edits)]
+    schema = table(spark, SF, "documents").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    kept = {t: {i for i, (_, _, k) in brute.near_duplicates(list(enumerate(texts)), t).items() if k} for t in (80, 85)}
+    assert kept[80] < kept[85]                            # some pairs lie between
+    assert Counter(r.doc_id for r in P.without_near_copies(spark, docs, SF).collect()) == Counter(kept[80])
+
+
 def test_benchmark_stage_drops_contaminated(spark, steps):
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     judged = brute.decontaminate(rows(steps["near_duplicates"]), items)
