@@ -17,7 +17,8 @@ slot, and those are ranked.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without vec_id.  Only vectors of equal length are compared.
-A query's own rows are all rows with its vec_id.  Equal candidate rows each
+A query's own rows are all rows with its vec_id; they are left out before any
+bound is taken.  Equal candidate rows each
 take a rank; equal query rows give one list.  Ties go to the smaller vec_id.
 Other columns are ignored.  Components must stay below 2^20 after scaling for
 exact sums; others are refused with an error.
@@ -96,7 +97,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
     """Candidates that may be among the best ``k`` and score ``least`` or more;
-    ``lists``: (parts, candidates) scores by part."""
+    ``lists``: (parts, candidates) scores by part, without the query's own rows."""
     n = lists.shape[1]
     if n <= 4 * k:
         return np.arange(n)
@@ -107,7 +108,7 @@ def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
         read = lists >= front[:, None]
         low = np.where(read, lists, falling[:, -1:]).sum(0)
         high = np.where(read, lists, front[:, None]).sum(0)
-        least = max(least, np.partition(low, n - k - 1)[n - k - 1])  # k + 1: the query itself may be here
+        least = max(least, np.partition(low, n - k)[n - k])
         left = np.flatnonzero(high >= least)
         if len(left) <= 4 * k or depth >= n:
             return left
@@ -130,8 +131,10 @@ def _best(k: int):
                     for q_id, q, of_q in zip(q_ids[a:a + 64].tolist(), qs[a:a + 64], lists):
                         name = (q_id, q.tobytes())
                         s, ids = best.get(name, (np.empty(0), np.empty(0, np.int64)))
-                        rows = contenders(of_q, s[-1] if len(s) == k else -np.inf, k)
-                        rows = rows[c_ids[rows] != q_id]
+                        others = np.flatnonzero(c_ids != q_id)      # own rows set no bound
+                        if len(others) < len(c_ids):
+                            of_q = of_q[:, others]
+                        rows = others[contenders(of_q, s[-1] if len(s) == k else -np.inf, k)]
                         s, ids = np.append(s, x[rows] @ q), np.append(ids, c_ids[rows])
                         o = np.lexsort((ids, -s))[:k]
                         best[name] = s[o], ids[o]

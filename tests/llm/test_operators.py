@@ -248,6 +248,17 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), 10, 20).count() == 0
 
 
+def test_top_k_of_a_query_with_many_rows_of_its_own(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(1, 100)]
+    rows += [(100, [5 + n / 1024] + [4.0] * 5) for n in range(15)]                    # more than k, best by far
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.top_k(df, 10, 20).collect()
+    want = brute.top_k(rows, 10, 20)
+    assert {tuple(r) for r in got} == want
+    assert sum(q == 100 for q, *_ in want) >= 10
+
+
 def test_contenders_hold_the_best():
     rng = np.random.default_rng(0)
     for _ in range(50):
