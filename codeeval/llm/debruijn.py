@@ -15,6 +15,10 @@ of the path stand at the source too.
    a chunk of texts only the first occurrence of an edge travels; the later
    ones have their source there.  So a passage in a third of all documents is
    one row per chunk, not one per document.
+   A phrase that stands in many documents with other words around it gives all
+   its windows one part.  So the windows of every part are counted first, and a
+   part with more than twice the mean is dealt on by the edge's own hash, to as
+   many parts as it holds means.
 2. One exchange brings equal edges together, and each part finds the sources.
 3. The paths of a document from all parts are joined end to end.
 4. Paths are gathered by document and joined with the text, which crosses the
@@ -93,27 +97,63 @@ def _repeats(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
-def _edges(parts: int):
+def _new_in_chunk(batch: pa.RecordBatch):
+    """Of each chunk in order of coordinates: the paths of the windows that
+    repeat within it, and the windows whose edge is new in it."""
+    ids = batch.column(0).fill_null(LAST).to_numpy()
+    for row, buf, offs in W.chunks(batch.column(1), 4 << 20):
+        _, d, begin, h, least = _windows(buf, offs)
+        doc, tag = ids[row + d], _tags(buf, offs)[d]
+        g = (least >> W.U64(32)).astype(np.uint32)
+        if (doc[1:] < doc[:-1]).any():
+            by = np.lexsort((begin, doc))
+            doc, tag, begin, h, g, least = (x[by] for x in (doc, tag, begin, h, g, least))
+        order, first = _repeats(h, g)
+        src = order[first]
+        # an equal coordinate (a repeated row) is not an earlier start
+        earlier = (doc[order] != doc[src]) | (begin[order] != begin[src])
+        again = order[earlier]
+        paths = _paths(doc[again], tag[again], begin[again], doc[src[earlier]], begin[src[earlier]])
+        keep = np.sort(order[~earlier])
+        yield offs, paths, *(x[keep] for x in (doc, tag, begin, h, g, least))
+
+
+def _counts(parts: int):
+    """How many windows each part would get: of each task all its windows, as
+    part -1, and the parts with more than 1.5 times the task's mean.  What is
+    not told adds up to 1.5 means of a part at most."""
+    def run(batches):
+        total = np.zeros(parts, np.int64)
+        for batch in batches:
+            for *_, least in _new_in_chunk(batch):
+                total += np.bincount((least % W.U64(parts)).astype(np.int64), minlength=parts)
+        some = np.flatnonzero(2 * parts * total > 3 * total.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)),
+                                          pa.array(np.r_[total.sum(), total[some]])], ["part", "n"])
+    return run
+
+
+def _split(counts: dict[int, int], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every part, the first of the parts it is dealt on to and how many there are."""
+    first, ways = np.arange(parts), np.ones(parts, np.int64)
+    mean = max(1, -(-counts.get(-1, 0) // parts))
+    for part, n in sorted(counts.items()):
+        if part >= 0 and n > 2 * mean:
+            ways[part] = -(-n // mean)
+    hot = np.flatnonzero(ways > 1)
+    first[hot] = parts + np.cumsum(ways[hot]) - ways[hot]
+    return first, ways
+
+
+def _edges(first_of: np.ndarray, ways: np.ndarray):
     """Rows for the exchange: per chunk and part the runs of windows whose edge
     is new in the chunk, and the paths of those that repeat within it."""
+    parts = len(ways)
+
     def run(batch: pa.RecordBatch):
-        ids = batch.column(0).fill_null(LAST).to_numpy()
-        for row, buf, offs in W.chunks(batch.column(1), 4 << 20):
-            _, d, begin, h, least = _windows(buf, offs)
-            doc, tag = ids[row + d], _tags(buf, offs)[d]
-            g = (least >> W.U64(32)).astype(np.uint32)
-            if (doc[1:] < doc[:-1]).any():
-                by = np.lexsort((begin, doc))
-                doc, tag, begin, h, g, least = (x[by] for x in (doc, tag, begin, h, g, least))
-            order, first = _repeats(h, g)
-            src = order[first]
-            # an equal coordinate (a repeated row) is not an earlier start
-            earlier = (doc[order] != doc[src]) | (begin[order] != begin[src])
-            again = order[earlier]
-            paths = _paths(doc[again], tag[again], begin[again], doc[src[earlier]], begin[src[earlier]])
-            keep = np.sort(order[~earlier])
-            doc, tag, begin, h, g = doc[keep], tag[keep], begin[keep], h[keep], g[keep]
-            part = (least[keep] % W.U64(parts)).astype(np.int32)
+        for offs, paths, doc, tag, begin, h, g, least in _new_in_chunk(batch):
+            part = (least % W.U64(parts)).astype(np.int64)
+            part = (first_of[part] + ((h >> W.U64(32)) % ways[part].astype(W.U64)).astype(np.int64)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, doc, tag, begin, h, g = (x[order] for x in (part, doc, tag, begin, h, g))
             if len(part):
@@ -186,7 +226,9 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     the same ``n + K - 1`` words.  A window is in a path if and only if its
     words start earlier as well.  A null doc_id reads as the largest long."""
     parts = n_partitions(docs.sparkSession)
-    rows = map_batches(text_of(docs), _edges(4 * parts), _EXCHANGE)
+    texts = text_of(docs)
+    counts = texts.mapInArrow(_counts(4 * parts), "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    rows = map_batches(texts, _edges(*_split(dict(map(tuple, counts.collect())), 4 * parts)), _EXCHANGE)
     found = rows.repartition(parts, "part").mapInArrow(_sources, _PATHS)
     along = Window.partitionBy("doc_id", "tag").orderBy("begin", "source_doc", "source_begin")
     joins_on = ((F.lag("source_doc").over(along) == F.col("source_doc"))

@@ -234,6 +234,27 @@ def test_remove_repeats_of_repeated_rows(spark):
     assert debruijn.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_windows_of_a_common_phrase_spread_over_parts(spark, monkeypatch):
+    rng = random.Random(14)
+    phrases = [sentence(rng, debruijn.GRAM) for _ in range(3000)]
+    w = words.split_words(*words.text_bytes(pa.array([" ".join(p) for p in phrases])), words.SPACE_WORDS)
+    phrase = phrases[int(np.argmin(words.window_hashes(w.hashes(), debruijn.GRAM)[::debruijn.GRAM]))]
+    rows = [(i, " ".join(sentence(rng, 14, 10**6) + phrase + sentence(rng, 14, 10**6))) for i in range(2000)]
+    rows += [(2000 + i, " ".join(sentence(rng, 100, 10**6))) for i in range(100)]
+    docs = documents(spark, rows + [(3000, rows[7][1])])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_repeats(docs).collect()}
+    assert got == brute.remove_repeats(rows + [(3000, rows[7][1])]) and got[3000][1] == 34
+
+    def counted(batches):                                 # one path per partition: its number of windows
+        n = sum(len(b.column(b.schema.get_field_index("edge")).flatten()) for b in batches)
+        one = [pa.array([n], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays(one, ["doc_id", "tag", "begin", "n", "source_doc", "source_begin"])
+
+    monkeypatch.setattr(debruijn, "_sources", counted)
+    loads = [r.doc_id for r in debruijn.repeated_paths(docs).select("doc_id").collect()]
+    assert max(loads) < 0.5 * 15 * 2000                   # of the phrase's windows, most were in one
+
+
 # ---------------------------------------------------------------- 6
 
 def test_top_k(spark):
