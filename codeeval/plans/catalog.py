@@ -28,6 +28,8 @@ from ..sources import readers as R
 from ..sources import writers as W
 from . import fixtures as X
 
+#: Conversations in one legacy JSON array; more of them make more arrays, not longer ones.
+ARRAY_SIZE = 1000
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
@@ -134,15 +136,19 @@ def ingest_eval_results(spark, sf):
 
 @query
 def ingest_conversations_array(spark, sf):
-    """I1, the legacy layout: conversations written as JSON arrays, one file a
-    write task, and read back with positions over all files."""
-    nested = FM.rebuild_conversations(X.raw_messages(spark, sf)).select("conv_id", F.struct("conversations").alias("r"))
-    ranged = nested.repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id")
-    arrays = (ranged.withColumn("part", F.spark_partition_id()).groupBy("part")
-              .agg(F.sort_array(F.collect_list(F.struct("conv_id", "r"))).alias("rs"))
+    """I1, the legacy layout: conversations written as JSON arrays of
+    ``ARRAY_SIZE`` each, one array a file, by many tasks in range order, and
+    read back with positions over all files."""
+    from ..operators.ordinals import global_ordinal
+    messages = X.raw_messages(spark, sf)
+    ords = global_ordinal(messages, "conv_id", out="_o").withColumnRenamed("conv_id", "_id")
+    nested = FM.rebuild_conversations(messages).join(ords, F.col("conv_id").eqNullSafe(F.col("_id")))
+    arrays = (nested.groupBy(F.floor(F.col("_o") / ARRAY_SIZE).alias("part"))
+              .agg(F.sort_array(F.collect_list(F.struct("conv_id", F.struct("conversations").alias("r")))).alias("rs"))
               .select("part", F.to_json(F.transform("rs", lambda x: x["r"])).alias("value")))
     path = scratch_path(spark, "conversations-array")
-    arrays.coalesce(1).sortWithinPartitions("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    (arrays.repartitionByRange("part").sortWithinPartitions("part").select("value")
+        .write.option("maxRecordsPerFile", 1).text(path))
     return P.flatten_messages(R.read_conversations_array(spark, path))
 
 

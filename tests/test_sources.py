@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from codeeval.plans import catalog
 from codeeval.session import scratch_path
 from codeeval.sources import readers as R
 from codeeval.sources import writers as W
@@ -121,6 +122,29 @@ def test_arrays_of_several_files_are_numbered_on(spark, tmp_path):
         R.read_registry(spark, str(tmp_path / "part-100001.json")).collect()
 
 
+def test_legacy_arrays_grow_in_number_not_size(spark, tmp_path, monkeypatch):
+    n = 6000
+    rows = [(i * 7919 % n, t, r, f"{i}-{t}") for i in range(n) for t, r in enumerate(("user", "assistant"))]
+    rows.append((None, 0, "user", "no id"))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    paths, read = [], R.read_conversations_array
+    monkeypatch.setattr(R, "read_conversations_array", lambda s, path: paths.append(path) or read(s, path))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        back = catalog.ingest_conversations_array(spark, str(tmp_path))
+        got = sorted((r.conv_id, r.turn, r.text) for r in back.collect())
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert got == sorted((0 if i is None else i + 1, t, text) for i, t, _, text in rows)   # null comes first
+    files = spark.read.text(paths[0], wholetext=True).selectExpr(
+        "regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS task", "json_array_length(value) AS size").collect()
+    sizes = [f["size"] for f in files if f["size"] is not None]
+    assert sum(sizes) == n + 1 and max(sizes) <= 1000
+    assert len({f.task for f in files}) > 1
+
+
 def test_json_lines_follow_part_numbers(spark, tmp_path):
     for n, t in ((100000, "late"), (99999, "early")):
         (tmp_path / f"part-{n}.json").write_text(json.dumps({"conversations": [{"from": "human", "value": t}]}) + "\n")
