@@ -125,6 +125,71 @@ FROM t GROUP BY conv_id
 """
 
 
+#: Unsigned crc32 of a column's decimal text (ASCII), bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split({0}::VARCHAR, '')],
+      lambda crc, c: list_reduce([xor(crc, c)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11 = rf"""
+WITH
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w, {_CRC32.format('doc_id')} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a,
+      CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM a),
+t AS (SELECT doc_id, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS x FROM (
+      SELECT *, unnest(range(n)) AS i FROM p)),
+grams AS (SELECT doc_id, i, md5(string_agg(x, ' ') OVER six) AS s, count(*) OVER six AS c FROM t
+          WINDOW six AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+again AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+          ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i AND x.c = 6 AND y.c = 6),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM again),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM (
+           SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 + q AS length FROM islands GROUP BY doc_id, q, k)
+         WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s,
+         first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS best FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+       (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(told.s, '')) AS runs_sha256,
+       sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP12 = """
+WITH RECURSIVE
+v AS (SELECT row_number() OVER () AS r, vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+g AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM v
+      WHERE len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_max([abs(x) FOR x IN v]) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.v) = len(b.v)
+      WHERE list_sum([x[1] * x[2] FOR x IN list_zip(a.v, b.v)]) >= 0.95 * a.n * b.n),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY 1),
+l AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN l USING (vec_id)
+"""
+
+OP13 = f"""
+WITH
+t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY i) AS x, {_CRC32.format('conv_id')} % 6 AS h FROM t GROUP BY 1),
+b AS (SELECT o.conv_id, coalesce(f.x[1:o.h], []) || o.x[o.h + 1:] AS x FROM o LEFT JOIN o f ON f.conv_id = o.conv_id - o.conv_id % 100),
+s AS (SELECT conv_id, x[1:d] AS x, d, d = len(x) AS ends FROM (SELECT *, unnest(range(len(x) + 1)) AS d FROM b)),
+n AS (SELECT x, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM s GROUP BY x, d),
+k AS (SELECT p.x, p.d, count(*) AS n FROM n p JOIN n c ON c.d = p.d + 1 AND c.x[1:p.d] = p.x GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.x[n.d].text) END AS saved
+      FROM n LEFT JOIN k ON k.x = n.x AND k.d = n.d),
+u AS (SELECT x[1:e] AS x, e AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS e FROM m) GROUP BY 1, 2)
+SELECT m.conv_id, m.d::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN u ON u.x = m.x AND u.d = m.d LEFT JOIN n p ON p.d = m.d - 1 AND p.x = m.x[1:m.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_minhash": OP1, "op2_decontaminate": OP2, "op3_mixing": OP3, "op4_lines": _op4(), "op5_debruijn": OP5,
-            "op6_topk": OP6, "op7_chat": OP7}
+            "op6_topk": OP6, "op7_chat": OP7, "op11_runs": OP11, "op12_epsjoin": OP12, "op13_trie": OP13}

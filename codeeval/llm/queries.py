@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, decontaminate, lines, minhash, mixing, pii, quality, sharding, topk
+from . import (chat, debruijn, decontaminate, epsjoin, lines, minhash, mixing, pii, quality, runs, sharding, topk,
+               trie)
 from .tables import table
 
 
@@ -70,6 +71,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, every tenth with planted ones (operator 11)."""
+    return runs.digests(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_epsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings (operator 12)."""
+    return epsjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt to share prefixes (operator 13)."""
+    return trie.prefix_trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def all_queries() -> dict:
     return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_mixing, op4_lines, op5_debruijn, op6_topk,
-                                      op7_chat, op8_pii, op9_quality, op10_sharding)}
+                                      op7_chat, op8_pii, op9_quality, op10_sharding, op11_runs, op12_epsjoin, op13_trie)}

@@ -48,3 +48,14 @@ def same(a: str, b: str, col: str = "doc_id") -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique by ``keys``) where one key may
+    hold a third of all rows.  Rows are dealt on by ``by``; each of a key's deals
+    gets the table's row first, so a key brings at most as many rows to one task
+    as there are deals, and each deal only its own rows.  ``rows`` is read twice:
+    give a written table."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(n_partitions(rows.sparkSession))).cast("int"))
+    deals = dealt.select(*keys, "_deal").distinct().join(table, keys)
+    return dealt.join(deals, [*keys, "_deal"], "left").drop("_deal")
