@@ -45,9 +45,49 @@ ASSISTANT = "assistant"
 ROLE_ALIASES = {"user": "human", "gpt": "assistant", "human": "human",
                 "assistant": "assistant", "system": "system"}
 
-# --- fixed values: word tokenizer for BLEU (letters/digits/underscore runs,
-# or any other single non-space character) ------------------------------------
-WORD_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# --- fixed values: word tokenizer for BLEU -------------------------------------
+# The public Treebank-style word rules: (pattern, replacement), applied in this
+# order, each to the whole text; then the text is cut at white space.  Patterns are
+# Java's; a word character is a letter, a number or an underscore.
+_W = r"[\p{L}\p{N}_]"
+_S = f"[{PY_WHITESPACE}]"
+#: Quotes that open, punctuation, brackets, dashes.
+WORD_RULES = [
+    (r"([«“‘„]|`+)", " $1 "),
+    (r'\A"', "``"),
+    (r"(``)", " $1 "),
+    (r"""([ (\[{<])("|'{2})""", "$1 `` "),
+    (rf"'(?![mtsdnMTSDN\u017f])({_W})(?!{_W})", "' $1"),
+    (rf"""([^.])(\.)([\])}}>"'»”’ ]*+){_S}*+\z""", "$1 $2 $3 "),
+    (r"([:,])([^\p{Nd}])", " $1 $2"),
+    (r"([:,])\z", " $1 "),
+    (r"\.{2,}", " $0 "),
+    (r"[;@#$%&]", " $0 "),
+    (rf"""([^.])(\.)([\])}}>"']*+){_S}*+\z""", "$1 $2$3 "),
+    (r"[?!]", " $0 "),
+    (r"([^'])' ", "$1 ' "),
+    (r"[*]", " $0 "),
+    (r"[\]\[(){}<>]", " $0 "),
+    (r"--", " -- "),
+]
+#: Quotes that close and endings, on the text with a space before and after it.
+WORD_END_RULES = [
+    (r"([»”’])", " $1 "),
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (rf"(?iu)(?<!{_W})(can)(not)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(d)('ye)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(gim)(me)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(gon)(na)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(got)(ta)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(lem)(me)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(more)('n)(?!{_W})", " $1 $2 "),
+    (rf"(?iu)(?<!{_W})(wan)(na)(?={_S})", " $1 $2 "),
+    (rf"(?iu) ('t)(is)(?!{_W})", " $1 $2 "),
+    (rf"(?iu) ('t)(was)(?!{_W})", " $1 $2 "),
+]
 
 # --- fixed values: scoring constants -------------------------------------------
 BLEU_MAX_ORDER = 4

@@ -162,3 +162,21 @@ def format_fixed(c: ColumnLike, digits: int) -> Column:
         return F.format_string("%d", k)
     return F.format_string(f"%d.%0{digits}d", F.floor(k / F.lit(10 ** digits)).cast("long"),
                            (k % F.lit(10 ** digits)).cast("long"))
+
+
+def word_tokens(c: ColumnLike) -> Column:
+    """Word tokens of a text: the ordered rules of the Treebank-style tokenizer
+    (quotes, punctuation, the final period, brackets, dashes, endings and
+    contractions), then a cut at white space.  Null has none.
+
+    ``a.b`` stays one token; only a period at the end of the text is split off.
+    No sentence model is applied: the text counts as one sentence.  Every pattern
+    is linear in the text's length.
+    """
+    t = F.coalesce(_c(c), F.lit(""))
+    for pattern, replacement in fixed.WORD_RULES:
+        t = F.regexp_replace(t, pattern, replacement)
+    t = F.concat(F.lit(" "), t, F.lit(" "))
+    for pattern, replacement in fixed.WORD_END_RULES:
+        t = F.regexp_replace(t, pattern, replacement)
+    return F.regexp_extract_all(t, F.lit(f"[^{fixed.PY_WHITESPACE}]+"), 0)

@@ -3,7 +3,7 @@
 Plan shape (both metrics)
 -------------------------
 1. Each pair gives two rows, its reference's and its hypothesis's units (word
-   tokens or characters); each row expands into its n-grams with two
+   tokens by ``text.word_tokens``, or characters); each row expands into its n-grams with two
    ``explode`` generators (positions, then orders), streamed in codegen.
 2. One aggregate counts each n-gram of a pair on both sides at once, keyed by
    (pair id, order, n-gram).  It is partial before the exchange, and since the
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as T
 
 #: Up to so many units that both sides share are looked up to skip n-grams.
 COMMON_UNITS = 256
@@ -94,12 +95,6 @@ def _char_gram(u: Column, i: Column, n: Column) -> list[Column]:
     return [pack(0), pack(3)]
 
 
-def tokens(col: str) -> Column:
-    """Word tokens of a text column (letter/digit/underscore runs or single
-    other non-space characters)."""
-    return F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(fixed.WORD_TOKEN_PATTERN), 0)
-
-
 def no_space(col: str) -> Column:
     """Text with every (Python) whitespace character removed."""
     return F.translate(F.coalesce(F.col(col), F.lit("")), fixed.PY_WHITESPACE, "")
@@ -156,7 +151,7 @@ def bleu_pairs(pairs: DataFrame, ids: list[str], reference: str, candidate: str,
                out: str = "bleu") -> DataFrame:
     """M1: per-pair sentence BLEU of ``candidate`` against ``reference``."""
     n = fixed.BLEU_MAX_ORDER
-    st = _ngram_stats(pairs, ids, tokens(reference), tokens(candidate), n, _token_gram, skip=True)
+    st = _ngram_stats(pairs, ids, T.word_tokens(reference), T.word_tokens(candidate), n, _token_gram, skip=True)
     return st.select(*ids, bleu_formula(F.col("hyp_len"), F.col("ref_len"),
                                         [F.col(f"m{k}") for k in range(1, n + 1)]).alias(out))
 

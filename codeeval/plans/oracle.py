@@ -155,7 +155,50 @@ def transcripts(src: str, name: str) -> str:
   FROM {src})"""
 
 
-TOKEN_PAT = fixed.WORD_TOKEN_PATTERN
+# Word rules of BLEU for RE2, which has no look-around: what a rule must not consume
+# is matched and put back, and such rules run twice, for matches that touch.
+_WORD, _OTHER, _SPACES = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]", r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+_SPLIT = [(a, b) for a, b in (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"),
+                              ("more", "'n"))]
+TOKEN_STEPS = [
+    (r"([«“‘„]|`+)", r" \1 "),
+    (r'\A"', "``"),
+    (r"(``)", r" \1 "),
+    (r"""([ (\[{<])("|'{2})""", r"\1 `` "),
+    # a quote before a single letter, but not before these
+    (r"'([mtsdnMTSDN\x{17F}])", "\x01\\1"),
+    *[(rf"'({_WORD})({_OTHER}|\z)", r"' \1\2")] * 2,
+    ("\x01", "'"),
+    (rf"""([^.])(\.)([\])}}>"'»”’ ]*){_SPACES}*\z""", r"\1 \2 \3 "),
+    (r"([:,])(\P{Nd})", r" \1 \2"),
+    (r"([:,])\z", r" \1 "),
+    (r"(\.{2,})", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    (rf"""([^.])(\.)([\])}}>"']*){_SPACES}*\z""", r"\1 \2\3 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"(\*)", r" \1 "),
+    (r"([\]\[(){}<>])", r" \1 "),
+    (r"--", " -- "),
+    (r"\A", " "), (r"\z", " "),
+    (r"([»”’])", r" \1 "),
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    *[x for a, b in _SPLIT for x in [(rf"(?i)(\A|{_OTHER})({a})({b})({_OTHER}|\z)", r"\1 \2 \3 \4")] * 2],
+    *[(rf"(?i)(\A|{_OTHER})(wan)(na)({_SPACES})", r"\1 \2 \3 \4")] * 2,
+    *[(rf"(?i) ('t)(is)({_OTHER}|\z)", r" \1 \2 \3")] * 2,
+    *[(rf"(?i) ('t)(was)({_OTHER}|\z)", r" \1 \2 \3")] * 2,
+]
+
+
+def word_tokens(x: str) -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    x = f"coalesce({x}, '')"
+    for pattern, replacement in TOKEN_STEPS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+    return f"regexp_extract_all({x}, '[^\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\p{{Z}}]+')"
 
 
 def gram_expr(k: int) -> str:
@@ -180,8 +223,7 @@ def bleu_ctes(src: str, ids: list[str], ref: str, hyp: str, name: str) -> str:
         ps.append(f"{p} AS p{k}")
         terms.append(f"(CASE WHEN p{k} > 0 THEN {1.0 / n} * ln(p{k}) ELSE 0.0 END)")
     return f"""{name}_t AS (
-  SELECT {idl}, regexp_extract_all(coalesce({ref}, ''), '{TOKEN_PAT}') AS rt,
-         regexp_extract_all(coalesce({hyp}, ''), '{TOKEN_PAT}') AS ht FROM {src}),
+  SELECT {idl}, {word_tokens(ref)} AS rt, {word_tokens(hyp)} AS ht FROM {src}),
 {name}_tok AS (
   SELECT {idl}, 1 AS h, unnest(ht) AS w, generate_subscripts(ht, 1) AS i FROM {name}_t
   UNION ALL

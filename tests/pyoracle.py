@@ -4,13 +4,47 @@ package).  Same public formulas, written the obvious way with Counters."""
 import math
 from collections import Counter
 
-import regex
+import re
 
-TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")
+# The public Treebank-style word rules, in Python's own pattern language.
+BEFORE = [(re.compile(p), r) for p, r in (
+    ("([«“‘„]|[`]+)", r" \1 "),
+    ("^\"", "``"),
+    ("(``)", r" \1 "),
+    (r"([ \(\[{<])(\"|\'{2})", r"\1 `` "),
+    (r"(?i)(\')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"\1 \2"),
+    (r"([^\.])(\.)([\]\)}>\"\'»”’ ]*)\s*$", r"\1 \2 \3 "),
+    (r"([:,])([^\d])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"\.{2,}", r" \g<0> "),
+    (r"[;@#$%&]", r" \g<0> "),
+    (r"([^\.])(\.)([\]\)}>\"\']*)\s*$", r"\1 \2\3 "),
+    (r"[?!]", r" \g<0> "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"[*]", r" \g<0> "),
+    (r"[\]\[\(\)\{\}\<\>]", r" \g<0> "),
+    (r"--", r" -- "),
+)]
+AFTER = [(re.compile(p), r) for p, r in (
+    ("([»”’])", r" \1 "),
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    *((p, r" \1 \2 ") for p in (
+        r"(?i)\b(can)(not)\b", r"(?i)\b(d)('ye)\b", r"(?i)\b(gim)(me)\b", r"(?i)\b(gon)(na)\b", r"(?i)\b(got)(ta)\b",
+        r"(?i)\b(lem)(me)\b", r"(?i)\b(more)('n)\b", r"(?i)\b(wan)(na)(?=\s)", r"(?i) ('t)(is)\b", r"(?i) ('t)(was)\b")),
+)]
 
 
 def tokens(s):
-    return TOKEN.findall(s or "")
+    s = s or ""
+    for p, r in BEFORE:
+        s = p.sub(r, s)
+    s = f" {s} "
+    for p, r in AFTER:
+        s = p.sub(r, s)
+    return s.split()
 
 
 def ngrams(seq, n):

@@ -1,8 +1,14 @@
 """M1-M4: sentence BLEU and chrF against an independent Python oracle."""
 
+import random
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from codeeval.functions import text as T
 from codeeval.operators import metrics as M
+from codeeval.plans import oracle
 from tests import pyoracle as O
 
 PAIRS = [
@@ -22,6 +28,51 @@ PAIRS = [
 ]
 
 
+#: What the word rules look at, and some that they must leave alone.
+PIECES = list("abstmdnreX0é_²'\"`.,:;@#$%&?!*()[]{}<>-«“‘„»”’ \t\n\xa0\x1c") + [
+    "''", "``", "--", "...", "'s", "'LL", "n't", "cannot", "d'ye", "gimme", "Gonna", "gotta", "lemme", "more'n", "wanna",
+    " 'tis", " 'twas", "a.b", "x.", "\r\n", "   "]
+
+
+def token_lists(spark, texts):
+    """Tokens by the column expression and by the SQL."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(4)
+    got = {r.id: r.w for r in df.select("id", T.word_tokens("t").alias("w")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, t VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    return got, dict(con.execute(f"SELECT id, {oracle.word_tokens('t')} FROM t").fetchall())
+
+
+def test_word_tokens_by_hand(spark):
+    texts = ["val a.b = f(x).c.", "He said \"it's 3,5\" -- no. And: (don't!)", "I cannot; 'tis wanna be", None, " \n",
+             "items.map(_.price).sum", "1:2 a:b a: e.g. end.)  "]
+    got, sql = token_lists(spark, texts)
+    assert got[0] == ["val", "a.b", "=", "f", "(", "x", ")", ".c", "."]
+    assert got[1] == ["He", "said", "``", "it", "'s", "3,5", "''", "--", "no.", "And", ":", "(", "do", "n't", "!", ")"]
+    assert got[2] == ["I", "can", "not", ";", "'t", "is", "wan", "na", "be"]
+    assert got[3] == got[4] == []
+    assert got[5] == ["items.map", "(", "_.price", ")", ".sum"]
+    assert got[6] == ["1:2", "a", ":", "b", "a", ":", "e.g.", "end", ".", ")"]
+    assert sql == got == {i: O.tokens(t) for i, t in enumerate(texts)}
+
+
+def test_word_tokens_on_random_strings(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    got, sql = token_lists(spark, texts)
+    want = {i: O.tokens(t) for i, t in enumerate(texts)}
+    assert [(texts[i], got[i], w) for i, w in want.items() if got[i] != w][:5] == []
+    assert [(texts[i], sql[i], w) for i, w in want.items() if sql[i] != w][:5] == []
+
+
+def test_word_tokens_are_linear(spark):
+    """Long runs after a period, and of quotes and brackets, are not scanned again and again."""
+    text = ". ".join("x" * 3 for _ in range(2000)) + "." + " " * 200_000 + "y" + ".)" * 100_000 + "'" * 100_000
+    got, sql = token_lists(spark, [text])       # the SQL's patterns run in linear time
+    assert got == sql and len(got[0]) > 200_000
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     df = spark.createDataFrame([(i, r, c) for i, (r, c) in enumerate(PAIRS)], "id long, ref string, cand string")
