@@ -199,7 +199,7 @@ def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
     boxes = [F.col(f"{s}")[k].alias(f"{s}{k}") for s in ("lo", "hi") for k in range(LEADING)]
     most = blocks.agg(F.max("place"), F.max("part")).first()
     if most[0] is None:
-        return blocks.sparkSession.createDataFrame([], "a long, b long, dim int")
+        return blocks.sparkSession.createDataFrame([], "dim int, a long, b long, bits int")
     bits = -(-int(most[0]).bit_length() // FAN_OUT) * FAN_OUT      # a partition's sequences fill whole intervals
     node = saved(blocks.select("dim", _sequence(bits).alias("s"), *boxes), "boxes")
     top = -(-((int(most[1]) << bits) + int(most[0])).bit_length() // FAN_OUT)
