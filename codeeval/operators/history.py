@@ -55,12 +55,12 @@ def loss_smoothing(history: DataFrame, run_col: str = "run_id", width: int = fix
 
 def run_comparison(history: DataFrame, run_col: str = "run_id", value: str = "loss") -> DataFrame:
     """Runs aligned by step.  Per step: how many runs reached it, the
-    min / mean / max loss and the run with the lowest loss (ties: lowest run
+    min / mean / max of ``value`` and the run with the lowest (ties: lowest run
     id).  Runs without history simply contribute no rows."""
     return (history.filter(F.col(value).isNotNull())
                    .groupBy("step")
                    .agg(F.count(F.lit(1)).alias("n_runs"),
-                        F.round(F.min(value), 6).alias("min_loss"),
-                        F.round(F.avg(value), 6).alias("avg_loss"),
-                        F.round(F.max(value), 6).alias("max_loss"),
+                        F.round(F.min(value), 6).alias(f"min_{value}"),
+                        F.round(F.avg(value), 6).alias(f"avg_{value}"),
+                        F.round(F.max(value), 6).alias(f"max_{value}"),
                         F.min(F.struct(F.col(value), F.col(run_col)))[run_col].alias("best_run")))

@@ -24,6 +24,7 @@ from ..operators import prompts as PR
 from ..operators import registry as G
 from ..operators import verdicts as V
 from ..session import scratch_path
+from ..sources import named_files as N
 from ..sources import readers as R
 from ..sources import writers as W
 from . import fixtures as X
@@ -199,6 +200,17 @@ def pair_folder_join(spark, sf):
     return R.read_pairs_long(spark, path)
 
 
+@query
+def pair_folder_files(spark, sf):
+    """I4/S2 in the original form: ``prompt_<n>.txt`` and ``code_<n>.txt`` written and read back."""
+    from ..operators.ordinals import global_ordinal
+    pr = _role_pairs(spark, sf)
+    ords = global_ordinal(pr, ["conv_id", "k"], out="_o")
+    path = scratch_path(spark, "pair-files")
+    N.write_pair_files(pr.join(ords, ["conv_id", "k"]).withColumn("idx", F.col("_o") + 1), path)
+    return N.read_pair_files(spark, path)
+
+
 @query
 def registry_scan(spark, sf):
     """Registry rows written as JSON Lines (S7) and read back."""
@@ -380,13 +392,26 @@ def dedup_ledger(spark, sf):
     return D.dedup_ledger(pairs, X.ledger(pairs)).select("conv_id", "k", "snippet_hash")
 
 
+def _stream_runs(spark, sf):
+    """Two runs of the streaming J1, seeded with the ledger of an earlier one: the
+    even conversations, then all."""
+    from ..streaming.dedup import run_dedup_stream
+    pairs = D.with_snippet_hash(X.text_pairs(spark, sf))
+    return run_dedup_stream(spark, [pairs.filter(F.col("conv_id") % 2 == 0), pairs], X.ledger(pairs))
+
+
 @query
 def dedup_stream(spark, sf):
-    """J1, streaming: new snippets arrive as files; ``dropDuplicates`` on the
-    hash with a checkpointed state store emits each hash once (which of equal
-    ones is not defined; ``ledger_runs`` keeps the first)."""
-    from ..streaming.dedup import run_dedup_stream
-    return run_dedup_stream(spark, D.with_snippet_hash(X.text_pairs(spark, sf))).select("snippet_hash")
+    """J1, streaming: each hash that the seed lacks once, by its first pair of the
+    first run that has it."""
+    return _stream_runs(spark, sf)[0].select("conv_id", "k", "snippet_hash")
+
+
+@query
+def ledger_from_state(spark, sf):
+    """The ledger read back from the stream's state: the seed and all hashes seen."""
+    from ..streaming.dedup import ledger_from_state
+    return ledger_from_state(spark, _stream_runs(spark, sf)[1])
 
 
 @query
@@ -585,3 +610,25 @@ def run_series(spark, sf):
 @query
 def run_comparison(spark, sf):
     return H.run_comparison(_history(spark, sf))
+
+
+def _read_histories(spark, sf):
+    """Every run's ``training_metrics.json`` (I6) written and read back, long form."""
+    path = scratch_path(spark, "metric-history")
+    N.write_metric_history(X.run_histories(spark, sf), path)
+    return H.history_from_arrays(R.read_metric_history(spark, f"{path}/*/training_metrics.json"))
+
+
+@query
+def metric_history(spark, sf):
+    """Both series of every run, as the metric files hold them."""
+    return _read_histories(spark, sf).select(F.col("run_id").cast("long").alias("run_id"), "step",
+                                             F.round("loss", 6).alias("loss"), F.round("learning_rate", 6).alias("learning_rate"))
+
+
+@query
+def learning_rate_comparison(spark, sf):
+    """The runs' learning rates, aligned by step."""
+    c = H.run_comparison(_read_histories(spark, sf), value="learning_rate")
+    return c.select("step", "n_runs", F.col("min_learning_rate"), "avg_learning_rate", "max_learning_rate",
+                    F.col("best_run").cast("long").alias("best_run"))

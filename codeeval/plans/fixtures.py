@@ -162,3 +162,17 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
 def test_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_index"),
                                                      F.col("text").alias("prompt"))
+
+
+def run_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """D10 as a run's trainer leaves it: one row a run, its logged losses and
+    learning rates in order (the rate is logged at two of three events)."""
+    rate = F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") / 1000, 6))
+    logged = read_table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", rate.alias("rate")))).alias("e"))
+
+    def series(c: str) -> Column:
+        return F.filter(F.transform("e", lambda x: x[c]), lambda v: v.isNotNull())
+
+    return logged.select(F.col("run_id").cast("string").alias("run_id"), F.lit(60.0).alias("training_time_seconds"),
+                         F.struct(series("value").alias("loss"), series("rate").alias("learning_rate")).alias("metrics_history"))

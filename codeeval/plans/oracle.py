@@ -384,6 +384,10 @@ UNION ALL SELECT idx, 'code' AS kind, code AS content FROM numbered"""
     q["pair_folder_join"] = f"""WITH {ROLE_PAIRS}, {numbered}
 SELECT idx, coalesce(prompt, '') AS prompt, coalesce(code, '') AS code FROM numbered
 WHERE coalesce(prompt, '') <> '' OR coalesce(code, '') <> ''"""
+    as_read = lambda c: strip(f"replace(replace(coalesce({c}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))")
+    q["pair_folder_files"] = f"""WITH {ROLE_PAIRS}, {numbered}
+SELECT idx, {as_read('prompt')} AS prompt, {as_read('code')} AS code FROM numbered
+WHERE {as_read('prompt')} <> '' OR {as_read('code')} <> ''"""
     q["registry_scan"] = f"""WITH {REGISTRY}
 SELECT model_hash, seq, model_type, train_dataset_size, round(avg_bleu, 6) AS avg_bleu, successful_runs, total_snippets
 FROM reg"""
@@ -486,7 +490,11 @@ hp AS (SELECT conv_id, k, snippet_hash FROM text_pairs),
 ledger AS (SELECT snippet_hash FROM hp WHERE k = 0),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snippet_hash ORDER BY conv_id, k) AS rn FROM hp) WHERE rn = 1)
 SELECT conv_id, k, snippet_hash FROM firsts WHERE snippet_hash NOT IN (SELECT snippet_hash FROM ledger)"""
-    q["dedup_stream"] = f"WITH {TEXT_PAIRS}\nSELECT DISTINCT snippet_hash FROM text_pairs"
+    q["dedup_stream"] = f"""WITH {TEXT_PAIRS}
+SELECT conv_id, k, snippet_hash FROM (SELECT *, row_number() OVER (PARTITION BY snippet_hash ORDER BY conv_id % 2, conv_id, k) AS rn
+                                      FROM text_pairs) WHERE rn = 1
+AND snippet_hash NOT IN (SELECT snippet_hash FROM text_pairs WHERE k = 0)"""
+    q["ledger_from_state"] = f"WITH {TEXT_PAIRS}\nSELECT DISTINCT snippet_hash FROM text_pairs"
     q["dedup_against_main"] = f"WITH {MAIN_NEW}, {nondup('new_pairs', 'nd')}\nSELECT conv_id, k, prompt, code FROM nd"
     q["append_working"] = f"""WITH {VERDICTS}, {MAIN_NEW},
 {apply_verdicts('new_pairs', 'nv')},
@@ -616,4 +624,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY loss, run_id)
 SELECT step, count(*) AS n_runs, round(min(loss), 6) AS min_loss, round(avg(loss), 6) AS avg_loss,
        round(max(loss), 6) AS max_loss, min(CASE WHEN rn = 1 THEN run_id END) AS best_run
 FROM ranked GROUP BY step"""
+    series = """l AS (SELECT user_id AS run_id, row_number() OVER w AS step, value AS loss FROM events WHERE value IS NOT NULL
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id AS run_id, row_number() OVER w AS step, round(value / 1000, 6) AS learning_rate FROM events
+      WHERE value IS NOT NULL AND event_id % 3 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+    q["metric_history"] = f"""WITH {series}
+SELECT run_id, step, round(loss, 6) AS loss, learning_rate FROM l FULL JOIN r USING (run_id, step)"""
+    q["learning_rate_comparison"] = f"""WITH {series}
+SELECT step, count(*) AS n_runs, min(learning_rate) AS min_learning_rate, round(avg(learning_rate), 6) AS avg_learning_rate,
+       max(learning_rate) AS max_learning_rate, arg_min(run_id::VARCHAR, (learning_rate, run_id::VARCHAR))::BIGINT AS best_run
+FROM r GROUP BY step"""
     return q

@@ -150,6 +150,18 @@ def test_dedup_stream_second_run_emits_nothing_new(spark):
     assert spark.read.schema(SNIPPET_DDL).parquet(sink).count() == total.count()
 
 
+def test_dedup_stream_takes_the_first_in_order_and_knows_the_seed(spark):
+    from codeeval.streaming.dedup import ledger_from_state, run_dedup_stream
+    ddl = "snippet_hash string, conv_id long, k long"
+    one = spark.createDataFrame([("a", 5, 1), ("a", 5, 0), ("b", 9, 0), ("s", 1, 0), (None, 3, 0)], ddl)
+    two = spark.createDataFrame([("a", 1, 0), ("c", 8, 2), ("c", 7, 3), ("c", 7, 4), ("t", 2, 0)], ddl)
+    seed = spark.createDataFrame([("s",), ("t",), ("u",), ("s",), (None,)], "snippet_hash string")
+    out, checkpoint = run_dedup_stream(spark, [one, two, two], seed)
+    # an earlier run's first pair stays, whatever its order; the seed is never emitted
+    assert sorted(map(tuple, out.collect())) == [("a", 5, 0), ("b", 9, 0), ("c", 7, 3)]
+    assert sorted(r[0] for r in ledger_from_state(spark, checkpoint).collect()) == ["a", "b", "c", "s", "t", "u"]
+
+
 def test_dedup_stream_to_ledger(spark):
     from codeeval.sources.readers import read_ledger
     from codeeval.streaming.dedup import dedup_stream_to_ledger
