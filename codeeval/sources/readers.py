@@ -1,9 +1,8 @@
 """Readers: conversation datasets, evaluation documents, generation logs,
 prompt/code pair folders, the run registry, ledgers and metric history.
 
-Schemas are always explicit (never inferred).  JSON Lines is the scalable
-form (splittable); a legacy single JSON array is one file and therefore one
-task -- it is read with ``wholetext`` and exploded, which keeps file order.
+Schemas are always explicit (never inferred).  JSON Lines and single JSON arrays
+are both split over tasks (the latter by ``sources.json_arrays``) and keep file order.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 from ..operators.registry import REGISTRY_DDL
+from .json_arrays import array_records
 
 MESSAGE_DDL = "array<struct<`from`:string,value:string>>"
 CONVERSATION_DDL = f"conversations {MESSAGE_DDL}"
@@ -63,23 +63,6 @@ def _with_file_order(df: DataFrame, out: str = "conv_id") -> DataFrame:
              .drop("_file", "_start", "_mid", "_m0", "_off"))
 
 
-def _array_records(spark: SparkSession, path: str, parse, out: str) -> DataFrame:
-    """Records of single-array files: ``(out, r, _value)``, numbered over all
-    files in order.  A file that does not parse gives one row with a null
-    ``r`` and its text in ``_value``."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-    files = raw.select("_file", "value", parse(F.col("value")).alias("_records"))
-    files = files.withColumn("_n", F.coalesce(F.size("_records"), F.lit(1)))
-    before = Window.orderBy(*_file_rank()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("_file", "_n").select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rows = files.join(starts, "_file")
-    bad = rows.filter(F.col("_records").isNull()).select(
-        F.col("_off").cast("long").alias(out), F.lit(None).alias("r"), F.col("value").alias("_value"))
-    good = rows.filter(F.col("_records").isNotNull()).select(F.posexplode("_records").alias("_p", "r"), "_off").select(
-        (F.col("_off") + F.col("_p")).cast("long").alias(out), "r", F.lit(None).cast("string").alias("_value"))
-    return good.unionByName(bad.withColumn("r", F.col("r").cast(good.schema["r"].dataType)))
-
-
 def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """I1 (JSON Lines): records ``{"conversations": [...]}``; ``conv_id`` is the
     record's position.  Corrupt lines are kept in ``_corrupt_record``."""
@@ -89,21 +72,17 @@ def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conversations_array(spark: SparkSession, path: str) -> DataFrame:
-    """I1 (legacy): one JSON array per file.  If the top level is an evaluation
+    """I1 (legacy): one JSON array per file, of any size: a large file is read by many
+    tasks (``sources.json_arrays``).  If the top level is an evaluation
     document, each detailed result becomes a one-message assistant
     conversation (I2's loader branch).  Returns ``(conv_id, conversations,
-    _corrupt_record)``: positions run on over the files, and a file that does
-    not parse is one conversation without messages and its text in
-    ``_corrupt_record``."""
-    def parse(value: Column) -> Column:
-        as_doc = F.transform(F.from_json(value, EVAL_DOC_DDL)["detailed_results"],
-                             lambda r: F.struct(F.array(F.struct(F.lit("assistant").alias("from"),
-                                                                 r["generated"].alias("value"))).alias("conversations")))
-        return F.when(F.ltrim(value).startswith("{"), as_doc).otherwise(
-            F.from_json(value, f"array<struct<{CONVERSATION_DDL}>>"))
-
-    d = _array_records(spark, path, parse, "conv_id")
-    return d.select("conv_id", F.coalesce(F.col("r.conversations"), F.array().cast(MESSAGE_DDL)).alias("conversations"),
+    _corrupt_record)``: positions run on over the files.  A record that does not
+    parse, or what a broken file has after its last record, is one conversation
+    without messages and its text in ``_corrupt_record``."""
+    d = array_records(spark, path, f"{CONVERSATION_DDL}, generated string", _file_rank(), "conv_id")
+    result = F.when(F.col("r.generated").isNotNull() & F.col("r.conversations").isNull(),
+                    F.array(F.struct(F.lit("assistant").alias("from"), F.col("r.generated").alias("value"))))
+    return d.select("conv_id", F.coalesce(F.col("r.conversations"), result, F.array().cast(MESSAGE_DDL)).alias("conversations"),
                     F.col("_value").alias("_corrupt_record"))
 
 
@@ -176,7 +155,7 @@ def read_registry(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     ``append_registry``, whose rows carry their own ``seq``.
     """
     if multiline:
-        d = _array_records(spark, path, lambda v: F.from_json(v, f"array<struct<{REGISTRY_DDL}>>"), "seq")
+        d = array_records(spark, path, REGISTRY_DDL, _file_rank(), "seq")
         bad = F.raise_error(F.concat(F.lit("not a registry: "), F.substring("_value", 1, 200)))
         return d.withColumn("seq", F.when(F.col("r").isNull(), bad.cast("long")).otherwise(F.col("seq"))) \
                 .select("r.*", "seq")
