@@ -199,3 +199,6 @@ REPORT_TOTAL = "Total running code snippets: "
 REPORT_VARIATIONS = "## Results by Variation Type"
 REPORT_BLEU = "- Average BLEU Score: "
 REPORT_RATE = "- Success Rate: "
+
+# --- fixed values: short escapes in JSON strings, the backslash first -----------
+JSON_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]

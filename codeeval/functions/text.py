@@ -180,3 +180,25 @@ def word_tokens(c: ColumnLike) -> Column:
     for pattern, replacement in fixed.WORD_END_RULES:
         t = F.regexp_replace(t, pattern, replacement)
     return F.regexp_extract_all(t, F.lit(f"[^{fixed.PY_WHITESPACE}]+"), 0)
+
+
+def json_string(c: ColumnLike, ascii_only: bool = True) -> Column:
+    """A text as a JSON string with its quotes, as Python's ``json`` writes it: short
+    escapes, ``\\uXXXX`` for other control characters and, with ``ascii_only``, for all
+    beyond ``~`` (two of them, a surrogate pair, beyond U+FFFF).  Null is ``null``."""
+    t = _c(c)
+    for plain, escaped in fixed.JSON_ESCAPES:
+        t = F.replace(t, F.lit(plain), F.lit(escaped))
+
+    def unit(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def char(x: Column) -> Column:
+        n = F.ascii(x)
+        pair = F.concat(unit(F.shiftright(n - 0x10000, 10) + 0xD800), unit(n.bitwiseAND(0x3FF) + 0xDC00))
+        odd = F.when(n < 0x10000, unit(n)).otherwise(pair)
+        return F.when((n < 0x20) | (n > 0x7E), odd).otherwise(x) if ascii_only else F.when(n < 0x20, odd).otherwise(x)
+
+    beyond = "[^\x20-\x7e]" if ascii_only else "[\x00-\x1f]"
+    t = F.when(t.rlike(beyond), F.array_join(F.transform(F.split(t, ""), char), "")).otherwise(t)
+    return F.coalesce(F.concat(F.lit('"'), t, F.lit('"')), F.lit("null"))

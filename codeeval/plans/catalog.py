@@ -153,6 +153,15 @@ def ingest_conversations_array(spark, sf):
     return P.flatten_messages(R.read_conversations_array(spark, path))
 
 
+@query
+def conversations_array_file(spark, sf):
+    """All conversations as the one indented, ASCII-escaped array that the original
+    tools open, written in parts by many tasks and read back."""
+    path = scratch_path(spark, "conversations-one-array")
+    W.write_conversations_array(X.raw_messages(spark, sf), path)
+    return P.flatten_messages(R.read_conversations_array(spark, path, one=True))
+
+
 @query
 def eval_document_roundtrip(spark, sf):
     """Scored transcripts written as an evaluation document and read

@@ -393,7 +393,7 @@ SELECT model_hash, seq, model_type, train_dataset_size, round(avg_bleu, 6) AS av
 FROM reg"""
     q["registry_scan_array"] = f"""WITH {REGISTRY}
 SELECT model_hash, row_number() OVER (ORDER BY seq) - 1 AS seq, model_type, train_dataset_size, round(avg_bleu, 6) AS avg_bleu FROM reg"""
-    q["ingest_conversations_array"] = q["ingest_conversations"]
+    q["ingest_conversations_array"] = q["conversations_array_file"] = q["ingest_conversations"]
     q["eval_document_roundtrip"] = f"""WITH {ROLE_PAIRS}, {transcripts('role_pairs', 'tr')},
 {bleu_ctes('tr', ['conv_id', 'k'], 'code', 'generated', 'bl')}
 SELECT 265 AS training_dataset_size, code AS reference, {transcript_prompt('generated')} AS prompt,

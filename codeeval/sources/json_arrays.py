@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 END = "}"
 #: What may stand between records, and after the last.
 BETWEEN = r"^[\s,\[]*"
+#: The same where parts meet: the brace is the one that each part's last piece is taken to have.
+BETWEEN_PARTS = r"^[\s,\[}]*"
 AFTER_ARRAY = r"^\s*\]\s*$"
 #: The form of an evaluation document up to its first result, and after the last.
 DOCUMENT_HEAD = r"(?s)^\s*\{.*?\"detailed_results\"\s*:\s*\[\s*"
@@ -50,9 +52,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", odd.alias("odd"), (_balance(parts, 0) - (1 - odd)).alias("out"), (_balance(parts, 1) - odd).alias("inside"))
 
 
-def array_records(spark: SparkSession, path: str, ddl: str, rank: list[Column], out: str) -> DataFrame:
+def array_records(spark: SparkSession, path: str, ddl: str, rank: list[Column], out: str, one: bool = False) -> DataFrame:
     """Records of single-array files: ``(out, r, _value)``, numbered over all files,
-    whose order is that of ``rank`` (columns over ``_file``).  A record that does not
+    whose order is that of ``rank`` (columns over ``_file``).  ``one``: the files are parts
+    of one array, cut at line ends, as ``writers.write_conversations_array`` leaves them.  A record that does not
     parse has a null ``r`` and its text in ``_value``; so has what is left of a file after its
     last record, if that does not close the array.  Files that begin with ``{`` are
     evaluation documents: their records are the detailed results."""
@@ -66,13 +69,17 @@ def array_records(spark: SparkSession, path: str, ddl: str, rank: list[Column],
     # One row per split: does it begin in a string, and how deep?
     splits = d.groupBy(*split).agg(F.sum("odd").alias("odd"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"),
                                    F.max("at").alias("last"), F.min_by(F.substring(F.ltrim("piece"), 1, 1), "at").alias("head"))
-    files = Window.partitionBy("file").orderBy("start")
+    splits = splits.withColumn("_file", F.col("file")).select(
+        "*", F.struct(*rank).alias("rank"), (F.lit("") if one else F.col("file")).alias("whole"))
+    files = Window.partitionBy("whole").orderBy("rank", "start")
     earlier = files.rowsBetween(before, -1)
+    # The text after a file's last brace counts as if it ended with one, too.
+    phantom = F.dense_rank().over(Window.partitionBy("whole").orderBy("rank")) - 1
     splits = splits.withColumn("s", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
     turned = F.when(F.col("s") == 0, F.col("d0")).otherwise(F.col("d1"))
     splits = splits.select(
-        *split, "s", F.coalesce(F.sum(turned).over(earlier), F.lit(0)).alias("deep"),
-        F.when(F.row_number().over(files.orderBy(F.desc("start"))) == 1, F.col("last")).alias("file_end"),
+        *split, "whole", "rank", "s", (F.coalesce(F.sum(turned).over(earlier), F.lit(0)) + phantom).alias("deep"),
+        F.when(F.lead("start").over(files).isNull(), F.col("last")).alias("file_end"),
         F.when(F.first("head").over(files) == "{", 2).otherwise(1).alias("level"))
 
     # Where records end, and how many did so far.
@@ -82,25 +89,26 @@ def array_records(spark: SparkSession, path: str, ddl: str, rank: list[Column],
     closes = ((F.col("s") + F.col("q") + F.col("odd")) % 2 == 0) & (F.col("depth") == F.col("level")) \
         & ~F.col("at").eqNullSafe(F.col("file_end"))
     d = d.withColumn("ends", closes.cast("int")).withColumn("rec", F.coalesce(F.sum("ends").over(along), F.lit(0)))
-    merged = (d.groupBy(*split, "rec", "level")
+    merged = (d.groupBy(*split, "whole", "rank", "rec", "level")
               .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"), F.max("ends").alias("ends"),
                    F.max(F.col("at").eqNullSafe(F.col("file_end"))).alias("tail"))
-              .select(*split, "rec", "level", "ends", "tail", F.array_join(F.col("p.piece"), END).alias("text")))
+              .select(*split, "whole", "rank", "rec", "level", "ends", "tail", F.array_join(F.col("p.piece"), END).alias("text")))
 
     # A split's first record goes on from the splits before it.
-    ends = d.groupBy(*split).agg(F.sum("ends").alias("n"))
+    ends = d.groupBy(*split, "whole", "rank").agg(F.sum("ends").alias("n"))
     upto = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     merged = merged.join(ends.select(*split, upto.alias("base")), split).withColumn("rec", F.col("base") + F.col("rec"))
     alone = (F.col("ends") == 1) & (F.col("rec") > F.col("base"))
-    shared = (merged.where(~alone).groupBy("file", "rec", "level")
-              .agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("p"), F.max("ends").alias("ends"), F.max("tail").alias("tail"))
-              .select("file", "rec", "level", "ends", "tail", F.array_join(F.col("p.text"), END).alias("text")))
-    return _parsed(merged.where(alone).select(*shared.columns).union(shared), ddl, rank, out)
+    shared = (merged.where(~alone).groupBy("whole", "rec", "level")
+              .agg(F.sort_array(F.collect_list(F.struct("rank", "start", "text"))).alias("p"), F.max("ends").alias("ends"), F.max("tail").alias("tail"))
+              .select("whole", "rec", "level", "ends", "tail", F.array_join(F.col("p.text"), END).alias("text")))
+    texts = merged.where(alone).select(*shared.columns).union(shared).withColumnRenamed("whole", "file")
+    return _parsed(texts, ddl, rank, out, BETWEEN_PARTS if one else BETWEEN)
 
 
-def _parsed(texts: DataFrame, ddl: str, rank: list[Column], out: str) -> DataFrame:
+def _parsed(texts: DataFrame, ddl: str, rank: list[Column], out: str, between: str) -> DataFrame:
     """Texts of records (``ends`` = 1) and of what follows the last, parsed and numbered."""
-    head = F.when((F.col("level") == 2) & (F.col("rec") == 0), DOCUMENT_HEAD).otherwise(BETWEEN)
+    head = F.when((F.col("level") == 2) & (F.col("rec") == 0), DOCUMENT_HEAD).otherwise(between)
     whole = F.regexp_replace("text", head, F.lit(""))
     after = F.when(F.col("level") == 2, F.lit(AFTER_DOCUMENT)).otherwise(F.lit(AFTER_ARRAY))
     left = F.regexp_replace("text", F.when((F.col("level") == 2) & (F.col("rec") == 0), DOCUMENT_HEAD).otherwise(r"^[\s\[]*"), F.lit(""))

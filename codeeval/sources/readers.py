@@ -71,15 +71,16 @@ def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _with_file_order(df).select("conv_id", "conversations", "_corrupt_record")
 
 
-def read_conversations_array(spark: SparkSession, path: str) -> DataFrame:
+def read_conversations_array(spark: SparkSession, path: str, one: bool = False) -> DataFrame:
     """I1 (legacy): one JSON array per file, of any size: a large file is read by many
     tasks (``sources.json_arrays``).  If the top level is an evaluation
     document, each detailed result becomes a one-message assistant
     conversation (I2's loader branch).  Returns ``(conv_id, conversations,
     _corrupt_record)``: positions run on over the files.  A record that does not
     parse, or what a broken file has after its last record, is one conversation
-    without messages and its text in ``_corrupt_record``."""
-    d = array_records(spark, path, f"{CONVERSATION_DDL}, generated string", _file_rank(), "conv_id")
+    without messages and its text in ``_corrupt_record``.  ``one``: the files are the
+    parts of one array (``writers.write_conversations_array``)."""
+    d = array_records(spark, path, f"{CONVERSATION_DDL}, generated string", _file_rank(), "conv_id", one)
     result = F.when(F.col("r.generated").isNotNull() & F.col("r.conversations").isNull(),
                     F.array(F.struct(F.lit("assistant").alias("from"), F.col("r.generated").alias("value"))))
     return d.select("conv_id", F.coalesce(F.col("r.conversations"), result, F.array().cast(MESSAGE_DDL)).alias("conversations"),

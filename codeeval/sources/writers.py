@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.formatting import rebuild_conversations
 
 
@@ -15,6 +16,27 @@ def write_conversations(messages: DataFrame, path: str, mode: str = "overwrite")
         .write.mode(mode).json(path))
 
 
+def write_conversations_array(messages: DataFrame, path: str, ascii_only: bool = True, mode: str = "overwrite") -> None:
+    """S1 in the original's own form: one JSON array, indented by two, ASCII-escaped
+    or UTF-8.  Many tasks write parts, in ``conv_id`` order (null first), and the parts'
+    concatenation in order of their names is the array."""
+    string = lambda c: T.json_string(c, ascii_only)
+    nested = rebuild_conversations(messages).select("conv_id", "conversations")
+    message = lambda m: F.concat(F.lit('      {\n        "from": '), string(m["from"]), F.lit(',\n        "value": '),
+                                 string(m["value"]), F.lit("\n      }"))
+    inner = F.when(F.size("conversations") > 0, F.concat(
+        F.lit("[\n"), F.array_join(F.transform("conversations", message), ",\n"), F.lit("\n    ]"))).otherwise(F.lit("[]"))
+    record = F.concat(F.lit('  {\n    "conversations": '), inner, F.lit("\n  }"))
+    place = F.struct(F.col("conv_id").isNotNull().alias("known"), F.col("conv_id").alias("id"))
+    ends = nested.agg(F.min(place).alias("first"), F.max(place).alias("last"))          # one row
+    lines = nested.select("conv_id", record.alias("record"), place.alias("place")).crossJoin(F.broadcast(ends)).select(
+        "conv_id", F.concat(F.when(F.col("place") == F.col("first"), "[\n").otherwise(""), F.col("record"),
+                            F.when(F.col("place") == F.col("last"), "\n]").otherwise(",")).alias("value"))
+    none = ends.where("first IS NULL").select(F.lit(None).cast("long").alias("conv_id"), F.lit("[]").alias("value"))
+    (lines.union(none).repartitionByRange("conv_id").sortWithinPartitions("conv_id").select("value")
+        .write.mode(mode).text(path))
+
+
 def write_pairs_long(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Pairs as ``(idx, kind, content)`` parquet partitioned by kind --
     instead of two files per pair.  ``idx`` numbering starts at 1."""

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from codeeval.sources import readers as R
+from codeeval.sources import writers as W
 
 PIECES = ["", "}", "{", "]", "[", '"', "\\", '\\"', "},{", "}\n]", "a", "é", "\n", "\t", " ", "😀", '{"x": [1}', ", ", "\\u007d"]
 
@@ -28,7 +29,8 @@ def wanted(records):
 
 @pytest.fixture
 def small_splits(spark):
-    keys = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "0"}
+    keys = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "0",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -76,3 +78,31 @@ def test_broken_and_odd_files(spark, tmp_path, text, good, bad):
     assert [r._corrupt_record is None for r in rows].count(True) == good
     assert [r._corrupt_record is None for r in rows].count(False) == bad
     assert sorted(r.conv_id for r in rows) == list(range(good + bad))
+
+
+def written(path):
+    return "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("part-*")))
+
+
+@pytest.mark.parametrize("ascii_only", (True, False))
+def test_one_array_in_parts(spark, tmp_path, small_splits, ascii_only):
+    """The parts' concatenation is what Python's json writes, and is read back as one array."""
+    rng = random.Random(11)
+    odd = ["\x00\x1f\x7f\x80", "\b\f\n\r\t\"\\/", "\u2028\ud7ff\ue000\uffff", "😀\U0010ffff", "", "é ü"]
+    rows = [(c, t, r, rng.choice(odd) + odd_text(rng)) for c in range(80) for t, r in enumerate(("human", "assistant"))]
+    rows += [(None, 0, "human", "no id"), (7, 5, None, None)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    W.write_conversations_array(m, str(tmp_path / "out"), ascii_only)
+    text = written(tmp_path / "out")
+    records = json.loads(text)
+    assert text.rstrip("\n") == json.dumps(records, indent=2, ensure_ascii=ascii_only) and len(records) == 81
+    assert [x["value"] for x in records[1]["conversations"]] == [t for c, _, _, t in rows if c == 0]
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    back = R.read_conversations_array(spark, str(tmp_path / "out"), one=True).collect()
+    assert values(back) == wanted(records) and all(r._corrupt_record is None for r in back)
+
+
+def test_an_empty_array_in_parts(spark, tmp_path):
+    W.write_conversations_array(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), str(tmp_path / "out"))
+    assert json.loads(written(tmp_path / "out")) == []
+    assert R.read_conversations_array(spark, str(tmp_path / "out"), one=True).count() == 0
