@@ -40,17 +40,38 @@ def ledger_update(ledger: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return seen.distinct() if ledger is None else ledger.select("snippet_hash").union(seen).distinct()
 
 
+#: Slots of the bit table that spares main values the shuffle: 1 MB, whatever the size of the data.
+SLOTS = 1 << 23
+
+
+def _possible(rows: DataFrame, h: str, hashes: DataFrame) -> DataFrame:
+    """The rows whose hash column ``h`` may be in the one column of ``hashes``.  The
+    executors set one bit per hash in a table of ``SLOTS`` bits, kept as rows of 4 KB and
+    broadcast, so a row that no hash can match ends where it is read."""
+    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)) + 1
+    table = (hashes.select(slot(hashes.columns[0]).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")))      # at most SLOTS / 32768 rows
+    at = F.bitmap_bit_position(slot(h))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, _at)").bitwiseAND(1) == 1
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(slot(h))).join(F.broadcast(table), "_bucket")
+            .withColumn("_byte", byte).withColumn("_at", (at % 8).cast("int")).where(bit).select(*rows.columns))
+
+
 def duplicate_keys(pairs: DataFrame, main_messages: DataFrame, key: list[str],
                    prompt: str = "prompt", code: str = "code") -> DataFrame:
     """Keys of the pairs whose prompt or code equals a message of ``main_messages``.
 
-    64-bit hashes find the candidates (only keys and hashes move); texts are
-    then compared exactly, candidates against the main values that share a
-    hash with some pair."""
+    Main values that no pair's hash can match are dropped where they are read, by a bit
+    table of the pairs' 64-bit hashes; then hashes find the candidates (only keys and
+    hashes move), and texts are compared exactly, candidates against the main values
+    that share a hash with some pair.  One plan at any size: with more pairs the bit
+    table lets more pass, and the joins after it decide."""
     sides = F.inline(F.array(F.struct(F.xxhash64(prompt).alias("_h"), F.col(prompt).alias("_v")),
                              F.struct(F.xxhash64(code).alias("_h"), F.col(code).alias("_v"))))
-    values = main_messages.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_h"), F.col("text").alias("_v"))
     hashed = pairs.select(*key, sides)
+    values = main_messages.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_h"), F.col("text").alias("_v"))
+    values = _possible(values, "_h", hashed.select("_h"))
     candidates = hashed.select(*key, "_h").join(values.select("_h"), "_h", "left_semi")
     texts = pairs.join(candidates.select(*key), key, "left_semi").select(*key, sides)
     shared = values.join(candidates.select("_h"), "_h", "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..operators import batched as B
 from ..operators import dedup as D
 from ..operators import edits as E
 from ..operators import formatting as FM
@@ -22,6 +23,7 @@ from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import prompts as PR
 from ..operators import registry as G
+from ..operators import search as S
 from ..operators import verdicts as V
 from ..session import scratch_path
 from ..sources import named_files as N
@@ -308,6 +310,14 @@ def keyword_search(spark, sf):
     return E.keyword_search(X.messages(spark, sf), " The ")
 
 
+@query
+def keyword_search_terms(spark, sf):
+    """P9 for a table of terms: the first word, two and one characters of every benchmark item."""
+    items = X.test_prompts(spark, sf)
+    terms = items.select(F.explode(F.array(F.split("prompt", " ")[0], F.substring("prompt", 1, 2), F.substring("prompt", 1, 1))).alias("term"))
+    return S.search_terms(X.messages(spark, sf), terms.where(T.ustrip("term") != ""))
+
+
 @query
 def preview_text(spark, sf):
     return P.preview_text(P.first_messages(X.messages(spark, sf))).select("conv_id", "preview")
@@ -377,6 +387,15 @@ def chat_template_text(spark, sf):
     return FM.chat_template_text(X.messages(spark, sf))
 
 
+@query
+def batched_tokens(spark, sf):
+    """a batched tokenizer (here: words between white space) over the rendered texts."""
+    texts = FM.chat_template_text(X.messages(spark, sf)).select("conv_id", "text")
+    t = B.map_text_batches(texts, B.whitespace_tokens, "text", "tokens", "array<string>")
+    return t.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first_token"),
+                    F.get("tokens", F.size("tokens") - 1).alias("last_token"))
+
+
 @query
 def response_spans(spark, sf):
     return FM.response_spans(X.messages(spark, sf))
@@ -533,6 +552,14 @@ def model_rollup(spark, sf):
     return PR.variation_rollup(prompt_evaluation_results(spark, sf), model="model")
 
 
+@query
+def running_totals(spark, sf):
+    """R1/R2 while results arrive: two runs of the streaming roll-up, the second from the first's checkpoint."""
+    from ..streaming.rollup import run_rollups
+    results = evaluation_results(spark, sf)
+    return run_rollups(spark, [results.where("doc_id % 3 = 0"), results.where("doc_id % 3 <> 0")], PR.variation_rollup)
+
+
 @query
 def variation_rollup(spark, sf):
     return PR.variation_rollup(evaluation_results(spark, sf))

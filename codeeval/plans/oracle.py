@@ -435,6 +435,11 @@ WHERE {strip('prompt')} <> '' AND {strip('code')} <> ''"""
     q["keyword_search"] = f"""WITH {POSITIONAL}
 SELECT conv_id, {preview('prompt')} AS preview FROM pos_pairs
 WHERE contains(lower(prompt), 'the') OR contains(lower(reference), 'the')"""
+    q["keyword_search_terms"] = f"""WITH {POSITIONAL},
+raw AS (SELECT unnest([split_part(text, ' ', 1), text[1:2], text[1:1]]) AS t FROM benchmark),
+terms AS (SELECT DISTINCT lower({strip('t')}) AS term FROM raw WHERE {strip('t')} <> '')
+SELECT term, conv_id, {preview('prompt')} AS preview FROM pos_pairs, terms
+WHERE contains(lower(prompt), term) OR contains(lower(reference), term)"""
     q["preview_text"] = f"WITH {MESSAGES}\nSELECT conv_id, {preview('text')} AS preview FROM messages WHERE turn = 0"
     q["batch_edits"] = f"""WITH {POSITIONAL},
 dels AS (SELECT DISTINCT conv_id FROM messages WHERE turn = 0 AND role = 'system'),
@@ -634,4 +639,8 @@ SELECT run_id, step, round(loss, 6) AS loss, learning_rate FROM l FULL JOIN r US
 SELECT step, count(*) AS n_runs, min(learning_rate) AS min_learning_rate, round(avg(learning_rate), 6) AS avg_learning_rate,
        max(learning_rate) AS max_learning_rate, arg_min(run_id::VARCHAR, (learning_rate, run_id::VARCHAR))::BIGINT AS best_run
 FROM r GROUP BY step"""
+    q["running_totals"] = q["variation_rollup"]
+    words = r"regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+')"
+    q["batched_tokens"] = f"""WITH c AS ({q['chat_template_text']}), w AS (SELECT conv_id, {words} AS w FROM c)
+SELECT conv_id, len(w)::BIGINT AS n_tokens, w[1] AS first_token, w[-1] AS last_token FROM w"""
     return q
