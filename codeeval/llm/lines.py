@@ -27,17 +27,28 @@ from .tables import saved
 RATIO, MIN_PAGES = 0.1, 3
 BLOCKS = ("p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|header|footer|nav|main|"
           "aside|title|head|body|html|blockquote|pre|form|figure|figcaption|option|select")
-#: In this order: what is replaced, and by what.
+#: Elements that go with their content: begin, end, and what stays.
+ELEMENTS = ((r"<script[^<>]*>", r"</script[^<>]*>", "\n"), (r"<style[^<>]*>", r"</style[^<>]*>", "\n"), ("<!--", "-->", ""))
+#: Then, in this order: what is replaced, and by what.
 STEPS = (
-    (r"(?is)<script[^<>]*>.*?</script[^<>]*>", "\n"), (r"(?is)<style[^<>]*>.*?</style[^<>]*>", "\n"),
-    (r"(?s)<!--.*?-->", ""), (r"(?i)</?(?:" + BLOCKS + r")(?:[\t\n\f\r /][^<>]*)?>", "\n"), (r"<[^<>]*>", ""),
+    (r"(?i)</?(?:" + BLOCKS + r")(?:[\t\n\f\r /][^<>]*)?>", "\n"), (r"<[^<>]*>", ""),
     (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&amp;", "&"),
     (r"[\t\f\r ]+", " "), (r" ?\n ?", "\n"),
 )
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _without(html: Column, begin: str, end: str, to: str) -> Column:
+    """``html`` with ``to`` for everything from a ``begin`` to the next ``end``.  Only the text
+    up to the last ``end`` is searched: there every ``begin`` finds one, so none is looked
+    for in vain to the end of the text, and the time is linear."""
+    head = F.regexp_extract(html, f"(?is)^.*{end}", 0)
+    return F.concat(F.regexp_replace(head, F.lit(f"(?is){begin}.*?{end}"), F.lit(to)), F.substr(html, F.length(head) + 1))
+
+
 def lines_of(html: Column) -> Column:
+    for element in ELEMENTS:
+        html = _without(html, *element)
     for pattern, to in STEPS:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(to))
     return F.filter(F.split(F.trim(html), "\n", -1), lambda x: x != "")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import lines
-
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -64,18 +62,30 @@ SELECT doc_id, source, size, source_size, target,
 """
 
 
+#: Written out on their own, for RE2.
+_TAGS = ("p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|header|footer|nav|main|"
+         "aside|title|head|body|html|blockquote|pre|form|figure|figcaption|option|select")
+_HTML = (
+    (r"(?is)<script[^<>]*>.*?</script[^<>]*>", "\n"), (r"(?is)<style[^<>]*>.*?</style[^<>]*>", "\n"),
+    (r"(?s)<!--.*?-->", ""), (r"(?i)</?(?:" + _TAGS + r")(?:[\t\n\f\r /][^<>]*)?>", "\n"), (r"<[^<>]*>", ""),
+    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&amp;", "&"),
+    (r"[\t\f\r ]+", " "), (r" ?\n ?", "\n"),
+)
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+
+
 def _op4() -> str:
     html = "coalesce(html, '')"
-    for pattern, to in lines.STEPS:
+    for pattern, to in _HTML:
         quoted = to.replace("'", "''").replace("\n", "' || chr(10) || '")
         html = "regexp_replace({}, '{}', '{}', 'g')".format(html, pattern.replace("'", "''"), quoted)
     return f"""
 WITH
-p AS (SELECT row_number() OVER () AS r, page_id, lower(nullif(regexp_extract(url, '{lines.HOST}', 1), '')) AS host,
+p AS (SELECT row_number() OVER () AS r, page_id, lower(nullif(regexp_extract(url, '{_HOST}', 1), '')) AS host,
       [x FOR x IN string_split(trim({html}, ' '), chr(10)) IF x <> ''] AS l FROM pages),
 t AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY 1),
 c AS (SELECT host, x FROM (SELECT DISTINCT r, host, unnest(l) AS x FROM p WHERE host IS NOT NULL) JOIN t USING (host)
-      GROUP BY host, x HAVING count(*) >= {lines.MIN_PAGES} AND count(*) > {lines.RATIO} * any_value(pages)),
+      GROUP BY host, x HAVING count(*) >= 3 AND count(*) > 0.1 * any_value(pages)),
 e AS (SELECT r, unnest(l) AS x, unnest(range(len(l))) AS i, host FROM p),
 k AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS text FROM e ANTI JOIN c USING (host, x) GROUP BY 1)
 SELECT page_id, host, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(text, '') AS text
