@@ -20,8 +20,13 @@ part, nor do rows without vec_id.  Only vectors of equal length are compared.
 A query's own rows are all rows with its vec_id; they are left out before any
 bound is taken.  Equal candidate rows each
 take a rank; equal query rows give one list.  Ties go to the smaller vec_id.
-Other columns are ignored.  Components must stay below 2^20 after scaling for
-exact sums; others are refused with an error.
+Other columns are ignored.
+
+Sums of double precision are exact while components stay below ``LIMIT`` after
+scaling.  Vectors with larger ones travel in blocks of their own, of 64-bit integers;
+where such a block and a query could sum to 2^53 or more, scores are summed as Python
+integers, without lists.  Components of 2^63 and scores that a long cannot hold are
+refused with an error.
 """
 
 from __future__ import annotations
@@ -56,43 +61,61 @@ def _blocks(batch: pa.RecordBatch):
         m = np.floor(SCALE * x[at[rows][:, None] + np.arange(dim)])
         good = np.isfinite(m).all(1)
         rows, m = rows[good], m[good]
-        if (np.abs(m) >= LIMIT).any():
-            raise ValueError(f"a component exceeds {LIMIT} after scaling")
-        for a in range(0, len(rows), BLOCK):
-            some, part = rows[a:a + BLOCK], m[a:a + BLOCK].astype(np.int32)
-            yield {"dim": pa.array([dim], pa.int32()), "ids": _row(ids.take(pa.array(some)).to_numpy(), pa.int64()),
-                   "m": _row(part.ravel(), pa.int32())}
+        if (np.abs(m) >= 2.0 ** 63).any():
+            raise ValueError("a component exceeds 64 bits after scaling")
+        large = (np.abs(m) >= LIMIT).any(1)
+        for wide in (False, True):
+            of = np.flatnonzero(large == wide)
+            for a in range(0, len(of), BLOCK):
+                some, part = rows[of[a:a + BLOCK]], m[of[a:a + BLOCK]].astype(np.int64)
+                yield {"dim": pa.array([dim], pa.int32()), "ids": _row(ids.take(pa.array(some)).to_numpy(), pa.int64()),
+                       **_either(part.ravel(), np.array([0, part.size]), wide)}
+
+
+def _either(values: np.ndarray, first: np.ndarray, wide: bool) -> dict:
+    """Components as column ``m`` or, of vectors with large ones, as ``wide``; the other is null."""
+    kinds = {"m": pa.int32(), "wide": pa.int64()}
+    own = "wide" if wide else "m"
+    return {c: W.lists(values.astype(kinds[c].to_pandas_dtype()), first, kinds[c]) if c == own
+            else pa.nulls(len(first) - 1, pa.list_(kinds[c])) for c in kinds}
+
+
+def _components(m, wide) -> np.ndarray:
+    return (m if m.is_valid else wide).values.to_numpy()
 
 
 def _row(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return W.lists(values, np.array([0, len(values)]), kind)
 
 
-_BLOCKS = "dim int, ids array<long>, m array<int>"
+_BLOCKS = "dim int, ids array<long>, m array<int>, wide array<long>"
 
 
 def _chosen(every: int):
     def run(batch: pa.RecordBatch):
         for i in range(batch.num_rows):
             dim, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy()
-            m = batch.column(2)[i].values.to_numpy().reshape(-1, dim)
+            wide = not batch.column(2)[i].is_valid
+            m = _components(batch.column(2)[i], batch.column(3)[i]).reshape(-1, dim)
             some = np.flatnonzero(ids % every == 0)
             yield {"dim": pa.array(np.full(len(some), dim, np.int32)), "id": pa.array(ids[some]),
-                   "v": W.lists(m[some].ravel(), np.arange(len(some) + 1) * dim, pa.int32())}
+                   **_either(m[some].ravel(), np.arange(len(some) + 1) * dim, wide)}
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Query rows as blocks of queries."""
     for batch in batches:
-        dims = batch.column(0).to_numpy()
-        for dim in np.unique(dims).tolist():
-            rows = np.flatnonzero(dims == dim)
+        dims, large = batch.column(0).to_numpy(), np.asarray(batch.column(3).is_valid())
+        for dim, wide in {(d, w) for d, w in zip(dims.tolist(), large.tolist())}:
+            rows = np.flatnonzero((dims == dim) & (large == wide))
             for a in range(0, len(rows), QUERIES):
                 part = batch.take(pa.array(rows[a:a + QUERIES]))
+                flat = part.column(3 if wide else 2).flatten().to_numpy()
+                of = _either(flat, np.array([0, len(flat)]), wide)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), _row(part.column(1).to_numpy(), pa.int64()),
-                     _row(part.column(2).flatten().to_numpy(), pa.int32())], ["dim", "ids", "m"])
+                    [pa.array([dim], pa.int32()), _row(part.column(1).to_numpy(), pa.int64()), of["m"], of["wide"]],
+                    ["dim", "ids", "m", "wide"])
 
 
 def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
@@ -115,6 +138,21 @@ def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
         depth *= 2
 
 
+def _merge(best: dict, name: tuple, scores: list[int], ids: np.ndarray, k: int) -> None:
+    """Add candidates with scores of any size to a query's best."""
+    s, held = best.get(name, (np.empty(0, object), np.empty(0, np.int64)))
+    both = sorted([*zip((int(v) for v in s), held.tolist()), *zip(scores, ids.tolist())], key=lambda c: (-c[0], c[1]))[:k]
+    best[name] = np.array([v for v, _ in both], object), np.array([i for _, i in both], np.int64)
+
+
+def _exactly(best: dict, q_ids: np.ndarray, qs: np.ndarray, c_ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Scores as Python integers, for vectors whose products double precision cannot hold."""
+    whole = x.astype(object)
+    for q_id, q in zip(q_ids.tolist(), qs):
+        others = c_ids != q_id
+        _merge(best, (q_id, q.astype(np.int64).tobytes()), (whole[others] @ q.astype(object)).tolist(), c_ids[others], k)
+
+
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -122,15 +160,22 @@ def _best(k: int):
             get = lambda name, i: batch.column(batch.schema.get_field_index(name))[i]  # noqa: B023,E731
             for i in range(batch.num_rows):
                 dim, c_ids = get("dim", i).as_py(), get("ids", i).values.to_numpy()
-                x = get("m", i).values.to_numpy().reshape(-1, dim).astype(np.float64)
+                x = _components(get("m", i), get("wide", i)).reshape(-1, dim)
                 q_ids = get("q_ids", i).values.to_numpy()
-                qs = get("q_m", i).values.to_numpy().reshape(-1, dim).astype(np.float64)
+                qs = _components(get("q_m", i), get("q_wide", i)).reshape(-1, dim)
+                if dim * float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(qs.astype(np.float64)).max(initial=0)) >= 2.0 ** 53:
+                    _exactly(best, q_ids, qs, c_ids, x, k)
+                    continue
+                x, qs = x.astype(np.float64), qs.astype(np.float64)
                 cut = np.unique(np.linspace(0, dim, PARTS + 1).astype(int))
                 for a in range(0, len(qs), 64):
                     lists = np.stack([qs[a:a + 64, lo:hi] @ x[:, lo:hi].T for lo, hi in zip(cut[:-1], cut[1:])], 1)
                     for q_id, q, of_q in zip(q_ids[a:a + 64].tolist(), qs[a:a + 64], lists):
-                        name = (q_id, q.tobytes())
+                        name = (q_id, q.astype(np.int64).tobytes())
                         s, ids = best.get(name, (np.empty(0), np.empty(0, np.int64)))
+                        if s.dtype == object:       # integers: scores below them stay exact as they are merged
+                            _merge(best, name, [int(v) for v in (x[c_ids != q_id] @ q).tolist()], c_ids[c_ids != q_id], k)
+                            continue
                         others = np.flatnonzero(c_ids != q_id)      # own rows set no bound
                         if len(others) < len(c_ids):
                             of_q = of_q[:, others]
@@ -140,6 +185,8 @@ def _best(k: int):
                         best[name] = s[o], ids[o]
         for (q_id, vector), (s, ids) in best.items():
             n = len(s)
+            if s.dtype == object and any(not -2 ** 63 <= v < 2 ** 63 for v in s):
+                raise OverflowError(f"a score of query {q_id} exceeds 64 bits")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, q_id, np.int64)), pa.array([vector] * n, pa.binary()), pa.array(ids),
                  pa.array(s.astype(np.int64))], ["query_id", "vector", "vec_id", "score"])
@@ -153,12 +200,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     blocks = saved(map_batches(rows, _blocks, _BLOCKS), "blocks")
     slots = n_partitions(spark)
-    queries = map_batches(blocks, _chosen(every), "dim int, id long, v array<int>").distinct()
+    queries = map_batches(blocks, _chosen(every), "dim int, id long, m array<int>, wide array<long>").distinct()
     queries = saved(queries.repartition(max(1, slots // 8), "id").mapInArrow(_packed, _BLOCKS), "queries")
-    sent = queries.select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"),
+    sent = queries.select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("wide").alias("q_wide"),
                           F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    near = (dealt.join(sent, ["dim", "slot"]).select("dim", "ids", "m", "q_ids", "q_m")
+    near = (dealt.join(sent, ["dim", "slot"]).select("dim", "ids", "m", "wide", "q_ids", "q_m", "q_wide")
             .mapInArrow(_best(k), "query_id long, vector binary, vec_id long, score long"))
     rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -280,6 +280,25 @@ def test_top_k_of_a_query_with_many_rows_of_its_own(spark):
     assert sum(q == 100 for q, *_ in want) >= 10
 
 
+@pytest.mark.parametrize("largest", (2.0 ** 10, 2.0 ** 10 - 1 / 1024, 2.0 ** 17, 3e5))
+def test_top_k_of_large_components(spark, largest):
+    """At 2^20 after scaling and above, some so large that double precision would tie what differs."""
+    rng = random.Random(14)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(1, 80)]
+    rows += [(100 + i, [largest, largest + i / 1024, *(rng.uniform(-1, 1) for _ in range(3))]) for i in range(40)]
+    rows += [(200, [-largest] * 5), (20, [largest] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in topk.top_k(df, 10, 20).collect()} == brute.top_k(rows, 10, 20)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e13, 1.0]), (1, [1e13, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(df, 10, 20).collect()
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), 10, 20).collect()
+
+
 def test_contenders_hold_the_best():
     rng = np.random.default_rng(0)
     for _ in range(50):
