@@ -30,20 +30,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import map_batches, saved, text_of
+from .tables import map_batches, n_partitions, possible, saved, spread_join, text_of
 
 K = 5
 PERMUTATIONS = 64
 BAND_ROWS = 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 THRESHOLD = 85
-COMMON = 1 << 19
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 2**63, PERMUTATIONS).astype(W.U64)
 _MUL = _rng.integers(0, 2**63, PERMUTATIONS).astype(W.U64) * W.U64(2) + W.U64(1)
@@ -143,65 +141,41 @@ def _agree(threshold: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are links, by their full sets."""
-    full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb"))
+    """The pairs ``(a, b)`` that are links, by their full sets.  ``b`` may be a hub
+    that a third of all pairs name: they are dealt on by ``a``, and each deal gets
+    the hub's set.  ``pairs`` is read more than once: give a written table."""
+    deal = F.pmod(F.xxhash64("a"), F.lit(n_partitions(pairs.sparkSession))).cast("int")
+    hubs = (pairs.select("b", deal.alias("deal")).distinct()
+            .join(possible(sets, "node", pairs.select("b")).select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
+    full = (pairs.join(possible(sets, "node", pairs.select("a")).select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+            .withColumn("deal", deal).join(hubs, ["b", "deal"]).select("a", "b", "sa", "sb"))
     return map_batches(full, _agree(threshold), "a long, b long")
 
 
-def _prefixes(common: Broadcast, threshold: int):
-    """Of each set, the shingles that a link with some size could need, rarest first."""
-    def run(batch: pa.RecordBatch):
-        hashes, holders, rare = common.value
-        get = lambda name: batch.column(batch.schema.get_field_index(name))
-        column = get("shingles")
-        offs, values = column.offsets.to_numpy(), column.values.to_numpy()
-        rows, found, place = [], [], []
-        for i in range(batch.num_rows):
-            s = values[offs[i]:offs[i + 1]]
-            n = len(s)
-            at = np.minimum(np.searchsorted(hashes, s), max(len(hashes) - 1, 0))
-            known = hashes[at] == s if len(hashes) else np.zeros(n, bool)
-            order = np.lexsort((s, np.where(known, holders[at] if len(hashes) else 0, 0)))
-            order = order[:n - (threshold * n + 99) // 100 + 1]
-            pos = np.flatnonzero(known[order]) if rare else np.arange(len(order))
-            rows.append(np.full(len(pos), i))
-            found.append(s[order[pos]])
-            place.append(pos)
-        rows = pa.array(np.concatenate(rows))
-        yield {"node": get("node").take(rows), "n": get("n").take(rows), "component": get("component").take(rows),
-               "shingle": pa.array(np.concatenate(found)), "pos": pa.array(np.concatenate(place), pa.int64())}
-    return run
-
-
 def _undecided(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that may still be links: an
-    exact prefix filter with positions.
-
-    In one order of all shingles, rarest first, the first shingle that two sets
-    share leaves at most the rest of either set for the intersection.  So with
-    it at place i, a set of n can only reach the threshold t with sets of up to
-    (100 + t)/t (n - i) - n shingles.  Any order is exact; holders of the (at most
-    ``COMMON``) most common shingles are counted, and all others come first.
+    """Pairs ``(a, b)`` of different components that may still be links, of
+    ``sets(node, n, component, shingles)``: an exact prefix filter with positions.
+
+    In one order of all shingles the first shingle that two sets share leaves at
+    most the rest of either set for the intersection.  So with it at place i, a set
+    of n can only reach the threshold t with sets of up to (100 + t)/t (n - i) - n
+    shingles.  Any order is exact.  Here shingles that only one component holds
+    come first, as they can join no two components, and need not be posted; then the
+    others, those with fewest holders first, counted over all sets.
     """
-    spark = sets.sparkSession
-    shared = saved(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle")
-                   .agg(F.count("*").alias("holders")).where("holders > 1"), "shared")
-    steps = {r[0]: r[1] for r in shared.groupBy(F.floor(F.log2("holders")).cast("int").alias("e")).count().collect()}
-    least, total = 1 << 31, 0
-    for e in sorted(steps, reverse=True):   # powers of two: at most 63 rows
-        total += steps[e]
-        if total > COMMON:
-            break
-        least = 1 << e
-    rare = total <= COMMON                  # then a shingle not listed has one holder
-    top = shared.where(F.col("holders") >= least).orderBy("shingle").toArrow()
-    common = spark.sparkContext.broadcast((top.column("shingle").to_numpy(), top.column("holders").to_numpy(), rare))
-    posts = saved(map_batches(sets, _prefixes(common, threshold), "node long, n long, component long, shingle long, pos long"), "posts")
-    mixed = posts.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    posts = posts.join(mixed.select("shingle"), "shingle", "left_semi").withColumn(
-        "reach", F.floor((100 + threshold) * (F.col("n") - F.col("pos")) / threshold) - F.col("n"))
+    each = sets.select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    across = (each.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("component").alias("x"), F.max("component").alias("y"))
+              .where("x < y").select("shingle", "holders"))
+    kept = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1     # length of the prefix
+    mine = (each.select("node", "shingle").join(across, "shingle").groupBy("node")
+            .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
+            .join(sets.select("node", "n", "component"), "node")
+            .withColumn("before", F.col("n") - F.size("order"))
+            .withColumn("order", F.slice("order", F.lit(1), F.greatest(F.lit(0), kept - F.col("before")).cast("int"))))
+    posts = saved(mine.select("node", "n", "component", "before", F.posexplode("order").alias("at", "post"))
+                  .select("node", "n", "component", F.col("post.shingle").alias("shingle"),
+                          (F.floor((100 + threshold) * (F.col("n") - F.col("before") - F.col("at")) / threshold) - F.col("n"))
+                          .alias("reach")), "posts")
     size_bin = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(1.01))).cast("int")
     # The smaller of a linked pair reaches the larger, and the larger reaches the smaller.
     small = posts.where("reach >= n").select(
@@ -231,39 +205,38 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             .select("node", "n_shingles", F.explode("bands").alias("band")))
     sizes = reps.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     members = saved(reps.join(sizes.where("lo < hi").select("band", "m"), "band").distinct(), "members")
-    degree = members.groupBy("node").agg(F.sum("m").alias("degree"), F.first("n_shingles").alias("n"))
-    hubs = (members.join(degree, "node").groupBy("band")
-            .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("hub"))
-            .select("band", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("nb")))
-    fits = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
-    star = (members.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-            .join(hubs, "band").where("a <> b").where(fits).select("a", "b").distinct())
+    degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
+    members = saved(members.join(degree, "node").select("band", "node", F.col("n_shingles").alias("n"), "degree"), "members")
 
     # Full sets of the classes that share a bucket.  The text of any other is not read again.
-    wanted = (classes.join(members.select("node").distinct(), "node", "left_semi")
-              .select(F.col("node").alias("doc_id"), "s1", "s2"))
-    sets = saved(map_batches(texts.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2"), _sets,
+    wanted = saved(classes.join(members.select("node").distinct(), "node", "left_semi")
+                   .select(F.col("node").alias("doc_id"), "s1", "s2"), "wanted")
+    some_texts = possible(texts, "doc_id", wanted.select("doc_id"))
+    sets = saved(map_batches(some_texts.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2"), _sets,
                              "node long, shingles array<long>"), "sets")
-    links = saved(_confirmed(star, sets, threshold), "links").distinct()
-    first_round = components(links)
+
+    fits = f"100 * least(n, nb) >= {threshold} * greatest(n, nb)"
+    hubs = (members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("hub"))
+            .select("band", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("nb")))
+    star = saved(members.join(hubs, "band").where("node <> b").where(fits).select(F.col("node").alias("a"), "b").distinct(), "star")
+    labels = components(saved(_confirmed(star, sets, threshold), "links"))
 
     # What the hubs have not settled: one bucket, different components.
-    placed = saved(members.join(first_round, "node", "left")
-                   .select("band", "node", F.col("n_shingles").alias("n"),
-                           F.coalesce("component", "node").alias("component")), "placed")
+    placed = saved(members.join(labels, "node", "left")
+                   .select("band", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     open_bands = (placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                   .where("x < y").select("band"))
     still = placed.join(open_bands, "band", "left_semi").select("node", "n", "component").distinct()
     undecided = saved(sets.join(still, "node").select("node", "n", "component", "shingles"), "undecided")
-    rest = _undecided(undecided, threshold)
+    rest = saved(_undecided(undecided, threshold), "rest")
     more = saved(_confirmed(rest, sets, threshold), "links")
-    merged = components(first_round.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    merged = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
                         .union(more.select("a", "b")))
 
     # Back to rows: a component is named by the smallest doc_id of its classes.
     named = (classes.join(merged, "node", "left")
              .select(*same_set, F.coalesce("component", "node").alias("component_id")))
-    rows = (sketch.select("doc_id", *same_set).join(named, same_set, "left")
+    rows = (spread_join(sketch.select("doc_id", *same_set), saved(named, "named"), same_set, F.col("doc_id"))
             .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                         .otherwise(F.col("component_id"))))
     return rows.select("doc_id", "n_shingles", "component_id",

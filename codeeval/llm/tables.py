@@ -59,3 +59,27 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column)
     dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(n_partitions(rows.sparkSession))).cast("int"))
     deals = dealt.select(*keys, "_deal").distinct().join(table, keys)
     return dealt.join(deals, [*keys, "_deal"], "left").drop("_deal")
+
+
+#: Slots of the bit tables of ``maybe_in``: 1 MB, whatever the size of the data.
+SLOTS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
+    """``rows`` with a boolean ``out``: false only if ``column`` is not in the one column of
+    ``ids``.  The executors set a bit for each id in a table of fixed size, kept as rows
+    of 4 KB and broadcast; the more ids, the more others pass as well, so an exact join
+    has to follow.  It spares the shuffle of rows that the join would drop."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
+    table = (ids.select(slot(ids.columns[0]).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")))      # at most SLOTS / 32768 rows
+    at = F.bitmap_bit_position(slot(column))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(slot(column))).join(F.broadcast(table), "_bucket", "left")
+            .select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(out)))
+
+
+def possible(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in the one column of ``ids``."""
+    return maybe_in(rows, column, ids, "_may").where("_may").drop("_may")

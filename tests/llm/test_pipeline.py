@@ -41,7 +41,7 @@ def test_quality_stage_keeps_what_scores_enough(spark, steps):
 
 
 def test_near_duplicate_stage_keeps_one_of_each_group(steps):
-    want = {i for i, (_, _, kept) in brute.near_duplicates(rows(steps["quality"])).items() if kept}
+    want = {i for i, (_, _, kept) in brute.near_duplicates(rows(steps["quality"]), P.NEAR).items() if kept}
     assert Counter(i for i, _ in rows(steps["near_duplicates"])) == Counter(want)
 
 
@@ -89,11 +89,47 @@ def test_sharding_stage_places_every_row(steps):
     assert all(sorted(s) == list(range(len(s))) and 0 <= k < 40 for k, s in slots.items())
 
 
-def test_stages_with_missing_values(spark):
+def odd_documents(spark, rows):
     schema = table(spark, SF, "documents").schema
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", 5),
-                                 (2, "a b c", None, "s", 5)], schema)
-    for docs in (odd, odd.where("false")):
-        for name, stage in P.STAGES:
-            docs = saved(stage(spark, docs, SF), name)
-        assert docs.count() >= 0
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Rows that share a doc_id, or have none, and equal rows."""
+    item = table(spark, SF, "benchmark").where("length(text) > 200").first().text
+    rng = random.Random(8)
+    clean = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(5)]
+    near = clean[3].split()[:-2] + ["x", "y"]                            # 54 of 58 shingles in common
+    docs = odd_documents(spark, [(None, clean[0] + " " + item, "s"), (1, clean[1], "s"), (2, clean[2], "s"),
+                                 (2, clean[4] + " " + item, "s"), (None, clean[3], "s"), (None, " ".join(near), "s"),
+                                 (5, clean[2], "s"), (7, "", "s"), (7, None, "s"), (1, clean[1], "s"), (1, clean[1], "s")])
+    got = Counter(rows(P.without_benchmark(spark, docs, SF)))
+    assert got == Counter((i, t) for i, t in rows(docs) if item not in (t or ""))
+    got = Counter(rows(P.without_near_copies(spark, docs, SF)))
+    one = [x for x in got if x[0] is None and x[1] in (clean[3], " ".join(near))]
+    assert len(one) == 1 and got.pop(one[0]) == 1                        # either of two without ids
+    assert got == Counter([(None, clean[0] + " " + item), (1, clean[1]), (2, clean[2]), (2, clean[4] + " " + item),
+                           (7, ""), (7, None)])
+
+
+def test_mix_takes_equal_rows_together(spark):
+    """Two sources of one text each, one repeated: every row's copies add up to the mix."""
+    docs = odd_documents(spark, [(1, "a b c d", "p")] * 3 + [(2, "e f g h", "q")] * 6 + [(None, "i j k l", "p"), (3, "", "q")])
+    got = Counter(rows(P.mixed(spark, docs, SF)))
+    words = {"p": 4 * (got[1, "a b c d"] + got[None, "i j k l"]), "q": 4 * got[2, "e f g h"]}
+    want = brute.targets({"p": 16, "q": 24})
+    assert all(abs(words[s] - want[s]) <= 2 for s in want) and (3, "") not in got
+    assert got[1, "a b c d"] <= 9 and got[2, "e f g h"] <= 18
+
+
+def test_stages_with_missing_values(spark):
+    """What must remain of rows with nulls, empty texts and repeated rows, and of nothing."""
+    odd = odd_documents(spark, [(None, None, None), (1, "", None), (2, "a b c", "s"), (2, "a b c", "s")])
+    near = P.without_near_copies(spark, odd, SF)
+    assert Counter(rows(near)) == Counter([(None, None), (1, ""), (2, "a b c")])
+    assert Counter(rows(P.without_benchmark(spark, odd, SF))) == Counter(rows(odd))
+    assert Counter(rows(P.mixed(spark, near, SF))) == Counter([(2, "a b c")])
+    placed = P.sharded(spark, odd, SF).collect()
+    assert Counter(r.doc_id for r in placed) == Counter([None, 1, 2, 2])
+    for name, stage in P.STAGES:
+        assert stage(spark, odd.where("false"), SF).count() == 0, name
