@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeeval.llm import decontaminate, minhash, mixing, quality, sharding
 from codeeval.llm.queries import quality_weights
-from codeeval.llm.tables import saved, table
+from codeeval.llm.tables import maybe_in, possible, saved, table
 
 #: Least Jaccard similarity, in hundredths, of near copies in this pipeline (0.85 is op1_minhash's own).
 NEAR = 80
@@ -25,12 +25,30 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``.  What is dropped is
-    the smaller part, so where it is small Spark broadcasts it and no text is
-    shuffled.  A decision holds for all rows of a doc_id; rows without one stay."""
-    dropped = saved(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    return _documents(docs).join(dropped, "doc_id", "left_anti")
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which names a row by its doc_id and text.  Stages decide
+    by it, so rows that share a doc_id, or have none, are judged each by its own
+    text.  Rows with the same name are equal in all that a stage looks at."""
+    return _documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _judged(rows: DataFrame, *columns: str) -> DataFrame:
+    """Input of an operator that knows rows by doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), "text", *columns)
+
+
+def _without(rows: DataFrame, dropped: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``rows`` without those of ``dropped(row)``; of those of ``once(row)`` one stays.
+    Rows that the bit table of both clears pass where they are read; only the others
+    meet the exact join, so the texts that stay are not shuffled for it."""
+    told = dropped.select("row", F.lit(0).alias("stay"))
+    if once is not None:
+        told = told.union(once.select("row", F.lit(1)))
+    told = saved(told.distinct(), "told")
+    marked = maybe_in(rows, "row", told.select("row"), "named")
+    met = marked.where("named").join(told, "row", "left")
+    out = marked.where("NOT named").select(*COLUMNS).union(met.where("stay IS NULL").select(*COLUMNS))
+    return out if once is None else out.union(met.where("stay = 1").dropDuplicates(["row"]).select(*COLUMNS))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,24 +60,45 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more), the one
-    of the smallest doc_id (operator 1)."""
-    return _without(docs, minhash.near_duplicates(docs, NEAR).where("NOT kept"))
+    of the smallest doc_id (null last); of equal rows one (operator 1).  Documents
+    without words have no copies and stay."""
+    rows = _rows(docs)
+    near = saved(minhash.near_duplicates(_judged(rows), NEAR).where("n_shingles > 0")
+                 .select(F.col("doc_id").alias("row"), "component_id"), "near")
+    ids = rows.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    members = saved(near.distinct().join(ids, "row"), "groups")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    first = saved(members.select("row", "n").join(first, "row"), "first")
+    return _without(rows, members.select("row").join(first.select("row"), "row", "left_anti"), first.where("n > 1"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark (operator 2)."""
-    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _rows(docs)
+    found = decontaminate.decontaminate(_judged(rows), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return _without(rows, found.select(F.col("doc_id").alias("row")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document once per time that the
-    mix takes it, in whole (operator 3).  Documents without words, which no
-    word budget takes, are left out of the mix."""
-    taken = mixing.mix_sources(docs, quality_weights(table(spark, sf_dir, "labels")), whole_documents=True)
-    times = saved(taken.where("taken > 0").groupBy(F.col("doc_id").alias("d"))
-                  .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
-    return (_documents(docs).join(times, F.col("doc_id").eqNullSafe(F.col("d")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS))
+    mix takes it, in whole (operator 3).  Equal rows are taken as often as the mix
+    takes them together.  Documents without words, which no word budget takes, are
+    left out of the mix."""
+    rows = _rows(docs)
+    weights = (rows.select("row", "doc_id").join(quality_weights(table(spark, sf_dir, "labels")), "doc_id")
+               .select(F.col("row").alias("doc_id"), "weight"))
+    taken = mixing.mix_sources(_judged(rows, "source"), weights, whole_documents=True).where("size > 0")
+    per = taken.groupBy(F.col("doc_id").alias("row")).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("t"),
+                                                         F.count("*").alias("n"))
+    times = saved(per.where("t > 0").select("row", F.floor(F.col("t") / F.col("n")).cast("int").alias("each"),
+                                            (F.col("t") % F.col("n")).cast("int").alias("more")), "times")
+    # `times` has a row for nearly every document, so it is never broadcast.
+    every = (rows.join(times.where("each > 0").hint("merge"), "row")
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("each")))).select(*COLUMNS))
+    odd = saved(times.where("more > 0"), "odd")             # equal rows only
+    rest = (possible(rows, "row", odd.select("row")).join(odd, "row").dropDuplicates(["row"])
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("more")))).select(*COLUMNS))
+    return every.union(rest)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
