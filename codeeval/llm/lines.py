@@ -19,6 +19,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,19 @@ STEPS = (
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without(html: Column, begin: str, end: str, to: str) -> Column:
     """``html`` with ``to`` for everything from a ``begin`` to the next ``end``.  Only the text
     up to the last ``end`` is searched: there every ``begin`` finds one, so none is looked
     for in vain to the end of the text, and the time is linear."""
-    head = F.regexp_extract(html, f"(?is)^.*{end}", 0)
-    return F.concat(F.regexp_replace(head, F.lit(f"(?is){begin}.*?{end}"), F.lit(to)), F.substr(html, F.length(head) + 1))
+    def rest(h: Column, head: Column) -> Column:
+        return F.concat(F.regexp_replace(head, F.lit(f"(?is){begin}.*?{end}"), F.lit(to)), F.substr(h, F.length(head) + 1))
+
+    return _once(html, lambda h: _once(F.regexp_extract(h, f"(?is)^.*{end}", 0), lambda head: rest(h, head)))
 
 
 def lines_of(html: Column) -> Column:
