@@ -3,8 +3,8 @@
 Of each text the distinct grams of ``GRAM`` characters are its entries.  A term can only
 be in texts that hold all grams of the term, so the postings of a term's grams are
 intersected (counted by term and text), and the few candidates left are compared with
-``contains``.  A term of fewer characters is a gram itself: grams of one and two
-characters are entered too where such a term is asked for.  Only entries that some term
+``contains``, a conversation's all at once.  A term of up to ``GRAM`` characters is a gram
+itself, which needs no comparison: grams of one and two characters are entered too.  Only entries that some term
 asks for are shuffled.
 """
 
@@ -21,10 +21,12 @@ GRAM = 3
 
 def grams(text: Column, size: int) -> Column:
     """Distinct runs of ``size`` characters of a text, in one pass over its characters."""
-    chars = F.when(F.length(text) > 0, F.split(text, ""))
-    at = F.when(F.size(chars) >= size, F.sequence(F.lit(1), F.size(chars) - (size - 1)))
-    return F.coalesce(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), ""))),
-                      F.array().cast("array<string>"))
+    def runs(chars: Column) -> Column:      # bound once: not split again for every character
+        return F.array_distinct(F.array_compact(
+            F.transform(chars, lambda c, i: F.concat(c, *(F.get(chars, i + j) for j in range(1, size))))))
+
+    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.array(chars), runs))
 
 
 def _term_grams(term: Column) -> Column:
@@ -53,6 +55,13 @@ def search_terms(messages: DataFrame, terms: DataFrame) -> DataFrame:
                                                     for s in ("prompt", "reference"))))).where("text IS NOT NULL")
     found = (term_index(sides, ["conv_id", "side"], "text").join(wanted, "gram")
              .groupBy("term", "conv_id", "side").agg(F.count("*").alias("have"), F.first("n").alias("n")).where("have = n"))
-    hits = (found.join(sides, ["conv_id", "side"]).where(F.contains(F.lower("text"), F.col("term")))
-            .select("term", "conv_id").distinct())
-    return hits.join(pos.select("conv_id", T.preview("prompt").alias("preview")), "conv_id").select("term", "conv_id", "preview")
+    # a conversation's candidates meet its texts once; a term that is a gram is found for certain
+    listed = found.groupBy("conv_id").agg(F.collect_list(F.struct("term", "side")).alias("found"))
+    low = pos.select("conv_id", T.preview("prompt").alias("preview"), *(F.lower(s).alias(s) for s in ("prompt", "reference")))
+
+    def holds(x: Column) -> Column:
+        return (F.length(x["term"]) <= GRAM) | F.when(x["side"] == "prompt", F.contains("prompt", x["term"])) \
+            .otherwise(F.contains("reference", x["term"]))
+
+    hits = F.array_distinct(F.transform(F.filter("found", holds), lambda x: x["term"]))
+    return listed.join(low, "conv_id").select(F.explode(hits).alias("term"), "conv_id", "preview")

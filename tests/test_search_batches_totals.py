@@ -50,6 +50,25 @@ def test_index_holds_each_gram_once(spark):
     assert got == sorted([(1, g) for g in ("a", "b", "ab", "ba", "aba", "bab")] + [(2, "x")])
 
 
+def test_a_long_text_takes_linear_time(spark):
+    """Texts of 200 kB are split into characters once a size, not once a gram."""
+    import time
+    df = spark.createDataFrame([(i, f"{i} " + "abcdefghij klm" * 15_000) for i in range(2)], "id long, t string")
+    started = time.monotonic()
+    assert S.term_index(df, ["id"], "t").where("length(gram) = 3").count() > 20
+    assert time.monotonic() - started < 60
+
+
+def test_candidates_meet_their_text_once(spark):
+    """Many terms in one conversation: the text is not copied to each of them before it is compared."""
+    m = messages_df(spark, [(c, t, r, "abc abd bcd " * 50) for c in range(3) for t, r in enumerate(("human", "assistant"))])
+    terms = spark.createDataFrame([(t,) for t in ("a", "ab", "abc", "abc abd", "bd bc", "abd abc")], "term string")
+    found = S.search_terms(m, terms)
+    assert sorted({r.term for r in found.collect()}) == ["a", "ab", "abc", "abc abd", "bd bc"] and found.count() == 15
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join Inner")        # one row a conversation until the hits are listed
+
+
 def test_batches_call_the_function_once_each(spark, tmp_path):
     seen = tmp_path / "calls"
     seen.mkdir()
