@@ -143,3 +143,58 @@ def test_no_python_udf_in_plan(spark):
     df = spark.createDataFrame([(0, "a b", "a c")], "id long, ref string, cand string")
     plan = M.chrf_pairs(df, ["id"], "ref", "cand")._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def shuffled_rows(df):
+    """Rows that all exchanges of a query wrote, by its plan's own metrics."""
+    df.collect()
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(p.plan())
+        own = p.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_ngrams_of_ordinary_pairs_are_not_shuffled(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    df = spark.createDataFrame([(i, text, text + f" {i}") for i in range(20)], "id long, ref string, cand string")
+    for score, orders in ((M.bleu_pairs, 4), (M.chrf_pairs, 6)):
+        assert shuffled_rows(score(df, ["id"], "ref", "cand")) <= 20 * 2 * (orders + 2)
+
+
+def test_counting_in_the_row_and_by_ngram_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    pieces = ["a", "a a", "b.", "it's", "cannot", "“é”", "😀", " ", "\n", "中文", "ab ab"]
+    rows = [(i, *(" ".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(2))) for i in range(300)]
+    rows += [(300, "".join(chr(0x4e00 + j) for j in range(1100)), "".join(chr(0x4e00 + 2 * j) for j in range(700))),  # many letters
+             (301, None, "a"), (302, "a", None), (303, "\x00\x00a\x00", "\x00a\x00\x00\x00")]
+    df = spark.createDataFrame(rows, "id long, ref string, cand string")
+
+    def scores():
+        return {r.id: (r.bleu, r.chrf) for r in M.bleu_pairs(df, ["id"], "ref", "cand")
+                .join(M.chrf_pairs(df, ["id"], "ref", "cand"), "id").collect()}
+    in_row = scores()
+    monkeypatch.setattr(M, "LOCAL_UNITS", -1)
+    assert in_row == scores() and len(in_row) == len(rows)
+    for i, r, c in rows:
+        assert in_row[i] == (pytest.approx(O.bleu(r or "", c or ""), abs=1e-12), pytest.approx(O.chrf(r or "", c or ""), abs=1e-12)), i
+
+
+def test_rows_with_equal_ids_are_scored_as_one(spark):
+    df = spark.createDataFrame([(1, "a b", "c d"), (1, "c d", "a b"), (None, "x y", "x"), (None, "z", "y"), (2, "a", "b")],
+                               "id long, ref string, cand string")
+    got = {r.id: r.chrf for r in M.chrf_pairs(df, ["id"], "ref", "cand").collect()}
+    assert got[1] > 0 and got[2] == 0 and 0 < got[None] < 1        # found in the other row of the id
+
+
+def test_texts_are_dealt_before_they_are_cut_into_words(spark):
+    """The word rules run on all tasks, also where the texts come from one file or a broadcast join."""
+    df = spark.createDataFrame([(0, "a b", "a c")], "id long, ref string, cand string")
+    plan = M.bleu_pairs(df, ["id"], "ref", "cand")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan             # slow: it copies its state for every word
+    assert 0 < plan.rindex("regexp_replace") < plan.rindex("Exchange hashpartitioning(id")
