@@ -71,9 +71,11 @@ def write_eval_document(scored: DataFrame, path: str, training_dataset_size: int
     """S3 (D4): per-pair ``(reference, generated, bleu)`` rows as JSON Lines
     under ``detailed_results/`` and the average as a one-row sidecar under
     ``summary/`` -- the document's parts written in parallel instead of one
-    object through one writer."""
+    object through one writer.  The average is taken from the written results,
+    so that the rows are scored once."""
     scored.select("reference", "generated", metric).write.mode("overwrite").json(f"{path}/detailed_results")
-    (scored.agg(F.coalesce(F.avg(metric), F.lit(0.0)).alias(metric))
-           .select(F.lit(timestamp).alias("timestamp"), F.struct(metric).alias("average_metrics"),
-                   F.lit(training_dataset_size).alias("training_dataset_size"))
-           .write.mode("overwrite").json(f"{path}/summary"))
+    written = scored.sparkSession.read.schema(f"`{metric}` double").json(f"{path}/detailed_results")
+    (written.agg(F.coalesce(F.avg(metric), F.lit(0.0)).alias(metric))
+            .select(F.lit(timestamp).alias("timestamp"), F.struct(metric).alias("average_metrics"),
+                    F.lit(training_dataset_size).alias("training_dataset_size"))
+            .write.mode("overwrite").json(f"{path}/summary"))

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeeval.plans import catalog
 from codeeval.session import scratch_path
@@ -172,3 +173,14 @@ def test_metric_history_run_folders(spark, tmp_path):
     assert [r.run_id for r in runs.collect()] == ["trial_a"]
     sm = {r.step: r.smoothed for r in loss_smoothing(history_from_arrays(runs)).collect()}
     assert sm[6] == pytest.approx((2.0 + 1.0 + 0.5 + 0.4 + 0.3) / 5)
+
+
+def test_evaluation_document_scores_once(spark, tmp_path):
+    """The average belongs to the results that were written, not to a second scoring."""
+    import random
+    score = F.udf(lambda: random.random(), "double").asNondeterministic()
+    scored = spark.range(20).select(F.lit("r").alias("reference"), F.lit("g").alias("generated"), score().alias("bleu"))
+    path = str(tmp_path / "doc")
+    W.write_eval_document(scored, path, 3, "t")
+    mean = spark.read.json(f"{path}/detailed_results").agg(F.avg("bleu")).first()[0]
+    assert spark.read.json(f"{path}/summary").first().average_metrics.bleu == pytest.approx(mean, abs=1e-12)
