@@ -73,6 +73,22 @@ def test_word_tokens_are_linear(spark):
     assert got == sql and len(got[0]) > 200_000
 
 
+def test_word_tokens_take_few_passes(spark):
+    """A text without quotes is rewritten twice, and white space is not mapped letter by letter."""
+    df = spark.createDataFrame([("a",)], "t string").select(T.word_tokens("t").alias("w"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 + 17 and "translate(" not in plan
+
+
+def test_merged_word_rules(spark):
+    """Rules that share a pattern see a text as when they run one after the other."""
+    texts = ["a,,b", "a,,,b", "a,,5", "a:,", ",:", "x--- -y", "a.. .", "a.)\n", ".", ".)", "x.“", "x.»» ", "cannot,gonna wanna\xa0gotta.",
+             "wanna.", "wanna", "CANNOT-lemme", "“.", ",.", "a…b", "a\x1cb\u2003c", "x.\n)", "'tis'twas", "cannot'tis", "\n'tis", "d'ye,,'a", "more'n:,."]
+    got, sql = token_lists(spark, texts)
+    assert got == sql == {i: O.tokens(t) for i, t in enumerate(texts)}
+    assert got[0] == ["a", ",", ",b"] and got[12] == ["can", "not", ",", "gon", "na", "wan", "na", "got", "ta", "."]
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     df = spark.createDataFrame([(i, r, c) for i, (r, c) in enumerate(PAIRS)], "id long, ref string, cand string")
