@@ -46,15 +46,16 @@ SLOTS = 1 << 23
 
 def _possible(rows: DataFrame, h: str, hashes: DataFrame) -> DataFrame:
     """The rows whose hash column ``h`` may be in the one column of ``hashes``.  The
-    executors set one bit per hash in a table of ``SLOTS`` bits, kept as rows of 4 KB and
-    broadcast, so a row that no hash can match ends where it is read."""
+    executors set one bit per hash in a table of ``SLOTS`` bits, kept as rows of 4 KB that
+    Spark broadcasts for their size, so a row that no hash can match ends where it is read."""
     slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)) + 1
     table = (hashes.select(slot(hashes.columns[0]).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")))      # at most SLOTS / 32768 rows
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+             .limit(SLOTS // 32768))        # cuts nothing, there are no more buckets; it tells Spark the table's size
     at = F.bitmap_bit_position(slot(h))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.expr("shiftright(_byte, _at)").bitwiseAND(1) == 1
-    return (rows.withColumn("_bucket", F.bitmap_bucket_number(slot(h))).join(F.broadcast(table), "_bucket")
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(slot(h))).join(table, "_bucket")
             .withColumn("_byte", byte).withColumn("_at", (at % 8).cast("int")).where(bit).select(*rows.columns))
 
 
