@@ -9,11 +9,15 @@ value of its list) and an upper bound (for an unread part the value reached);
 a candidate whose upper bound is below the k-th best lower bound cannot
 qualify.  The depth doubles until few candidates can, and their final scores
 are resolved from the whole vectors.  Blocks of one task share the best scores
-so far, so later blocks stop sooner.
+so far: once a query has k of them, its lists are read only until the values
+reached sum to the k-th, for 64 queries at once.
 
-Queries meet candidates in blocks: a query block is sent to each of the slots
-that candidate blocks are dealt to.  Each task reports k rows a query and
-slot, and those are ranked.
+Queries meet candidates in cells, one task each: candidate blocks are dealt to
+slots and query blocks to groups, and a cell gets the blocks of a slot and of a
+group.  Both are sent by a shuffle, never broadcast, and the queries of a cell
+are read first, so a task holds them and one block of candidates.  The copies of
+the queries that travel amount to those of the candidates at most.  Each cell
+reports k rows a query, and those are ranked.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without vec_id.  Only vectors of equal length are compared.
@@ -31,6 +35,7 @@ refused with an error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +51,10 @@ PARTS = 2
 BLOCK = 4096
 QUERIES = 1024
 LIMIT = 1 << 20
+#: Components of the queries that a cell holds, with 2k for the results of each.
+HELD = 1 << 22
+#: Candidate blocks of a slot: those after the first are met with scores to reach.
+SHARE = 4
 
 
 def _blocks(batch: pa.RecordBatch):
@@ -89,6 +98,7 @@ def _row(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 _BLOCKS = "dim int, ids array<long>, m array<int>, wide array<long>"
+_QUERIES = "dim int, ids array<long>, numbers array<long>, m array<int>, wide array<long>"
 
 
 def _chosen(every: int):
@@ -104,7 +114,7 @@ def _chosen(every: int):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Query rows as blocks of queries."""
+    """Numbered query rows as blocks of queries."""
     for batch in batches:
         dims, large = batch.column(0).to_numpy(), np.asarray(batch.column(3).is_valid())
         for dim, wide in {(d, w) for d, w in zip(dims.tolist(), large.tolist())}:
@@ -114,8 +124,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = part.column(3 if wide else 2).flatten().to_numpy()
                 of = _either(flat, np.array([0, len(flat)]), wide)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), _row(part.column(1).to_numpy(), pa.int64()), of["m"], of["wide"]],
-                    ["dim", "ids", "m", "wide"])
+                    [pa.array([dim], pa.int32()), _row(part.column(1).to_numpy(), pa.int64()),
+                     _row(part.column(4).to_numpy(), pa.int64()), of["m"], of["wide"]],
+                    ["dim", "ids", "numbers", "m", "wide"])
+
+
+def cells(tasks: int, blocks: int, candidates: int, queries: int) -> tuple[int, int]:
+    """Groups and slots for so many candidate blocks, components of candidates and, with results, of queries."""
+    groups = max(1, -(-queries // HELD), math.isqrt(tasks * queries // (4 * max(1, candidates))))
+    return groups, max(1, min(tasks // groups, -(-blocks // SHARE), groups * candidates // max(1, queries)))
 
 
 def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
@@ -138,58 +155,126 @@ def contenders(lists: np.ndarray, least: float, k: int) -> np.ndarray:
         depth *= 2
 
 
-def _merge(best: dict, name: tuple, scores: list[int], ids: np.ndarray, k: int) -> None:
-    """Add candidates with scores of any size to a query's best."""
-    s, held = best.get(name, (np.empty(0, object), np.empty(0, np.int64)))
-    both = sorted([*zip((int(v) for v in s), held.tolist()), *zip(scores, ids.tolist())], key=lambda c: (-c[0], c[1]))[:k]
-    best[name] = np.array([v for v, _ in both], object), np.array([i for _, i in both], np.int64)
-
-
-def _exactly(best: dict, q_ids: np.ndarray, qs: np.ndarray, c_ids: np.ndarray, x: np.ndarray, k: int) -> None:
-    """Scores as Python integers, for vectors whose products double precision cannot hold."""
-    whole = x.astype(object)
-    for q_id, q in zip(q_ids.tolist(), qs):
-        others = c_ids != q_id
-        _merge(best, (q_id, q.astype(np.int64).tobytes()), (whole[others] @ q.astype(object)).tolist(), c_ids[others], k)
+def contending(lists: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and candidates, as pairs, that may reach the query's ``least``; ``lists``:
+    (parts, queries, candidates), own rows at -inf.  The lists of a query are read as far down
+    from their tops until the values reached sum to ``least``, which what is read in no list
+    cannot reach."""
+    front = lists.max(2)
+    with np.errstate(invalid="ignore"):                         # tops of own rows only: nothing is read
+        front[:-1] = np.floor(front - (front.sum(0) - least) / len(front))[:-1]     # integers, as scores are
+    front[-1] = least - front[:-1].sum(0)
+    read = lists[0] >= front[0, :, None]
+    for part, value in zip(lists[1:], front[1:]):
+        read |= part >= value[:, None]
+    j, c = np.nonzero(read)
+    high = np.maximum(lists[:, j, c], front[:, j]).sum(0)
+    left = (high >= least[j]) & (lists[0, j, c] > -np.inf)
+    return j[left], c[left]
+
+
+def _first(lists: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same where a query may have fewer than ``k`` scores yet."""
+    found = []
+    for j in range(lists.shape[1]):
+        others = np.flatnonzero(lists[0, j] > -np.inf)
+        found.append(others[contenders(lists[:, j, others], least[j], k)])
+    return np.repeat(np.arange(len(found)), [len(c) for c in found]), np.concatenate(found)
+
+
+class _Held:
+    """A block of queries and its best so far: ``scores`` and ``found`` in order, a row a
+    query, filled up with -inf; or ``exact``, lists of pairs, once scores are Python integers."""
+
+    def __init__(self, dim: int, ids: np.ndarray, numbers: np.ndarray, m: np.ndarray, k: int):
+        self.dim, self.ids, self.numbers, self.m, self.k = dim, ids.copy(), numbers.copy(), m.copy(), k
+        self.most = float(np.abs(m.astype(np.float64)).max(initial=0))
+        self.scores, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.exact: list[list[tuple[int, int]]] | None = None
+
+    def _pairs(self, j: int) -> list[tuple[int, int]]:
+        n = int((self.scores[j] > -np.inf).sum())
+        return list(zip((int(v) for v in self.scores[j, :n]), self.found[j, :n].tolist()))
+
+    def meet(self, c_ids: np.ndarray, x: np.ndarray, most: float) -> None:
+        """Add the candidates of a block."""
+        large = self.dim * most * self.most >= 2.0 ** 53        # double precision cannot hold these products
+        if large and self.exact is None:
+            self.exact = [self._pairs(j) for j in range(len(self.ids))]
+        if self.exact is None:
+            x = x.astype(np.float64)
+            for a in range(0, len(self.ids), 64):
+                some, at = slice(a, a + 64), 0
+                while at < len(x):
+                    known = (self.scores[some, -1] > -np.inf).all()
+                    to = at + ((8 * at or len(x)) if known else max(at, 4 * self.k))    # the sooner k are known, the less is read
+                    self._meet(some, c_ids[at:to], x[at:to], contending if known else _first)
+                    at = to
+            return
+        x = x.astype(object if large else np.float64)
+        for j, (q_id, q) in enumerate(zip(self.ids.tolist(), self.m)):
+            others = c_ids != q_id
+            scores = (int(v) for v in (x[others] @ q.astype(x.dtype)).tolist())
+            self.exact[j] = sorted([*self.exact[j], *zip(scores, c_ids[others].tolist())], key=lambda c: (-c[0], c[1]))[:self.k]
+
+    def _meet(self, some: slice, c_ids: np.ndarray, x: np.ndarray, chosen) -> None:
+        q_ids, qs = self.ids[some], self.m[some].astype(np.float64)
+        cut = np.unique(np.linspace(0, self.dim, PARTS + 1).astype(int))
+        lists = np.empty((len(cut) - 1, len(qs), len(x)))
+        for part, lo, hi in zip(lists, cut[:-1], cut[1:]):
+            np.matmul(qs[:, lo:hi], x[:, lo:hi].T, out=part)
+        own = q_ids[:, None] == c_ids
+        if own.any():
+            lists[:, own] = -np.inf                             # own rows set no bound
+        least = self.scores[some, -1]
+        j, c = chosen(lists, least, self.k)
+        score, last = lists[:, j, c].sum(0), self.found[some, -1]
+        left = np.flatnonzero((score > least[j]) | (score == least[j]) & (c_ids[c] < last[j]))
+        if len(left):
+            n = np.arange(len(q_ids))
+            j, s, ids = (np.concatenate(both) for both in (
+                (np.repeat(n, self.k), j[left]), (self.scores[some].ravel(), score[left]),
+                (self.found[some].ravel(), c_ids[c[left]])))
+            o = np.lexsort((ids, -s, j))
+            o = o[np.searchsorted(j[o], n)[:, None] + np.arange(self.k)]
+            self.scores[some], self.found[some] = s[o], ids[o]
+
+    def listed(self) -> pa.RecordBatch:
+        """Rows ``query_id, number, vec_id, score``."""
+        if self.exact is None:
+            j, at = np.nonzero(self.scores > -np.inf)
+            ids, scores = self.found[j, at], self.scores[j, at].astype(np.int64)
+        else:
+            j = np.repeat(np.arange(len(self.ids)), [len(c) for c in self.exact])
+            every = [c for own in self.exact for c in own]
+            for of, (v, _) in zip(j, every):
+                if not -2 ** 63 <= v < 2 ** 63:
+                    raise OverflowError(f"a score of query {self.ids[of]} exceeds 64 bits")
+            ids, scores = np.array([i for _, i in every], np.int64), np.array([v for v, _ in every], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[j]), pa.array(self.numbers[j]), pa.array(ids), pa.array(scores)],
+                                          ["query_id", "number", "vec_id", "score"])
 
 
 def _best(k: int):
+    """Over rows in the order of their cells, of each the queries first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        cell, held = None, []
         for batch in batches:
             get = lambda name, i: batch.column(batch.schema.get_field_index(name))[i]  # noqa: B023,E731
             for i in range(batch.num_rows):
-                dim, c_ids = get("dim", i).as_py(), get("ids", i).values.to_numpy()
-                x = _components(get("m", i), get("wide", i)).reshape(-1, dim)
-                q_ids = get("q_ids", i).values.to_numpy()
-                qs = _components(get("q_m", i), get("q_wide", i)).reshape(-1, dim)
-                if dim * float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(qs.astype(np.float64)).max(initial=0)) >= 2.0 ** 53:
-                    _exactly(best, q_ids, qs, c_ids, x, k)
+                if (here := get("cell", i).as_py()) != cell:
+                    yield from (q.listed() for q in held)
+                    cell, held = here, []
+                dim, ids = get("dim", i).as_py(), get("ids", i).values.to_numpy()
+                m = _components(get("m", i), get("wide", i)).reshape(-1, dim)
+                if get("numbers", i).is_valid:
+                    held.append(_Held(dim, ids, get("numbers", i).values.to_numpy(), m, k))
                     continue
-                x, qs = x.astype(np.float64), qs.astype(np.float64)
-                cut = np.unique(np.linspace(0, dim, PARTS + 1).astype(int))
-                for a in range(0, len(qs), 64):
-                    lists = np.stack([qs[a:a + 64, lo:hi] @ x[:, lo:hi].T for lo, hi in zip(cut[:-1], cut[1:])], 1)
-                    for q_id, q, of_q in zip(q_ids[a:a + 64].tolist(), qs[a:a + 64], lists):
-                        name = (q_id, q.astype(np.int64).tobytes())
-                        s, ids = best.get(name, (np.empty(0), np.empty(0, np.int64)))
-                        if s.dtype == object:       # integers: scores below them stay exact as they are merged
-                            _merge(best, name, [int(v) for v in (x[c_ids != q_id] @ q).tolist()], c_ids[c_ids != q_id], k)
-                            continue
-                        others = np.flatnonzero(c_ids != q_id)      # own rows set no bound
-                        if len(others) < len(c_ids):
-                            of_q = of_q[:, others]
-                        rows = others[contenders(of_q, s[-1] if len(s) == k else -np.inf, k)]
-                        s, ids = np.append(s, x[rows] @ q), np.append(ids, c_ids[rows])
-                        o = np.lexsort((ids, -s))[:k]
-                        best[name] = s[o], ids[o]
-        for (q_id, vector), (s, ids) in best.items():
-            n = len(s)
-            if s.dtype == object and any(not -2 ** 63 <= v < 2 ** 63 for v in s):
-                raise OverflowError(f"a score of query {q_id} exceeds 64 bits")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, q_id, np.int64)), pa.array([vector] * n, pa.binary()), pa.array(ids),
-                 pa.array(s.astype(np.int64))], ["query_id", "vector", "vec_id", "score"])
+                most = float(np.abs(m.astype(np.float64)).max(initial=0))
+                for q in held:
+                    if q.dim == dim:
+                        q.meet(ids, m, most)
+        yield from (q.listed() for q in held)
     return run
 
 
@@ -199,13 +284,20 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     blocks = saved(map_batches(rows, _blocks, _BLOCKS), "blocks")
-    slots = n_partitions(spark)
-    queries = map_batches(blocks, _chosen(every), "dim int, id long, m array<int>, wide array<long>").distinct()
-    queries = saved(queries.repartition(max(1, slots // 8), "id").mapInArrow(_packed, _BLOCKS), "queries")
-    sent = queries.select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("wide").alias("q_wide"),
-                          F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    near = (dealt.join(sent, ["dim", "slot"]).select("dim", "ids", "m", "wide", "q_ids", "q_m", "q_wide")
-            .mapInArrow(_best(k), "query_id long, vector binary, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id"))
+    tasks = n_partitions(spark)
+    chosen = map_batches(blocks, _chosen(every), "dim int, id long, m array<int>, wide array<long>").distinct()
+    chosen = chosen.repartition(max(1, tasks // 8), "id").withColumn("number", F.monotonically_increasing_id())
+    queries = saved(chosen.mapInArrow(_packed, _QUERIES), "queries")
+    size = lambda more: F.coalesce(F.sum((F.col("dim") + F.lit(more).cast("long")) * F.size("ids")), F.lit(0))
+    n, candidates = blocks.select(F.count("*"), size(0)).first()
+    groups, slots = cells(tasks, n, candidates, queries.select(size(2 * k)).first()[0])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    sent = queries.select("*", each(slots).alias("slot"), one(groups).alias("group"))
+    dealt = blocks.withColumn("numbers", F.lit(None).cast("array<long>")).select(
+        *queries.columns, one(slots).alias("slot"), each(groups).alias("group"))
+    met = (sent.union(dealt).withColumn("cell", F.col("group") * slots + F.col("slot")).drop("group", "slot")
+           .repartitionById(groups * slots, "cell").sortWithinPartitions("cell", F.col("numbers").isNull()))
+    near = met.mapInArrow(_best(k), "query_id long, number long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Each operator against a plain Python version, on awkward small tables."""
 
+import itertools
 import math
 import random
 import re
@@ -299,6 +300,45 @@ def test_scores_beyond_a_long_are_refused(spark):
         topk.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), 10, 20).collect()
 
 
+def test_top_k_broadcasts_nothing(spark):
+    """What goes to every slot is larger than the queries that it is estimated by: at 200 partitions, 200 times."""
+    df = spark.createDataFrame([(i, [i % 7 / 8, 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    plan = topk.top_k(df, 10, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 100)
+    rng = random.Random(15)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4 + i % 2)]) for i in range(500)]
+    rows += [(500 + i, [0.5] * 4) for i in range(60)] + [(n % 3 * 20, [0.25 * n] * 4) for n in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(14)
+    assert {tuple(r) for r in topk.top_k(df, 10, 20).collect()} == brute.top_k(rows, 10, 20)
+
+
+def test_cells_bound_what_is_sent_and_held():
+    for tasks, blocks, candidates, queries in itertools.product((1, 12, 600), (0, 1, 155, 10 ** 6), (0, 10 ** 4, 10 ** 9),
+                                                                (0, 10 ** 4, 10 ** 7, 10 ** 9)):
+        groups, slots = topk.cells(tasks, blocks, candidates, queries)
+        assert groups >= 1 and queries <= groups * topk.HELD
+        assert slots == 1 or slots * queries <= groups * candidates and groups * slots <= tasks and slots <= blocks
+
+
+def test_contending_holds_the_best():
+    rng = np.random.default_rng(1)
+    for parts in (1, 2, 3):
+        for _ in range(30):
+            lists = rng.integers(-50, 50, (parts, 7, 200)).astype(float)
+            lists[:, rng.random((7, 200)) < 0.1] = -np.inf                            # own rows
+            lists[:, 3] = -np.inf
+            total = lists.sum(0)
+            least = np.sort(total, 1)[:, -5] + rng.integers(-3, 3, 7)
+            least[3] = 4
+            got = set(zip(*(v.tolist() for v in topk.contending(lists, least, 5))))
+            assert set(zip(*(v.tolist() for v in np.nonzero(total >= least[:, None])))) <= got
+            assert not any(np.isneginf(total[at]) for at in got)
+
+
 def test_contenders_hold_the_best():
     rng = np.random.default_rng(0)
     for _ in range(50):
