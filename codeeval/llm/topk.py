@@ -8,8 +8,8 @@ What is read gives every candidate a lower bound (for an unread part the least
 value of its list) and an upper bound (for an unread part the value reached);
 a candidate whose upper bound is below the k-th best lower bound cannot
 qualify.  The depth doubles until few candidates can, and their final scores
-are resolved from the whole vectors.  Blocks of one task share the best scores
-so far: once a query has k of them, its lists are read only until the values
+are resolved from all their lists.  Blocks of one task share the best scores so
+far: once a query has k of them, its lists are read only until the values
 reached sum to the k-th, for 64 queries at once.
 
 Queries meet candidates in cells, one task each: candidate blocks are dealt to
@@ -207,7 +207,8 @@ class _Held:
                 some, at = slice(a, a + 64), 0
                 while at < len(x):
                     known = (self.scores[some, -1] > -np.inf).all()
-                    to = at + ((8 * at or len(x)) if known else max(at, 4 * self.k))    # the sooner k are known, the less is read
+                    # a few first: the sooner k scores are known, the less is read
+                    to = at + ((8 * at or len(x)) if known else max(at, 4 * self.k))
                     self._meet(some, c_ids[at:to], x[at:to], contending if known else _first)
                     at = to
             return
